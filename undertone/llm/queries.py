@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from undertone.llm import decontamination
+from undertone.llm import decontamination, simhash
 
 QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 SQL = {
