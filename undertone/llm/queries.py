@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from undertone.llm import decontamination, simhash
+from undertone.llm import decontamination, simhash, toxicity
 
 QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
     "op8_simhash": simhash.op8_simhash,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
