@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from undertone.llm import decontamination, simhash, toxicity
+from undertone.llm import decontamination, secrets, simhash, toxicity
 
 QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_secrets": secrets.op7_secrets,
     "op8_simhash": simhash.op8_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
