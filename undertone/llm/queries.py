@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from undertone.llm import decontamination, secrets, simhash, toxicity
+from undertone.llm import bpe, decontamination, secrets, simhash, toxicity
 
 QUERIES = {
+    "op5_bpe": bpe.op5_bpe,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_secrets": secrets.op7_secrets,
     "op8_simhash": simhash.op8_simhash,
