@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from undertone.llm import bpe, decontamination, secrets, simhash, toxicity
+from undertone.llm import bpe, decontamination, language, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op4_language": language.op4_language,
     "op5_bpe": bpe.op5_bpe,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_secrets": secrets.op7_secrets,
@@ -13,5 +15,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_quality": quality.SQL,
     "op6_decontamination": decontamination.SQL,
 }
