@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from undertone.llm import bpe, decontamination, language, quality, secrets, simhash, tokens, toxicity
+from undertone.llm import bpe, decontamination, language, quality, repeats, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_token_counts": tokens.op2_token_counts,
+    "op3_repeats": repeats.op3_repeats,
     "op4_language": language.op4_language,
     "op5_bpe": bpe.op5_bpe,
     "op6_decontamination": decontamination.op6_decontamination,
