@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from undertone.llm import bpe, decontamination, language, quality, repeats, secrets, simhash, tokens, toxicity
+from undertone.llm import bpe, decontamination, language, pitman_yor, quality, repeats, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_secrets": secrets.op7_secrets,
     "op8_simhash": simhash.op8_simhash,
+    "op9_language_model": pitman_yor.op9_language_model,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
