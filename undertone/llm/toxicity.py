@@ -36,11 +36,11 @@ from undertone.llm.words import NOT_LETTER, U64, Lookup, words_of
 
 THRESHOLD = 0.7
 MOST_POSITIVE, MOST_UNLABELLED, MOST_CHECKED = 4_000, 8_000, 4_000
-MOST_WORDS = 2_000
+MOST_WORDS = 400
 #: A word must be in this many toxic examples, in this share of them, and stand this many standard
 #: deviations above what its share among the unlabelled leads to expect.
 LEAST_DOCS, LEAST_SHARE, LEAST_DEVIATIONS = 4, 0.004, 5.0
-WEIGHT_DECAY, STEPS, RATE = 1e-3, 600, 0.05
+WEIGHT_DECAY, STEPS, RATE = 1e-3, 300, 0.1
 
 
 @dataclass
@@ -69,7 +69,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     """Weights and intercept by full-batch Adam on the non-negative risk."""
     n = positive.shape[1] + 1
     p, u = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (positive, unlabelled))
-    w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
+    w, m, v = (np.zeros(n, p.dtype) for _ in range(3))
     rise = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
     for t in range(1, steps + 1):
         gp, gu = p @ w, u @ w
