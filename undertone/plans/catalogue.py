@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables, each with SQL that gives the same rows."""
+"""All registered queries over the driver's tables."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from undertone.plans import signals  # noqa: F401
+from undertone.plans.registry import QUERIES, SQL  # noqa: F401
