@@ -1,4 +1,4 @@
 """All registered queries over the driver's tables."""
 
-from undertone.plans import signals  # noqa: F401
+from undertone.plans import relational, signals, spectra  # noqa: F401
 from undertone.plans.registry import QUERIES, SQL  # noqa: F401
