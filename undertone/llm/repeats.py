@@ -14,7 +14,10 @@ as a position is unique:
            last byte that its run reaches): past LENGTH. Of equal pairs all but the earliest are
            repeats as a whole. A position whose first rank meets no other second rank is done.
   round 3  the earliest position of each pair, where several pairs share a first rank, is opened
-           into its single starts, ranked by their LENGTH bytes; all but the earliest go.
+           into groups of CELL starts, ranked by the bytes that all starts of a group cover; groups
+           of a rank of their own are done.
+  round 4  what is left is opened into single starts, ranked by their LENGTH bytes; all but the
+           earliest go.
 
 Ranks are hashes (64 bits for the first half, 64 for the rest, 128 for single starts): equality
 is all that is asked of them, so ranks need no global order. Ranking is aggregation with
@@ -36,17 +39,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertone.llm.shared import pieces, read_table, stored
-from undertone.llm.words import U64, Rolling, flat
+from undertone.llm.words import U64, Rolling, flat, mix
 
 LENGTH = 100
 #: Bits of a position within a chunk; longer texts are cut into chunks that overlap.
 BITS = 22
 CHUNK = 1 << 21
+#: Starts that are ranked together before single ones are.
+CELL = 5
 
 
 def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Of texts laid end to end: rank of each sampled position, rank of all that its run reaches,
-    first start and number of starts."""
+    first start, number of starts, and how far the position lies after the first start."""
     half = length // 2
     parts = []
     cuts = [0] if len(data) <= CHUNK + length else list(range(0, len(data), CHUNK))
@@ -78,9 +83,9 @@ def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.nda
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(start)))
         lo = start[first]
-        parts.append((rank[position[first]], rolling.spans(lo, lo + n + length - 1), lo + cut, n))
+        parts.append((rank[position[first]], rolling.spans(lo, lo + n + length - 1), lo + cut, n, position[first] - lo))
     if not parts:
-        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, U64),) * 2 + (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -89,44 +94,83 @@ def _tag(column: pa.Array) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=2).digest(), "big") for t in column.to_pylist()], np.int64)
 
 
-#: doc is the id, null as the least long; place is a start, then the text's tag in the last 16 bits.
-ROWS = "rank bigint, rest bigint, doc bigint, place bigint, n int"
+#: doc is the id, null as the least long; place is a start, then the text's tag in the last 16 bits;
+#: n starts from there on; ahead: the sampled position after the start.
+ROWS = "rank bigint, rest bigint, doc bigint, place bigint, n int, ahead int"
+
+
+def _rows(rank, rest, ids: pa.Array, row, start, tag, n, ahead) -> pa.RecordBatch:
+    columns = [pa.array(rank.view(np.int64)), pa.array(rest.view(np.int64)), ids.take(pa.array(row)), pa.array(start << 16 | tag), pa.array(n, pa.int32()), pa.array(ahead, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["rank", "rest", "doc", "place", "n", "ahead"])
 
 
 def _run_rows(docs: DataFrame, length: int) -> DataFrame:
     def emit(batches):
         for piece in pieces(batches, "t"):
             data, at = flat(piece.column("t"))
-            rank, rest, lo, n = runs(data, at, length)
+            rank, rest, lo, n, ahead = runs(data, at, length)
             row = np.searchsorted(at, lo, "right") - 1
-            place = (lo - at[row]) << 16 | _tag(piece.column("t"))[row]
-            yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(rest.view(np.int64)), piece.column("d").take(pa.array(row)), pa.array(place), pa.array(n, pa.int32())], ["rank", "rest", "doc", "place", "n"])
+            yield _rows(rank, rest, piece.column("d"), row, lo - at[row], _tag(piece.column("t"))[row], n, ahead)
 
     return docs.mapInArrow(emit, ROWS)
 
 
-def _start_rows(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """The single starts of chosen runs, with 128-bit ranks of their bytes."""
-    wanted = chosen.groupBy("doc", F.expr("cast(place & 65535 as int)").alias("tag")).agg(F.collect_list(F.struct(F.expr("shiftright(place, 16)").alias("lo"), "n")).alias("runs"))
+def _open(docs: DataFrame, chosen: DataFrame, split) -> DataFrame:
+    """Rows of chosen ones opened by split(data, rank, first start, n, ahead), which returns the index of
+    the row opened, rank, rest, first start, n and ahead of each part."""
+    wanted = chosen.groupBy("doc", F.expr("cast(place & 65535 as int)").alias("tag")).agg(F.collect_list(F.struct("rank", F.expr("shiftright(place, 16)").alias("lo"), "n", "ahead")).alias("runs"))
 
     def emit(batches):
         for piece in pieces(batches, "t"):
             data, at = flat(piece.column("t"))
-            of = piece.column("runs").to_pylist()
-            lo = np.array([x["lo"] + at[i] for i, r in enumerate(of) for x in r], np.int64)
-            n = np.array([x["n"] for r in of for x in r], np.int64)
-            row = np.repeat(np.arange(len(of)), [len(r) for r in of])
-            start = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row = np.repeat(row, n)
-            h = [Rolling(data, seed).spans(start, start + length).view(np.int64) for seed in (8, 9)]
-            place = (start - at[row]) << 16 | piece.column("tag").to_numpy()[row].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), piece.column("d").take(pa.array(row)), pa.array(place), pa.array(np.ones(len(place), np.int32))], ["rank", "rest", "doc", "place", "n"])
+            of = piece.column("runs").combine_chunks() if isinstance(piece.column("runs"), pa.ChunkedArray) else piece.column("runs")
+            row = np.repeat(np.arange(len(of)), np.diff(np.asarray(of.offsets)))
+            each = of.flatten()
+            rank, lo, n, ahead = (each.field(k).to_numpy().astype(np.int64) for k in ("rank", "lo", "n", "ahead"))
+            k, rank, rest, start, n, ahead = split(data, rank.view(U64), lo + at[row], n, ahead)
+            row = row[k]
+            yield _rows(rank, rest, piece.column("d"), row, start - at[row], piece.column("tag").to_numpy()[row].astype(np.int64), n, ahead)
 
     tagged = _tagged(docs)
     joined = tagged.join(wanted, (tagged.d == wanted.doc) & (tagged.g == wanted.tag)).select("d", "t", "tag", "runs")
     return joined.mapInArrow(emit, ROWS)
 
 
+def _each(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of groups of n: the group and the place within it of each member."""
+    group = np.repeat(np.arange(len(n)), n)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _cells(length: int):
+    """Opens runs into cells: starts whose distance to the sampled position falls into one group of CELL."""
+
+    def split(data, rank, lo, n, ahead):
+        low, high = (ahead - n + 1) // CELL, ahead // CELL
+        k, i = _each(high - low + 1)
+        cell = high[k] - i
+        far = np.minimum(ahead[k], cell * CELL + CELL - 1)
+        near = np.maximum(ahead[k] - n[k] + 1, cell * CELL)
+        position = lo[k] + ahead[k]
+        core = position - cell * CELL
+        rest = Rolling(data, 8).spans(core, core - CELL + 1 + length)
+        return k, mix(rank[k] + cell.astype(U64)), rest, position - far, far - near + 1, far
+
+    return split
+
+
+def _starts(length: int):
+    """Opens runs into single starts, with 128-bit ranks of their bytes."""
+
+    def split(data, rank, lo, n, ahead):
+        k, i = _each(n)
+        start = lo[k] + i
+        h = [Rolling(data, seed).spans(start, start + length) for seed in (8, 9)]
+        return k, *h, start, np.ones(len(k), np.int64), ahead[k] - i
+
+    return split
+
+
 def _tagged(docs: DataFrame) -> DataFrame:
     def emit(batches):
         for piece in pieces(batches, "t"):
@@ -135,15 +179,15 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(emit, "d bigint, t string, g int")
 
 
-def _ranked(rows: DataFrame, name: str) -> DataFrame:
+def _ranked(rows: DataFrame) -> DataFrame:
     """Of each pair of ranks, the earliest row and the number of rows."""
-    return stored(rows.groupBy("rank", "rest").agg(F.min(F.struct("doc", "place", "n")).alias("first"), F.count("*").alias("rows")), name)
+    return rows.groupBy("rank", "rest").agg(F.min(F.struct("doc", "place", "n", "ahead")).alias("first"), F.count("*").alias("rows"))
 
 
-def _later(rows: DataFrame, ranked: DataFrame) -> DataFrame:
+def _later(rows: DataFrame, several: DataFrame) -> DataFrame:
     """The rows that are not the earliest of their pair of ranks."""
-    several = ranked.where("rows > 1").select("rank", "rest", F.col("first.doc").alias("fd"), F.col("first.place").alias("fp"))
-    return rows.join(several, ["rank", "rest"]).where("doc != fd OR place != fp").select("doc", "place", "n")
+    first = several.select("rank", "rest", F.col("first.doc").alias("fd"), F.col("first.place").alias("fp"))
+    return rows.join(first, ["rank", "rest"]).where("doc != fd OR place != fp").select("doc", "place", "n")
 
 
 def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENGTH) -> DataFrame:
@@ -152,11 +196,15 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENG
     rows = _run_rows(own, length)
     shared = stored(rows.select("rank").groupBy("rank").count().where("count > 1").select("rank"), "shared-ranks")
     left = stored(rows.join(shared, "rank"), "shared-runs")
-    pairs = _ranked(left, "pairs")
+    pairs = stored(_ranked(left), "pairs")
     forked = stored(pairs.groupBy("rank").count().where("count > 1").select("rank"), "forked")
-    opened = stored(pairs.join(forked, "rank").select("first.*"), "opened")
-    single = stored(_start_rows(own, opened, length), "starts")
-    return _later(left, pairs).unionByName(_later(single, _ranked(single, "start-ranks")))
+    opened = stored(pairs.join(forked, "rank").select("rank", "first.*"), "opened")
+    cells = stored(_open(own, opened, _cells(length)), "cells")
+    alike = stored(cells.groupBy("rank", "rest").count().where("count > 1").select("rank", "rest"), "alike")
+    kept = stored(cells.join(alike, ["rank", "rest"]).select("rank", "doc", "place", "n", "ahead"), "kept-cells")
+    single = stored(_open(own, kept, _starts(length)), "starts")
+    several = stored(_ranked(single).where("rows > 1"), "start-ranks")
+    return _later(left, pairs.where("rows > 1")).unionByName(_later(single, several))
 
 
 def _merged(spans: list, length: int) -> tuple[np.ndarray, np.ndarray]:
