@@ -54,6 +54,8 @@ class Scorer:
     shift: float
 
     def probability(self, g: np.ndarray) -> np.ndarray:
+        if self.shift == -np.inf:
+            return np.zeros(len(g))
         return 1.0 / (1.0 + np.exp(-np.clip(self.scale * g + self.shift, -500, 500)))
 
     def score(self, column: pa.Array, lookup: Lookup) -> np.ndarray:
