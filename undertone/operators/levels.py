@@ -154,3 +154,16 @@ STRATEGIES = {"music": "over_subtraction=1.6", "white_noise": "over_subtraction=
 def noise_strategy(kind) -> Column:
     pairs = [F.lit(v) for kv in STRATEGIES.items() for v in kv]
     return F.coalesce(F.element_at(F.create_map(*pairs), kind), F.lit("none"))
+
+
+def auto_tune(scene, rms_, peak, dynamic) -> dict[str, Column]:
+    """Suggested settings from features, null where there is nothing to suggest."""
+    floor, snr = 20 * F.log10(F.col(rms_) + 1e-10), 20 * F.log10(F.col(peak) / (F.col(rms_) + 1e-10))
+    d = F.col(dynamic)
+    return {
+        "gate_threshold": F.when(floor < -50, F.greatest(F.lit(-60.0), floor - 5)),
+        "noise_reduction": F.when(snr < 15, F.least(F.lit(80.0), 30 + (15 - snr) * 2)).when(snr > 30, F.greatest(F.lit(15.0), 30 - (snr - 30))),
+        "highpass_hz": F.when(F.col(scene).isin("podcast", "broadcast"), 80).when(F.col(scene) == "forensic", 50),
+        "ratio": F.when(d > 40, 4).when(d < 15, 2),
+        "threshold": F.when(d > 40, -24).when(d < 15, -18),
+    }

@@ -142,3 +142,29 @@ def kmeans(df: DataFrame, k: int, *, id: str, vector: str, rounds: int = 20) ->
             break
         before, centres = new, new
     return labelled.select("id", "label")
+
+
+def enrolled(df: DataFrame, *, key: str, order: str, vector: str, least: float) -> DataFrame:
+    """Registry of each key after all its rows: cluster, how many rows it took, and its vector (the first one, as enrolled).
+    A row that no registered vector resembles is enrolled; order decides, so a key is walked once."""
+    named = greedy_first(df, key=key, order=order, vector=vector, least=least)
+    return named.groupBy(key, "cluster").agg(F.count("*").alias("n"), F.min_by(vector, order).alias(vector))
+
+
+def greedy_first(df: DataFrame, *, key: str, order: str, vector: str, least: float) -> DataFrame:
+    """Adds cluster: the registered vector most like the row's, if it is like enough, else a new one."""
+    schema = df.select("*", F.lit(0).cast("bigint").alias("cluster")).schema
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        known, out = np.zeros((0, 0)), []
+        for v in _unit(np.array(group.column(vector).to_pylist(), float)):
+            s = np.round(known @ v, 12) if len(known) else np.zeros(0)
+            if len(s) and s.max() >= least:
+                out.append(int(s.argmax()))
+            else:
+                out.append(len(known))
+                known = np.vstack([known, v]) if len(known) else v[None]
+        return group.append_column("cluster", pa.array(out, pa.int64()))
+
+    return df.groupBy(key).applyInArrow(run, schema)

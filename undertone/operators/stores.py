@@ -118,3 +118,21 @@ def progress(df: DataFrame, state: str, share: str) -> DataFrame:
 def grouped(df: DataFrame, group: str, *fields: str) -> DataFrame:
     """group and its members as an array of structs in order of the fields."""
     return df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("members"))
+
+
+def carried_over(new: DataFrame, previous: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+    """New rows with fields of the previous state of their key, or a default."""
+    old = previous.select(key, *fields)
+    return new.join(old, key, "left").withColumns({f: F.coalesce(F.col(f), d) for f, d in fields.items()})
+
+
+def within_bounds(df: DataFrame, bounds: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows of known keys, values clamped to the key's lo and hi, the default where there is none. Bounds are a dimension."""
+    v = F.when(F.col(value).isNull(), F.col("default")).otherwise(F.greatest(F.least(F.col(value), F.col("hi")), F.col("lo")))
+    return df.join(bounds.select(key, "lo", "hi", "default"), key).withColumn(value, v).drop("lo", "hi", "default")
+
+
+def trailing(df: DataFrame, at: Column, span: float) -> DataFrame:
+    """Rows of the last `span` seconds before the newest one."""
+    top = df.agg(F.max(at).alias("t")).first().t
+    return df.where(at > F.lit(top) - span) if top is not None else df
