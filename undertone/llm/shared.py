@@ -40,7 +40,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Deletes tables of `stored` that nothing reads any more, and returns df."""
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(conf).delete(path, True)
+    return df
+
+
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a file below the shared folder, through Spark's file systems, and returns its path."""
+    path = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}/{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
 
 
 def fold(column: str | Column, modulus: int) -> Column:
