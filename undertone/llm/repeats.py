@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertone.llm.shared import pieces, read_table, stored
+from undertone.llm.shared import discard, pieces, read_table, stored
 from undertone.llm.words import U64, Rolling, flat, mix
 
 LENGTH = 100
@@ -195,16 +195,17 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENG
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = _run_rows(own, length)
     shared = stored(rows.select("rank").groupBy("rank").count().where("count > 1").select("rank"), "shared-ranks")
-    left = stored(rows.join(shared, "rank"), "shared-runs")
+    left = discard(stored(rows.join(shared, "rank"), "shared-runs"), shared)
     pairs = stored(_ranked(left), "pairs")
     forked = stored(pairs.groupBy("rank").count().where("count > 1").select("rank"), "forked")
-    opened = stored(pairs.join(forked, "rank").select("rank", "first.*"), "opened")
-    cells = stored(_open(own, opened, _cells(length)), "cells")
+    opened = discard(stored(pairs.join(forked, "rank").select("rank", "first.*"), "opened"), forked)
+    cells = discard(stored(_open(own, opened, _cells(length)), "cells"), opened)
     alike = stored(cells.groupBy("rank", "rest").count().where("count > 1").select("rank", "rest"), "alike")
-    kept = stored(cells.join(alike, ["rank", "rest"]).select("rank", "doc", "place", "n", "ahead"), "kept-cells")
-    single = stored(_open(own, kept, _starts(length)), "starts")
+    kept = discard(stored(cells.join(alike, ["rank", "rest"]).select("rank", "doc", "place", "n", "ahead"), "kept-cells"), cells, alike)
+    single = discard(stored(_open(own, kept, _starts(length)), "starts"), kept)
     several = stored(_ranked(single).where("rows > 1"), "start-ranks")
-    return _later(left, pairs.where("rows > 1")).unionByName(_later(single, several))
+    found = _later(left, pairs.where("rows > 1")).unionByName(_later(single, several))
+    return discard(stored(found, "found"), left, pairs, single, several)
 
 
 def _merged(spans: list, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +223,7 @@ def _with_spans(docs: DataFrame, doc_id: str, text: str, length: int, emit, sche
     spans = repeated_spans(docs, doc_id=doc_id, text=text, length=length)
     by_doc = spans.groupBy("doc", F.expr("cast(place & 65535 as int)").alias("tag")).agg(F.collect_list(F.struct(F.expr("shiftright(place, 16)").alias("lo"), "n")).alias("spans"))
     own = _tagged(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")))
-    by_doc = stored(by_doc, "spans")
+    by_doc = discard(stored(by_doc, "spans"), spans)
     joined = own.join(by_doc, (own.d == by_doc.doc) & (own.g == by_doc.tag), "left").select("d", "t", "spans")
 
     def run(batches):
