@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Text in one piece of a batch; below 2^21, the size of the power tables that hashing keeps.
+PIECE_BYTES = 2_000_000
 #: Lets Spark delete a write's shuffle files when the write has ended, not when the driver next
 #: happens to collect garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -78,7 +80,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with at most about `most` bytes of text each, so that
     a task's memory does not depend on how many rows a batch holds. A longer text stands alone."""
     for batch in batches:
