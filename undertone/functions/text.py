@@ -77,6 +77,13 @@ def same_origin(url, host: str) -> Column:
     return F.coalesce(F.try_parse_url(_c(url), F.lit("HOST")) == F.lit(host), F.lit(False))
 
 
+def safe_redirect(url, origin: str) -> Column:
+    """The address to go to: a path at the origin, or an address at the same origin; null for any other."""
+    u = _c(url)
+    own = F.lower(F.regexp_extract(u, "^[a-zA-Z]+://[^/?#]+", 0)) == origin
+    return F.when(u.startswith("/") & ~u.startswith("//"), F.concat(F.lit(origin), u)).when(own, u)
+
+
 def digest_samples(samples: Column) -> Column:
     """SHA-256 of samples as written numbers, comma separated."""
     return F.sha2(F.array_join(F.transform(samples, lambda v: v.cast("string")), ","), 256)

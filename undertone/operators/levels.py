@@ -96,6 +96,15 @@ def quiet_rms(df: DataFrame, size: int, *, key=KEY, order=ORDER, x=X) -> DataFra
     return ranked.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("m") * 0.1))).groupBy(key).agg(F.avg("r").alias("noise"))
 
 
+def trailing_features(df: DataFrame, size: int, *, key=KEY, order=ORDER, x=X) -> DataFrame:
+    """rms, zcr and level of the newest `size` samples at every sample that has as many behind it."""
+    at = Window.partitionBy(key).orderBy(order)
+    flip = ((F.col(x) >= 0) != F.lag(F.col(x) >= 0).over(at)).cast("int")
+    level = F.sqrt(F.avg(F.col(x) * F.col(x)).over(at.rowsBetween(1 - size, 0)))
+    out = df.withColumn("__flip", flip).withColumns({"rms": level, "zcr": F.sum("__flip").over(at.rowsBetween(2 - size, 0)) / size})
+    return out.where(F.col(order) >= size - 1).withColumn("level", db(F.col("rms"), -100.0)).drop("__flip")
+
+
 def waveform(df: DataFrame, step: int, *, key=KEY, order=ORDER, x=X) -> DataFrame:
     return df.groupBy(key, F.floor(F.col(order) / step).alias("px")).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
 

@@ -30,6 +30,11 @@ def at_time(df: DataFrame, t, *, start="start", end="end") -> DataFrame:
     return df.where((F.col(start) <= t) & (F.col(end) >= t)).orderBy(start, end).limit(1)
 
 
+def hit(df: DataFrame, t, name: str, *, key: str, start="start", end="end") -> DataFrame:
+    """For each key, the name of the first segment that holds a time."""
+    return df.where((F.col(start) <= t) & (F.col(end) >= t)).groupBy(key).agg(F.min_by(name, F.struct(start, end)).alias(name))
+
+
 def first_seen(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Distinct names with their rank by first appearance, from 1."""
     first = df.groupBy(name).agg(F.min(F.struct(*order)).alias("__o"))

@@ -27,6 +27,33 @@ def stream_hop_frames(spark, d):
     return S.drained(S.throttled(frames, 4)).select("user_id", "f", r("rms", 6).alias("rms"))
 
 
+@query("stream_latest_side", "SELECT user_id, event_id, last_value(CASE WHEN event_type = 'error' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS side FROM events")
+def stream_latest_side(spark, d):
+    rows = _events(spark, d).withColumn("mask", F.when(F.col("event_type") == "error", F.col("value")))
+    return S.drained(S.latest_side(rows, key="user_id", order=["ts", "event_id"], x="x", side="mask")).select("user_id", "event_id", "side")
+
+
+def _halved(frame):
+    """Frames of little power lose half."""
+    return frame * (0.5 if (frame * frame).mean() < 0.03 else 1.0)
+
+
+_W16 = "(0.5 - 0.5 * cos(2 * pi() * (idx - f * 8) / 16))"
+
+
+@query(
+    "stream_overlap_add",
+    UNIT
+    + f""", n AS (SELECT signal_id, (count(*) - 16) // 8 + 1 AS n FROM u GROUP BY signal_id HAVING count(*) >= 16), f AS (SELECT signal_id, unnest(range(0, n)) AS f FROM n),
+w AS (SELECT u.signal_id, f, idx, x * {_W16} AS v, {_W16} AS w FROM f JOIN u ON u.signal_id = f.signal_id AND idx BETWEEN f * 8 AND f * 8 + 15),
+g AS (SELECT signal_id, f, CASE WHEN avg(v * v) < 0.03 THEN 0.5 ELSE 1.0 END AS g FROM w GROUP BY ALL)
+SELECT w.signal_id AS user_id, idx, round(CASE WHEN sum(w * w) > 1e-8 THEN sum(g * v * w) / sum(w * w) ELSE 0.0 END, 6) + 0.0 AS y FROM w JOIN g USING (signal_id, f) JOIN n ON n.signal_id = w.signal_id WHERE idx < n * 8 GROUP BY ALL""",
+)
+def stream_overlap_add(spark, d):
+    rows = S.overlap_add(_events(spark, d), 16, 8, _halved, key="user_id", order=["ts", "event_id"], x="x")
+    return S.drained(rows).select("user_id", "idx", r("y", 6).alias("y"))
+
+
 @query("stream_windows", "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, d):
     rows = S.drained_complete(S.windowed(_events(spark, d), "ts", "1 hour", "1 day", None, "event_type"))
