@@ -35,6 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +116,17 @@ def _run_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(emit, ROWS)
 
 
+def _run_ranks(docs: DataFrame, length: int) -> DataFrame:
+    """Only the ranks of the sampled positions, and how often each occurs in a piece."""
+
+    def emit(batches):
+        for piece in pieces(batches, "t"):
+            rank, times = np.unique(runs(*flat(piece.column("t")), length)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(times)], ["rank", "times"])
+
+    return docs.select("t").mapInArrow(emit, "rank bigint, times bigint")
+
+
 def _open(docs: DataFrame, chosen: DataFrame, split) -> DataFrame:
     """Rows of chosen ones opened by split(data, rank, first start, n, ahead), which returns the index of
     the row opened, rank, rest, first start, n and ahead of each part."""
@@ -194,7 +206,7 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENG
     """(doc, place, n): starts of repeats, n of them from `place` on (a start and the text's tag)."""
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = _run_rows(own, length)
-    shared = stored(rows.select("rank").groupBy("rank").count().where("count > 1").select("rank"), "shared-ranks")
+    shared = stored(_run_ranks(own, length).groupBy("rank").agg(F.sum("times").alias("n")).where("n > 1").select("rank"), "shared-ranks")
     left = discard(stored(rows.join(shared, "rank"), "shared-runs"), shared)
     pairs = stored(_ranked(left), "pairs")
     forked = stored(pairs.groupBy("rank").count().where("count > 1").select("rank"), "forked")
@@ -208,9 +220,11 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENG
     return discard(stored(found, "found"), left, pairs, single, several)
 
 
-def _merged(spans: list, length: int) -> tuple[np.ndarray, np.ndarray]:
-    lo = np.array([s["lo"] for s in spans], np.int64)
-    hi = lo + np.array([s["n"] for s in spans], np.int64) + length - 1
+def _merged(lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of bytes from starts and their numbers; none for none."""
+    if not len(lo):
+        return lo, lo
+    hi = lo + n + length - 1
     order = np.argsort(lo, kind="stable")
     lo, hi = lo[order], np.maximum.accumulate(hi[order])
     new = np.ones(len(lo), bool)
@@ -229,9 +243,14 @@ def _with_spans(docs: DataFrame, doc_id: str, text: str, length: int, emit, sche
     def run(batches):
         for piece in pieces(batches, "t"):
             data, at = flat(piece.column("t"))
+            spans = piece.column("spans")
+            each = spans.flatten()
+            lo, n = (each.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "n"))
+            top = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(spans), 0), np.int64))])
             rows = []
-            for i, s in enumerate(piece.column("spans").to_pylist()):
-                rows.append(emit(data[at[i] : at[i + 1]], *(_merged(s, length) if s else (np.zeros(0, np.int64),) * 2)))
+            for i in range(piece.num_rows):
+                own = slice(top[i], top[i + 1])
+                rows.append(emit(data[at[i] : at[i + 1]], *_merged(lo[own], n[own], length)))
             yield pa.RecordBatch.from_arrays([piece.column("d"), *(pa.array(c) for c in zip(*rows, strict=True))], ["doc_id", *(f.split()[0] for f in schema.split(", "))])
 
     out = joined.mapInArrow(run, "doc_id bigint, " + schema)
