@@ -144,7 +144,7 @@ def _open(docs: DataFrame, chosen: DataFrame, split) -> DataFrame:
             yield _rows(rank, rest, piece.column("d"), row, start - at[row], piece.column("tag").to_numpy()[row].astype(np.int64), n, ahead)
 
     tagged = _tagged(docs)
-    joined = tagged.join(wanted, (tagged.d == wanted.doc) & (tagged.g == wanted.tag)).select("d", "t", "tag", "runs")
+    joined = tagged.join(_hashed(wanted), (tagged.d == wanted.doc) & (tagged.g == wanted.tag)).select("d", "t", "tag", "runs")
     return joined.mapInArrow(emit, ROWS)
 
 
@@ -191,6 +191,12 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(emit, "d bigint, t string, g int")
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """The side of a join that has one row for each key; a task hashes its part of it, and the other side, with
+    the popular keys, streams past unsorted."""
+    return df.hint("shuffle_hash")
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
     """Of each pair of ranks, the earliest row and the number of rows."""
     return rows.groupBy("rank", "rest").agg(F.min(F.struct("doc", "place", "n", "ahead")).alias("first"), F.count("*").alias("rows"))
@@ -199,7 +205,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
 def _later(rows: DataFrame, several: DataFrame) -> DataFrame:
     """The rows that are not the earliest of their pair of ranks."""
     first = several.select("rank", "rest", F.col("first.doc").alias("fd"), F.col("first.place").alias("fp"))
-    return rows.join(first, ["rank", "rest"]).where("doc != fd OR place != fp").select("doc", "place", "n")
+    return rows.join(_hashed(first), ["rank", "rest"]).where("doc != fd OR place != fp").select("doc", "place", "n")
 
 
 def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENGTH) -> DataFrame:
@@ -207,13 +213,13 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENG
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = _run_rows(own, length)
     shared = stored(_run_ranks(own, length).groupBy("rank").agg(F.sum("times").alias("n")).where("n > 1").select("rank"), "shared-ranks")
-    left = discard(stored(rows.join(shared, "rank"), "shared-runs"), shared)
+    left = discard(stored(rows.join(_hashed(shared), "rank"), "shared-runs"), shared)
     pairs = stored(_ranked(left), "pairs")
     forked = stored(pairs.groupBy("rank").count().where("count > 1").select("rank"), "forked")
-    opened = discard(stored(pairs.join(forked, "rank").select("rank", "first.*"), "opened"), forked)
+    opened = discard(stored(pairs.join(_hashed(forked), "rank").select("rank", "first.*"), "opened"), forked)
     cells = discard(stored(_open(own, opened, _cells(length)), "cells"), opened)
     alike = stored(cells.groupBy("rank", "rest").count().where("count > 1").select("rank", "rest"), "alike")
-    kept = discard(stored(cells.join(alike, ["rank", "rest"]).select("rank", "doc", "place", "n", "ahead"), "kept-cells"), cells, alike)
+    kept = discard(stored(cells.join(_hashed(alike), ["rank", "rest"]).select("rank", "doc", "place", "n", "ahead"), "kept-cells"), cells, alike)
     single = discard(stored(_open(own, kept, _starts(length)), "starts"), kept)
     several = stored(_ranked(single).where("rows > 1"), "start-ranks")
     found = _later(left, pairs.where("rows > 1")).unionByName(_later(single, several))
@@ -238,7 +244,7 @@ def _with_spans(docs: DataFrame, doc_id: str, text: str, length: int, emit, sche
     by_doc = spans.groupBy("doc", F.expr("cast(place & 65535 as int)").alias("tag")).agg(F.collect_list(F.struct(F.expr("shiftright(place, 16)").alias("lo"), "n")).alias("spans"))
     own = _tagged(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")))
     by_doc = discard(stored(by_doc, "spans"), spans)
-    joined = own.join(by_doc, (own.d == by_doc.doc) & (own.g == by_doc.tag), "left").select("d", "t", "spans")
+    joined = own.join(_hashed(by_doc), (own.d == by_doc.doc) & (own.g == by_doc.tag), "left").select("d", "t", "spans")
 
     def run(batches):
         for piece in pieces(batches, "t"):
