@@ -1,0 +1,28 @@
+import random
+
+import pyarrow as pa
+
+from undertone.llm import toxicity
+from undertone.llm.words import Lookup
+
+
+def letters(n):
+    return "".join(chr(97 + n // 26**i % 26) for i in range(4))
+
+
+def test_every_marking_word_counts(spark):
+    rng = random.Random(4)
+    bad = ["zz" + letters(i) for i in range(1800)]
+    plain = ["aa" + letters(i) for i in range(300)]
+    rows, labels = [], []
+    for i in range(9000):
+        toxic = i % 10 == 0
+        words = rng.choices(plain, k=12) + ([bad[(i // 10 * 12 + k) % 1800] for k in range(12)] if toxic else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scorer = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    rng.shuffle(bad)
+    texts = [" ".join(bad[i : i + 12]) for i in range(0, 1800, 12)] + [" ".join(rng.choices(plain, k=12)) for _ in range(100)]
+    got = scorer.score(pa.array(texts), Lookup(scorer.keys)) >= toxicity.THRESHOLD
+    assert got[:150].all() and not got[150:].any()

@@ -12,9 +12,9 @@ the same labelled rows maps g to a probability.
 
 What is learnt comes from a bounded, documented sample: at most about MOST_POSITIVE toxic
 documents, MOST_UNLABELLED unlabelled and MOST_CHECKED labelled documents, chosen by a hash of
-the id. Words are runs of letters, A-Z lower-cased, hashed to 64 bits; the model keeps at most
-MOST_WORDS words, those whose share among the toxic examples most exceeds their share
-among the unlabelled. Scoring reads every word of every text.
+the id. Words are runs of letters, A-Z lower-cased, hashed to 64 bits; the model keeps every
+word that is in enough toxic examples and clearly more frequent there than among the
+unlabelled; their number is bounded by the sample alone. Scoring reads every word of every text.
 
 Defined results: null and empty texts are scored from the intercept alone; labels of null or
 unknown ids are ignored; a doc_id with several labels counts as toxic if one of them is; with
@@ -36,11 +36,10 @@ from undertone.llm.words import NOT_LETTER, U64, Lookup, words_of
 
 THRESHOLD = 0.7
 MOST_POSITIVE, MOST_UNLABELLED, MOST_CHECKED = 4_000, 8_000, 4_000
-MOST_WORDS = 400
-#: A word must be in this many toxic examples, in this share of them, and stand this many standard
-#: deviations above what its share among the unlabelled leads to expect.
-LEAST_DOCS, LEAST_SHARE, LEAST_DEVIATIONS = 4, 0.004, 5.0
-WEIGHT_DECAY, STEPS, RATE = 1e-3, 300, 0.1
+#: A word must be in this many toxic examples and stand this many standard deviations above what
+#: its share among the unlabelled leads to expect.
+LEAST_DOCS, LEAST_DEVIATIONS = 4, 5.0
+WEIGHT_DECAY, STEPS, RATE = 1e-3, 600, 0.05
 
 
 @dataclass
@@ -67,17 +66,37 @@ class Scorer:
         return self.probability(g + self.bias)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = WEIGHT_DECAY) -> tuple[np.ndarray, float]:
+@dataclass
+class Presence:
+    """Rows of zeros and ones: the row and column of each one, rows and columns."""
+
+    row: np.ndarray
+    at: np.ndarray
+    n: int
+    width: int
+
+    @classmethod
+    def of(cls, x: np.ndarray | Presence) -> Presence:
+        return x if isinstance(x, cls) else cls(*np.nonzero(x), *x.shape)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.at], self.n)
+
+    def back(self, z: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, z[self.row], self.width)
+
+
+def fit_nnpu(positive: np.ndarray | Presence, unlabelled: np.ndarray | Presence, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = WEIGHT_DECAY) -> tuple[np.ndarray, float]:
     """Weights and intercept by full-batch Adam on the non-negative risk."""
-    n = positive.shape[1] + 1
-    p, u = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (positive, unlabelled))
-    w, m, v = (np.zeros(n, p.dtype) for _ in range(3))
+    p, u = Presence.of(positive), Presence.of(unlabelled)
+    w, m, v = (np.zeros(p.width + 1) for _ in range(3))
     rise = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
+    back = lambda x, z: np.append(x.back(z), z.sum()) / x.n
     for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
+        gp, gu = (x.dot(w[:-1]) + w[-1] for x in (p, u))
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        of_negative = u.T @ rise(gu) / len(u) - prior * (p.T @ rise(gp)) / len(p)
-        of_positive = -prior * (p.T @ rise(-gp)) / len(p)
+        of_negative = back(u, rise(gu)) - prior * back(p, rise(gp))
+        of_positive = -prior * back(p, rise(-gp))
         grad = of_positive + of_negative if negative >= 0 else -of_negative
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -144,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", lab
     share = held.mapInArrow(counts, "word bigint, p bigint, u bigint").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     expected = (F.col("u") + 1) * (sizes.p / sizes.u)
     above = (F.col("p") - expected) / F.sqrt(expected)
-    best = share.where((F.col("p") >= max(min(LEAST_DOCS, sizes.p), LEAST_SHARE * sizes.p)) & (above >= LEAST_DEVIATIONS)).orderBy(above.desc(), "word").limit(MOST_WORDS).collect()
+    best = share.where((F.col("p") >= min(LEAST_DOCS, sizes.p)) & (above >= LEAST_DEVIATIONS)).select("word").collect()
     keys = np.sort(np.array([r.word for r in best], np.int64).view(U64))
     if not len(keys):
         return none
@@ -159,16 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", lab
     sample = held.mapInArrow(matrix, "positive boolean, unlabelled boolean, y int, at array<int>").collect()
     sample.sort(key=lambda r: (bool(r.positive), bool(r.unlabelled), -1 if r.y is None else r.y, r["at"]))
 
-    def dense(rows):
-        x = np.zeros((len(rows), len(keys)), np.float32)
-        for i, r in enumerate(rows):
-            x[i, r["at"]] = 1
-        return x
+    def presence(rows):
+        at = np.array([i for r in rows for i in r["at"]], np.int64)
+        return Presence(np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows]), at, len(rows), len(keys))
 
     prior = n[1] / (n[1] + n.get(0, 0))
-    weights, bias = fit_nnpu(dense([r for r in sample if r.positive]), dense([r for r in sample if r.unlabelled]), prior)
+    weights, bias = fit_nnpu(presence([r for r in sample if r.positive]), presence([r for r in sample if r.unlabelled]), prior)
     marked = [r for r in sample if r.y is not None]
-    scale, shift = fit_probability(dense(marked) @ weights + bias, np.array([float(r.y > 0) for r in marked])) if marked else (1.0, 0.0)
+    scale, shift = fit_probability(presence(marked).dot(weights) + bias, np.array([float(r.y > 0) for r in marked])) if marked else (1.0, 0.0)
     return Scorer(keys, weights, bias, scale, shift)
 
 
