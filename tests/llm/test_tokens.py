@@ -38,7 +38,7 @@ def test_against_bytes_one_by_one(spark, rule):
     texts = TEXTS + ["".join(rng.choices("ab é日\n\n.", k=rng.randint(1, 200))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "x\ny")], "doc_id bigint, text string").withColumns({"section": F.lit("clash"), "start": F.lit(0)})
     tokenizer = tokens.Tokenizer()
-    encoder, _ = tokenizer.open()
+    encoder = tokenizer.open().whole
     found = defaultdict(list)
     for r in tokens.count_tokens(docs, tokenizer, rule=rule).collect():
         found[r.doc_id].append((r.section, r.n_tokens, r.start, r.end, r.doc_tokens))
@@ -57,3 +57,24 @@ def test_tokens_that_cross_and_empty_table(spark):
     assert tokens.count_tokens(docs.limit(0), tokens.Tokenizer()).count() == 0
     with pytest.raises(ValueError):
         tokens.count_tokens(docs, tokens.Tokenizer(), rule="none")
+
+
+@pytest.mark.parametrize("one", [" ", "\n", "x", "\u3000", "\t", "7", "."])
+def test_very_long_runs_of_one_character(one):
+    """The library can't split very long white space, so short runs are compared with it and long ones with their parts."""
+    encoder = tokens.Tokenizer().open()
+    for n in (255, 256, 257, 1000, 20_000):
+        for text in (one * n, one * n + "word", "a" + one * n + " b", "a" + one * n + "\n", one * n + "é" + one * n):
+            assert encoder.ids(text).tolist() == encoder.whole.encode_ordinary(text)
+    ids = encoder.ids("a" + one * 5_000_000 + "b")
+    assert encoder.size[ids].sum() == 2 + 5_000_000 * len(one.encode())
+    assert encoder.whole.decode(ids.tolist()) == "a" + one * 5_000_000 + "b"
+    if one.isspace():
+        assert ids.tolist() == encoder.ids("a").tolist() + encoder.run.encode_ordinary(one * 4_999_999) + encoder.ids(one + "b").tolist()
+
+
+def test_long_white_space_in_a_table(spark):
+    texts = ["a" + " " * 3_000_000 + "b", "\n" * 3_000_000, " \n\t" * 1_000_000 + "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = tokens.count_tokens(docs, tokens.Tokenizer()).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("d"), F.max("end").alias("e")).collect()
+    assert len(got) == 3 and all(r.n == r.d for r in got) and {r.doc_id: r.e for r in got} == dict(enumerate(map(len, texts)))

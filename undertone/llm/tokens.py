@@ -22,15 +22,43 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undertone.llm.bpe import WHITE
 from undertone.llm.shared import pieces, read_table
 from undertone.llm.words import flat
 
 RULES = ("start", "most", "split")
-_ENCODERS: dict[int, tuple] = {}
+#: White space from this length on is encoded apart: the library's splitter runs out of stack on very long runs.
+LONG_RUN = regex.compile(f"[{WHITE}]{{256,}}")
+_ENCODERS: dict[int, Encoder] = {}
+
+
+class Encoder:
+    """The public library's encoder over texts of any length.
+
+    A run of white space before a word is one word but for its last character, and at the end of
+    a text it is one word as a whole, so it can be encoded by itself without a change to the ids.
+    This holds for the default pattern only; with another one texts are encoded as they are."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, own: bool):
+        self.whole = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.run = None if own else tiktoken.Encoding("run", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.size[i] = len(token)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        text, parts, at = text or "", [], 0
+        for m in LONG_RUN.finditer(text) if self.run else ():
+            end = m.end() - (m.end() < len(text))
+            parts += [self.whole.encode_to_numpy(text[at : m.start()], disallowed_special=()), self.run.encode_to_numpy(text[m.start() : end], disallowed_special=())]
+            at = end
+        parts.append(self.whole.encode_to_numpy(text[at:], disallowed_special=()))
+        return np.concatenate(parts).astype(np.int64)
 
 
 class Tokenizer:
@@ -41,16 +69,13 @@ class Tokenizer:
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pattern = pattern or public_tokenizers.PATTERN
+        self.pattern, self.own = pattern or public_tokenizers.PATTERN, pattern is not None
 
-    def open(self):
-        """The encoder, and the number of bytes of each id; once in a worker."""
+    def open(self) -> Encoder:
+        """The encoder; once in a worker."""
         key = hash((self.pattern, len(self.ranks)))
         if key not in _ENCODERS:
-            size = np.zeros(max(self.ranks.values()) + 1, np.int64)
-            for token, i in self.ranks.items():
-                size[i] = len(token)
-            _ENCODERS[key] = (tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={}), size)
+            _ENCODERS[key] = Encoder(self.ranks, self.pattern, self.own)
         return _ENCODERS[key]
 
 
@@ -91,21 +116,22 @@ def count_tokens(docs: DataFrame, tokenizer: Tokenizer, *, doc_id="doc_id", text
     names = ["doc_id", "section", "start", "end", "n_tokens", "crossing", "doc_tokens"]
 
     def run(batches):
-        encoder, size = shipped.value.open()
+        encoder = shipped.value.open()
         for piece in pieces(batches, "t"):
             data, at = flat(piece.column("t"))
             rows, parts = [], []
             for i, t in enumerate(piece.column("t").to_pylist()):
                 own = data[at[i] : at[i + 1]]
                 cuts = sections(own) if len(own) else np.zeros(1, np.int64)
-                ids = np.array(encoder.encode_ordinary(t or ""), np.int64)
-                sizes = size[ids]
+                ids = encoder.ids(t)
+                sizes = encoder.size[ids]
                 ends = np.cumsum(sizes)
-                points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
+                points = np.add.reduceat(((own & 0xC0) != 0x80).view(np.uint8), cuts, dtype=np.int64) if len(own) else np.zeros(1, np.int64)
+                points = np.concatenate([[0], np.cumsum(points)])
                 tops = np.append(cuts[1:], len(own))
                 inside = np.searchsorted(ends - sizes, tops, "left") - np.searchsorted(ends, tops, "right")
                 rows += [i] * len(cuts)
-                parts.append((np.arange(len(cuts)), points[cuts], points[tops], attribute(sizes, cuts, rule), inside, np.full(len(cuts), len(ids))))
+                parts.append((np.arange(len(cuts)), points[:-1], points[1:], attribute(sizes, cuts, rule), inside, np.full(len(cuts), len(ids))))
             merged = [np.concatenate(x) for x in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([piece.column("d").take(pa.array(rows, pa.int64())), *(pa.array(m, pa.float64() if n == "n_tokens" else pa.int64()) for m, n in zip(merged, names[1:], strict=True))], names)
 
