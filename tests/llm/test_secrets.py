@@ -1,5 +1,9 @@
+import base64
 import hashlib
+import random
 import re
+import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -63,3 +67,77 @@ def test_query_digest(spark):
     d = docs(spark)
     out = secrets.scan(d, secrets.train(d.where('doc_id >= 100'))).select(F.sha2(secrets._written("base_spans"), 256).alias("h"), "text").collect()
     assert all(r.h == hashlib.sha256(slow(r.text).encode()).hexdigest() for r in out)
+
+
+def slow_spans(text, model):
+    """All spans one by one, by looping over the characters of each run."""
+    base = [(m.start(), k, m.end()) for k, (_, p, ok) in enumerate(PATTERNS) for m in p.finditer(text) if ok(m)]
+    more = []
+    for m in re.finditer(secrets.TOKEN, text):
+        codes = [secrets.ALPHABET.index(c) for c in m[0]]
+        total = sum(model[a * secrets.SYMBOLS + b] for a, b in zip(codes, codes[1:], strict=False))
+        if total >= secrets.LEAST_RATIO and not any(a <= m.start() and m.end() <= b for a, _, b in base):
+            more.append((m.start(), 3, m.end()))
+    return sorted(base + more)
+
+
+def slow_redacted(text, spans):
+    covered = [False] * len(text)
+    heads = set()
+    reach = 0
+    for a, _, b in spans:
+        if a >= reach:
+            heads.add(a)
+        reach = max(reach, b)
+        covered[a:b] = [True] * (b - a)
+    return "".join(("[SECRET]" if i in heads else "") + ("" if covered[i] else c) for i, c in enumerate(text))
+
+
+def test_all_spans_and_redaction_against_brute_force(spark):
+    rng = random.Random(5)
+    kinds = [lambda: rng.choice(ORDINARY.split()), lambda: "".join(rng.choices(string.ascii_letters + string.digits + "+/_=-", k=rng.randint(10, 60))), lambda: "token=" + "".join(rng.choices("abcXYZ019+/", k=rng.randint(4, 40))), lambda: "".join(rng.choices("0123456789abcdef", k=rng.randint(20, 80))), lambda: "AKIA" + "".join(rng.choices(string.ascii_uppercase, k=rng.randint(5, 20))), lambda: rng.choice(["é", "😀", "x", "password: ", "api_key"])]
+    texts = ["".join(rng.choice(kinds)() + rng.choice(["", " ", " ", "\n", ":"]) for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    model = secrets.train(docs(spark).where("doc_id >= 100"))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(d, model).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(d, model).collect()}
+    markov = 0
+    for i, t in enumerate(texts):
+        want = slow_spans(t, model)
+        assert found[i] == want, t
+        assert clean[i] == slow_redacted(t, want), t
+        markov += sum(k == 3 for _, k, _ in want)
+    assert markov > 100
+
+
+def test_kinds_without_a_pattern_are_found(spark):
+    """Random values that no fixed pattern knows, among ordinary words, names and numbers."""
+    rng = random.Random(11)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/"]
+    planted = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))) for _ in range(300)] + [base64.b64encode(rng.randbytes(24)).decode() for _ in range(100)]
+    words = ORDINARY.split()
+    plain = ["".join(rng.choices(words, k=rng.randint(2, 4)))[:64] for _ in range(300)] + ["_".join(rng.choices(words, k=3)) for _ in range(200)] + [str(rng.randrange(10**15, 10**16)) for _ in range(100)] + ["/".join(rng.choices(words, k=4)) for _ in range(100)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(planted + plain)], "doc_id bigint, text string")
+    model = secrets.train(docs(spark).where("doc_id >= 100"))
+    hit = {r.doc_id: len(r.spans) for r in secrets.scan(d, model).collect()}
+    recall = sum(hit[i] > 0 for i in range(len(planted))) / len(planted)
+    wrong = sum(hit[i] > 0 for i in range(len(planted), len(hit))) / len(plain)
+    print(f"recall {recall:.3f}, false {wrong:.3f}")
+    assert recall >= 0.9 and wrong <= 0.02
+
+
+def test_long_runs_and_many_matches(spark):
+    """Time in proportion to a run's length; very many matches in one text."""
+    rng = random.Random(3)
+    run = base64.b64encode(rng.randbytes(3_750_000)).decode()
+    many = " ".join(f"token={rng.randrange(10**9, 10**10)}" for _ in range(30_000))
+    model = secrets.train(docs(spark).where("doc_id >= 100"))
+    d = spark.createDataFrame([(1, run)], "doc_id bigint, text string")
+    began = time.time()
+    (r,) = secrets.scan(d, model).collect()
+    assert [tuple(s) for s in r.spans] == [(0, 3, len(run.rstrip("\n")))] and time.time() - began < 30
+    d = spark.createDataFrame([(2, many)], "doc_id bigint, text string")
+    (r,) = secrets.scan(d, model).collect()
+    assert [tuple(s) for s in r.spans] == slow_spans(many, model) and len(r.spans) == 30_000
+    (r,) = secrets.redact(d, model).collect()
+    assert r.text == " ".join(["[SECRET]"] * 30_000)
