@@ -1,27 +1,28 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Every context is a restaurant whose customers are the words that follow it; dishes are words.
-A context is the last byte of the preceding word (0 at the start of a text), so there are 256
-restaurants at most, and all share one parent, the restaurant of words without context, whose
-base is uniform over the vocabulary and one unknown word. A table opened in a context sends a
-customer to the parent.
-
-Seating is sampled by Gibbs sweeps. A sweep reseats each dish of each restaurant customer by
-customer given everything else as the sweep before left it: customer j joins a table that
-serves the dish with weight j - d * tables, or opens one with weight (theta + d * tables of the
-restaurant) * parent's probability. The first 32 customers of a dish sit one by one; beyond, a
-32nd of those seated sit at a time, and the number of new tables is the expected number rounded
-at random. Random numbers are hashes of word, context, sweep and step, so a task that runs again
-draws the same. Only restaurant totals (258 numbers a sweep) pass through the driver; seats are a
-table of one row for each bucket of words, since the parent's probability of a word needs nothing
-but that word's contexts and totals. Predictive probabilities are averaged over the sweeps after
-the burn-in.
-
-Texts are cut into pieces of bounded size. A piece asks for each distinct word once, with the
-contexts it needs; requests are packed by bucket, a range of the word's 64-bit hash, and meet the
-bucket's restaurants in a cogroup. The number of buckets follows the requests, and a bucket's
-requests are also split by SALT_PARTITIONS input partitions, so that no word's popularity makes a group large. What
-is shuffled follows the input; nothing that grows with it is broadcast or sent to the driver.
+Every word is a context, a restaurant whose customers are the words that follow it (the start of a
+text is a context too); dishes are words. All contexts share one parent, the restaurant of words
+without context, whose base is uniform over the vocabulary and one unknown word. A table opened in
+a context sends a customer to the parent.
+
+Seating is sampled by Gibbs sweeps. In a sweep all customers of a dish in a restaurant leave and are
+seated again, one after the other: with j customers at t tables of the dish, the next one joins
+them with weight j - d * t, or opens a table with weight (theta + d * tables of the restaurant) *
+parent's probability of the dish, from which the dish's own customers are taken out. The new
+seating is accepted with the probability that a Metropolis-Hastings step on the posterior asks for
+(`seated`; the first sweep always), otherwise the old one stays. Between two openings the weights don't change, so the next opening is drawn at once
+from the product of the joining probabilities: a dish costs as many steps as it has tables,
+however many customers it has. The totals of other restaurants are those that the sweep before
+left. Random numbers are hashes of word, context, sweep and step, so a task that runs again draws
+the same. Predictive probabilities are averaged over the sweeps after the burn-in.
+
+Where the work lies. Pairs of word and context are dealt into a grid of buckets by ranges of both
+hashes, so neither a popular word nor a popular context fills one bucket. In a sweep a bucket
+tells the words' buckets how many tables it has of each word, as a dish and as a context, and is told the
+totals; only three totals of a sweep pass through the driver. Pairs seen once always have one table and
+take no part. For scoring, texts are cut into pieces of bounded size; a piece asks each bucket for its
+distinct pairs and words, and is told counts and tables. Rows hold packed arrays. What is shuffled
+follows the input; nothing that grows with it is broadcast or sent to the driver.
 
 Defined results: null and empty texts are one end token; with nothing to learn from, base and
 model are uniform over one unknown word; ids may be null or repeated, each row is judged
@@ -41,14 +42,12 @@ from pyspark.sql import functions as F
 from undertone.llm.shared import discard, fold, pieces, read_table, stored
 from undertone.llm.words import BASE, U64, mix, words_of
 
-CONTEXTS = 256
-DISCOUNT, STRENGTH = 0.75, 20.0
+DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 100.0
 BURN_IN, SAMPLES = 2, 3
-ONE_BY_ONE = 32
-END = int(mix(np.array([0xE0D], U64))[0])
-#: Requests in a bucket, about, and input partitions whose requests to a bucket make one group.
-BUCKET_WORDS, SALT_PARTITIONS = 1 << 20, 4096
+END, START = (int(x) for x in mix(np.array([0xE0D, 0x57A], U64)))
+#: Bytes of text for each bucket, about, and bytes of text whose requests to a bucket make one group.
+BUCKET_BYTES, SALT_BYTES = 1 << 23, 1 << 36
 
 
 def pack(x: np.ndarray, kind) -> bytes:
@@ -62,6 +61,14 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=U64(0)), U64)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, U64), dtype=U64)
+
+
 def _each(batches):
     """Rows one by one, so that only one row's bytes are copied at a time."""
     for batch in batches:
@@ -69,301 +76,591 @@ def _each(batches):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _row(names: list[str], *values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array([v], pa.binary() if isinstance(v, bytes) else None) for v in values], names)
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema.types, strict=True)], schema=schema)
 
 
-def _cut(docs: DataFrame, doc_type: str) -> DataFrame:
-    """A row for each piece: its documents, its tokens as pairs of distinct word and context, the
-    distinct words with their contexts, and how often each pair occurs in training texts."""
-    names = ["piece", "n_words", "docs", "held", "first", "word", "per_word", "context", "seen", "token"]
+def _schema(text: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in text.split(", "))])
 
-    def emit(batches):
-        part, k = TaskContext.get().partitionId(), 0
-        for piece in pieces(batches, "t"):
-            words = words_of(piece.column("t"))
-            n_docs = piece.num_rows
-            row = np.concatenate([words.row, np.arange(n_docs)])
-            order = np.argsort(row, kind="stable")
-            row = row[order]
-            h = np.concatenate([words.hashes(), np.full(n_docs, END, U64)])[order]
-            last = np.concatenate([words.data[words.ends - 1], np.zeros(n_docs, np.uint8)])[order]
-            first = np.searchsorted(row, np.arange(n_docs + 1))
-            context = np.zeros(len(h), np.int64)
-            context[1:] = last[:-1]
-            context[first[:-1]] = 0
-            word, at = np.unique(h, return_inverse=True)
-            pair, of = np.unique(at * CONTEXTS + context, return_inverse=True)
-            train = np.asarray(piece.column("train").to_pylist(), bool)
-            seen = np.bincount(of, train[row], len(pair))
-            per_word = np.bincount(pair // CONTEXTS, minlength=len(word))
-            ids = pa.array([piece.column("d").to_pylist()], pa.list_(piece.column("d").type))
-            yield _row(names, (part << 32) + k, len(word), ids, pa.array([(~train).tolist()], pa.list_(pa.bool_())), pa.array([first.tolist()], pa.list_(pa.int32())), word.tobytes(), pack(per_word, np.uint16), (pair % CONTEXTS).astype(np.uint8).tobytes(), pack(seen, np.int32), pack(of, np.int32))
-            k += 1
 
-    return docs.mapInArrow(emit, f"piece bigint, n_words bigint, docs array<{doc_type}>, held array<boolean>, first array<int>, word binary, per_word binary, context binary, seen binary, token binary")
+# ---------------------------------------------------------------- seating
 
 
-REQUEST = ["bucket", "salt", "piece", "word", "per_word", "context", "seen"]
-REQUESTS = "bucket int, salt int, piece bigint, word binary, per_word binary, context binary, seen binary"
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers, by Stirling's series from 8 on."""
+    shift = np.zeros(len(x))
+    small = np.flatnonzero(x < 8)
+    low = x[small]
+    product = np.ones(len(small))
+    for k in range(8):
+        product *= low + k
+    shift[small] = np.log(product)
+    y = x.copy()
+    y[small] += 8
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - shift
 
 
-def _requests(cut: DataFrame, bits: int) -> DataFrame:
-    """The words of each piece by bucket, sorted, as differences."""
+def _salted(key: np.ndarray, salt: int) -> np.ndarray:
+    return mix(key * U64(BASE) + U64(salt))
 
-    def emit(batches):
-        for r in _each(batches):
-            word, per_word = np.frombuffer(r["word"], U64), unpack(r["per_word"], np.uint16)
-            context, seen = np.frombuffer(r["context"], np.uint8), unpack(r["seen"], np.int32)
-            bucket = (word >> U64(64 - bits)).astype(np.int64)
-            at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            pairs = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])
-            rows = []
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(word)], strict=True):
-                p, q = pairs[a], pairs[b]
-                rows.append((int(bucket[a]), (r["piece"] >> 32) // SALT_PARTITIONS, r["piece"], pack(np.diff(word[a:b], prepend=U64(0)), U64), pack(per_word[a:b], np.uint16), context[p:q].tobytes(), pack(seen[p:q], np.int32)))
-            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], REQUEST)
-
-    return cut.select("piece", "word", "per_word", "context", "seen").mapInArrow(emit, REQUESTS)
-
-
-def _read(row: dict) -> tuple[np.ndarray, ...]:
-    """Words, contexts in each, contexts, and counts of a packed row."""
-    return np.cumsum(unpack(row["word"], U64), dtype=U64), unpack(row["per_word"], np.uint16).astype(np.int64), np.frombuffer(row["context"], np.uint8), unpack(row["seen"], np.int64 if row["piece"] < 0 else np.int32)
-
-
-def _merge(group: pa.Table) -> pa.Table:
-    """One row for all rows of a bucket: pairs that were seen, counts added up."""
-    bucket = group.column("bucket")[0].as_py()
-    parts = [_read(r) for r in group.to_pylist()]
-    words = np.concatenate([np.repeat(w, n) for w, n, _, _ in parts])
-    seen = np.concatenate([s.astype(np.int64) for *_, s in parts])
-    context = np.concatenate([c for _, _, c, _ in parts])[seen > 0]
-    words, seen = words[seen > 0], seen[seen > 0]
-    word, at = np.unique(words, return_inverse=True)
-    pair, of = np.unique(at * CONTEXTS + context, return_inverse=True)
-    n = np.bincount(of, seen, len(pair))
-    values = (bucket, 0, -1, pack(np.diff(word, prepend=U64(0)), U64), pack(np.bincount(pair // CONTEXTS, minlength=len(word)), np.uint16), (pair % CONTEXTS).astype(np.uint8).tobytes(), pack(n, np.int64))
-    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-    return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], REQUEST)
+
+def _uniform(key: np.ndarray) -> np.ndarray:
+    return ((key >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
 @dataclass
-class Totals:
-    """Customers by context, and after each sweep the tables by context, the parent's customers and tables."""
+class Seating:
+    """Of each dish the number of tables, and the customers (from 0) who opened those after the first."""
+
+    tables: np.ndarray
+    opened: np.ndarray
 
-    customers: np.ndarray
-    words: int
-    tables: list[np.ndarray] = field(default_factory=list)
-    parent_customers: list[float] = field(default_factory=list)
-    parent_tables: list[float] = field(default_factory=list)
+    @classmethod
+    def least(cls, n: int) -> Seating:
+        return cls(np.ones(n, np.int64), np.zeros(0, np.int64))
 
     @property
-    def tokens(self) -> int:
-        return int(self.customers.sum())
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.tables)), self.tables - 1)
 
-    def base(self) -> float:
-        return 1.0 / (self.words + 1)
+    def cut(self, customers: np.ndarray) -> Seating:
+        """Without the customers from these numbers on."""
+        owner = self.owner
+        keep = self.opened < customers[owner]
+        return Seating(1 + np.bincount(owner[keep], minlength=len(self.tables)), self.opened[keep])
 
-    def parent(self, s: int, own: np.ndarray) -> np.ndarray:
-        """The parent's probability after sweep s of words with customers less discounted tables `own`."""
-        new = (PARENT_STRENGTH + PARENT_DISCOUNT * self.parent_tables[s]) * self.base()
-        return (own + new) / (PARENT_STRENGTH + self.parent_customers[s])
 
-    def opening(self, s: int) -> np.ndarray:
-        """By context: the weight of the parent in the predictive probability after sweep s."""
-        return (STRENGTH + DISCOUNT * self.tables[s]) / (STRENGTH + self.customers)
+def seat(start: Seating, at: np.ndarray, customers: np.ndarray, weight: np.ndarray, slope: np.ndarray, discount: float, key: np.ndarray) -> Seating:
+    """Seats further customers, from number `at` (1 at least) up to `customers`. A new table has weight + slope * tables of the dish."""
+    left = np.flatnonzero(at < customers)
+    j, n, t = at[left].astype(float), customers[left].astype(float), start.tables[left].astype(float)
+    owners, opened = [start.owner], [start.opened]
+    step = 0
+    while len(left):
+        a = weight[left] + slope[left] * t
+        low = j - discount * t
+        draw = np.log(_uniform(_salted(key[left], step)))
+        begin = log_gamma(low) - log_gamma(low + a)
+        after = lambda m: log_gamma(low + m) - log_gamma(low + m + a) - begin  # noqa: B023, E731  log probability that m more all join
+        on = np.flatnonzero(after(n - j) <= draw)
+        left, j, n, t, low, a, draw, begin = (x[on] for x in (left, j, n, t, low, a, draw, begin))
+        least, most = np.ones(len(left)), n - j  # the opening customer is the least m at which the product falls to the draw
+        while (open_ := least < most).any():
+            half = np.floor((least + most) / 2)
+            found = after(half) <= draw
+            most = np.where(open_ & found, half, most)
+            least = np.where(open_ & ~found, half + 1, least)
+        owners.append(left)
+        opened.append((j + least - 1).astype(np.int64))
+        j, t = j + least, t + 1
+        on = np.flatnonzero(j < n)
+        left, j, n, t = (x[on] for x in (left, j, n, t))
+        step += 1
+    owner, opened = np.concatenate(owners), np.concatenate(opened)
+    order = np.argsort(owner, kind="stable")
+    return Seating(1 + np.bincount(owner, minlength=len(customers)), opened[order])
+
+
+def log_importance(s: Seating, customers: np.ndarray, weight: np.ndarray, slope: np.ndarray, discount: float) -> np.ndarray:
+    """Log of the posterior weight of a seating over the probability with which `seat` draws it: the sum over its
+    customers of the log of all weights that were open to them."""
+    n = len(customers)
+    owner = np.concatenate([np.arange(n), s.owner])
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    begin = np.concatenate([np.ones(n, np.int64), s.opened + 1])[order]
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    end = np.append(begin[1:], 0)
+    end[np.append(first[1:], len(owner))[: len(first)] - 1] = customers
+    t = np.arange(len(owner)) - np.repeat(first, s.tables) + 1
+    on = np.flatnonzero(begin < end)
+    shift = weight[owner[on]] + (slope[owner[on]] - discount) * t[on]
+    return np.bincount(owner[on], log_gamma(end[on] + shift) - log_gamma(begin[on] + shift), n)
+
+
+def seated(old: Seating, customers: np.ndarray, weight: np.ndarray, slope: np.ndarray, discount: float, key: np.ndarray, first: bool = False) -> Seating:
+    """One sweep over dishes: all customers leave and sit down again; the new seating stays with the probability that keeps
+    the posterior as it is, else the old one. first: there is no old one worth keeping."""
+    n = len(customers)
+    new = seat(Seating.least(n), np.ones(n, np.int64), customers, weight, slope, discount, key)
+    if first:
+        return new
+    gain = log_importance(new, customers, weight, slope, discount) - log_importance(old, customers, weight, slope, discount)
+    take = np.log(_uniform(_salted(key, 1 << 40))) < gain
+    keep_old, keep_new = ~take[old.owner], take[new.owner]
+    owner, opened = np.concatenate([old.owner[keep_old], new.owner[keep_new]]), np.concatenate([old.opened[keep_old], new.opened[keep_new]])
+    return Seating(np.where(take, new.tables, old.tables), opened[np.argsort(owner, kind="stable")])
+
+
+# ---------------------------------------------------------------- texts
 
 
-def _salted(key: np.ndarray, salt: int) -> np.ndarray:
-    return mix(key * U64(BASE) + U64(salt))
+@dataclass
+class Grid:
+    """Buckets of pairs (by ranges of the word's and the context's hash) and of words; salts split what is asked of a bucket."""
 
+    bits: int
+    salts: int = 1
 
-def seat(n: np.ndarray, opening: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of dishes with n customers each; opening: the weight of a new table."""
-    tables = np.ones(len(n))
-    left = np.flatnonzero(n > 1)
-    key, want, new, j, t = _salted(key[left], sweep), n[left], opening[left], np.ones(len(left)), np.ones(len(left))
-    step = 0
-    while len(left):
-        k = np.minimum(np.where(j < ONE_BY_ONE, 1, np.floor(j / ONE_BY_ONE)), want - j)
-        draw = (_salted(key, step) >> U64(11)).astype(np.float64) / float(1 << 53)
-        t = t + np.minimum(np.floor(k * (new / (new + np.maximum(j - discount * t, 0))) + draw), k)
-        j = j + k
-        done = j >= want
-        tables[left[done]] = t[done]
-        go = ~done
-        left, key, want, new, j, t = left[go], key[go], want[go], new[go], j[go], t[go]
-        step += 1
-    return tables
+    def salt(self, piece: int) -> int:
+        return (piece >> 32) % self.salts
 
+    def pairs(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        by_context = self.bits // 3
+        own = (word >> U64(64 - (self.bits - by_context))).astype(np.int64)
+        return own << by_context | ((context >> U64(64 - by_context)).astype(np.int64) if by_context else 0)
 
-#: Of a bucket: words, contexts in each, contexts, customers and tables of each pair, tables of each word in the parent,
-#: averaged own part of each pair, the parent's own part of each word in each sample, and sums for Totals.
-STATE = ["bucket", "word", "per_word", "context", "n", "tables", "parent_tables", "own", "above", "sums"]
-STATES = "bucket int, word binary, per_word binary, context binary, n binary, tables binary, parent_tables binary, own binary, above binary, sums array<double>"
+    def words(self, word: np.ndarray) -> np.ndarray:
+        return (word >> U64(64 - self.bits)).astype(np.int64)
 
 
-def _state(bucket, word, per_word, context, n, tables, parent_tables, own, above) -> pa.RecordBatch:
-    owner = np.repeat(np.arange(len(word)), per_word)
-    sums = np.concatenate([np.bincount(context, tables, CONTEXTS), [tables.sum(), parent_tables.sum()], np.bincount(context, n, CONTEXTS), [len(word)]]) if len(owner) else np.zeros(2 * CONTEXTS + 3)
-    values = [pa.array([bucket], pa.int32()), word.tobytes(), pack(per_word, np.uint16), context.astype(np.uint8).tobytes(), pack(n, np.int64), pack(tables, np.int32), pack(parent_tables, np.int32), own.astype(np.float32).tobytes(), above.astype(np.float32).tobytes(), pa.array([sums.tolist()], pa.list_(pa.float64()))]
-    return _row(STATE, *values)
+def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """56 bits that stand for a pair within its bucket."""
+    return mix(context * U64(BASE) + word) >> U64(8)
 
 
-def _added(batches):
-    """The sums of a task's buckets: a number and a value for each that isn't zero."""
-    total = np.zeros(2 * CONTEXTS + 3)
-    for batch in batches:
-        total += np.array(batch.column("sums").to_pylist(), float).reshape(-1, len(total)).sum(0)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["k", "v"])
+@dataclass
+class Piece:
+    """Tokens of several texts. vocabulary: sorted hashes; word, context: their places for each distinct pair; token:
+    the pair of each token; first: where each text's tokens begin."""
+
+    first: np.ndarray
+    vocabulary: np.ndarray
+    word: np.ndarray
+    context: np.ndarray
+    token: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Piece:
+        words = words_of(column)
+        texts = np.arange(len(words.first) - 1)
+        h = np.empty(len(words.row) + len(texts), U64)
+        h[np.arange(len(words.row)) + words.row] = words.hashes()
+        h[words.first[1:] + texts] = END
+        first = words.first + np.arange(len(texts) + 1)
+        vocabulary, at = np.unique(np.append(h, U64(START)), return_inverse=True)
+        start, at = at[-1], at[:-1]
+        context = np.empty(len(at), np.int64)
+        context[1:] = at[:-1]
+        context[first[:-1]] = start
+        pair, token = np.unique(at * len(vocabulary) + context, return_inverse=True)
+        return cls(first, vocabulary, pair // len(vocabulary), pair % len(vocabulary), token)
+
+    def seen(self, train: np.ndarray) -> np.ndarray:
+        """How often each pair occurs in the texts that are learnt from."""
+        return np.bincount(self.token, np.repeat(train, np.diff(self.first)), len(self.word)).astype(np.int64)
+
+    def asked(self, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of pairs by bucket and key, and both in that order."""
+        word, context = self.vocabulary[self.word], self.vocabulary[self.context]
+        key = pair_key(word, context)
+        order = np.argsort(key)
+        order = order[np.argsort(grid.pairs(word[order], context[order]).astype(np.int32), kind="stable")]
+        return order, grid.pairs(word[order], context[order]), key[order]
+
+
+def _cut(docs: DataFrame, schema: str, emit, columns=("t",)) -> DataFrame:
+    """Rows of emit(piece number, batch, Piece) for each piece of the texts."""
+
+    def run(batches):
+        k = TaskContext.get().partitionId() << 32
+        for batch in pieces(batches, "t"):
+            yield from emit(k, batch, Piece.of(batch.column("t"))).to_batches()
+            k += 1
+
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def _ranges(bucket: np.ndarray):
+    """(bucket, from, to) of each run."""
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True) if len(at) else ()
+
+
+PAIRS = "bucket int, salt int, word binary, per_word binary, context binary, n binary"
+
+
+def _pairs_row(bucket: int, salt: int, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple:
+    """Pairs sorted by word, packed."""
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+    return bucket, salt, pack_sorted(word[first]), pack(np.diff(np.append(first, len(word))), np.int32), pack(context, U64), pack(n, np.int64)
+
+
+def _read_pairs(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.repeat(unpack_sorted(r["word"]), unpack(r["per_word"], np.int32)), unpack(r["context"], U64), unpack(r["n"], np.int64)
+
+
+def restaurants(docs: DataFrame, grid: Grid) -> DataFrame:
+    """A row for each bucket: its pairs of word and context that training texts hold, and how often."""
+    schema = _schema(PAIRS)
+
+    def emit(k, batch, piece):
+        n = piece.seen(np.asarray(batch.column("train").to_pylist(), bool))
+        on = np.flatnonzero(n)
+        word, context, n = piece.vocabulary[piece.word[on]], piece.vocabulary[piece.context[on]], n[on]
+        bucket = grid.pairs(word, context)
+        order = np.argsort(bucket.astype(np.int32), kind="stable")
+        word, context, n = word[order], context[order], n[order]
+        return _table([_pairs_row(b, grid.salt(k), word[p:q], context[p:q], n[p:q]) for b, p, q in _ranges(bucket[order])], schema)
 
+    def merge(group: pa.Table) -> pa.Table:
+        parts = [_read_pairs(r) for r in _each(group.to_batches())]
+        word, context, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((context, word))
+        word, context, n = word[order], context[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])]))
+        return _table([_pairs_row(group.column("bucket")[0].as_py(), 0, word[first], context[first], np.add.reduceat(n, first))], schema)
 
-def _start(model: DataFrame) -> DataFrame:
-    """One table for each pair and each word."""
+    rows = _cut(docs, PAIRS, emit, ("t", "train"))
+    return rows.groupBy("bucket", "salt").applyInArrow(merge, PAIRS).groupBy("bucket").applyInArrow(merge, PAIRS)
+
+
+# ---------------------------------------------------------------- sweeps
+
+#: Of a bucket: pairs seen more than once, their customers, tables, openings, and tables summed over the samples.
+SEATS = PAIRS + ", tables binary, opened binary, sampled binary"
+#: A bucket's tables of each word as a dish and as a context; customers are given in the first round only.
+TOLD = "words int, bucket int, word binary, customers binary, dish binary, context binary"
+#: Of a words' bucket: customers (of the start: texts), tables as a dish and as a context, of pairs seen once and of all, the parent's
+#: tables and openings, what all samples had (tables as a dish, in the parent, as a context), and sums. Or, with a bucket, what that one asked for.
+WORDS = "words int, bucket int, word binary, customers binary, single_dish binary, single_context binary, dish binary, context binary, parent binary, opened binary, samples binary, sums array<double>"
+
+
+def _told(rows: list, bucket: int, grid: Grid, word, context, tables, customers=None, single=None) -> None:
+    """Adds rows for the buckets of the words that occur in these pairs."""
+    known, at = np.unique(np.concatenate([word, context]), return_inverse=True)
+    as_word, as_context = at[: len(word)], at[len(word) :]
+    dish, owned = np.bincount(as_word, tables, len(known)), np.bincount(as_context, tables, len(known))
+    eaten = np.zeros(len(known))
+    if customers is not None:
+        eaten = np.bincount(as_word, customers, len(known)) + np.where(known == U64(START), np.bincount(as_context, customers, len(known)), 0)
+    for b, p, q in _ranges(grid.words(known)):
+        rows.append((b, bucket, pack_sorted(known[p:q]), pack(eaten[p:q], np.int64), pack(dish[p:q], np.int64), pack(owned[p:q], np.int64)))
+
+
+def _first_words(model: DataFrame, grid: Grid) -> DataFrame:
+    """Words' rows before any sweep: customers, and tables of the pairs seen once."""
+    told, words = _schema(TOLD), _schema(WORDS)
 
     def emit(batches):
         for r in _each(batches):
-            word, per_word, context, n = _read(r)
-            yield _state(r["bucket"], word, per_word, context, n, np.ones(len(n)), np.ones(len(word)), np.zeros(len(n)), np.zeros((0, len(word))))
+            word, context, n = _read_pairs(r)
+            rows: list = []
+            _told(rows, r["bucket"], grid, word, context, (n == 1).astype(float), n)
+            yield from _table(rows, told).to_batches()
+
+    def gather(group: pa.Table) -> pa.Table:
+        parts = [(unpack_sorted(r["word"]), *(unpack(r[k], np.int64) for k in ("customers", "dish", "context"))) for r in _each(group.to_batches())]
+        word, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([p[i] for p in parts]), len(word)) for i in (1, 2, 3)]
+        empty = pack(np.zeros(0), np.int64)
+        return _table([(group.column("words")[0].as_py(), -1, pack_sorted(word), *(pack(x, np.int64) for x in sums), empty, empty, empty, empty, empty, [])], words)
+
+    return model.mapInArrow(emit, TOLD).groupBy("words").applyInArrow(gather, WORDS)
 
-    return model.mapInArrow(emit, STATES)
 
+@dataclass
+class Totals:
+    """Training tokens, distinct words, and after each sweep the parent's customers and tables."""
+
+    tokens: int = 0
+    words: int = 0
+    customers: list[float] = field(default_factory=list)
+    tables: list[float] = field(default_factory=list)
 
-def _reseat(state: DataFrame, totals: Totals, s: int) -> DataFrame:
-    """Sweep s over all restaurants."""
-    shipped = state.sparkSession.sparkContext.broadcast(totals)
+    def base(self) -> float:
+        return 1.0 / (self.words + 1)
+
+    def parent(self, s: int, customers: np.ndarray, tables: np.ndarray, without: np.ndarray | float = 0.0) -> np.ndarray:
+        """The parent's probability of words after sweep s, `without` so many of the word's customers."""
+        left = np.maximum(customers - without, 0)
+        own = left - PARENT_DISCOUNT * np.minimum(tables, left)
+        new = (PARENT_STRENGTH + PARENT_DISCOUNT * self.tables[s]) * self.base()
+        return (own + new) / (PARENT_STRENGTH + self.customers[s] - without)
+
+
+def _samples(r: dict, n: int) -> np.ndarray:
+    """Tables as a dish, in the parent and as a context, in each sample."""
+    steps = unpack(r["samples"], np.int64).reshape(-1, 3, n) if n else np.zeros((0, 3, 0), np.int64)
+    return np.cumsum(steps, axis=0)
+
+
+def _parents(seats: DataFrame, words: DataFrame, totals: Totals, s: int, grid: Grid) -> DataFrame:
+    """Sweep s over the parent: the words' new rows, and what each bucket asked for."""
+    shipped = seats.sparkSession.sparkContext.broadcast(totals)
+    told, schema = _schema(TOLD), _schema(WORDS)
     keep = s > BURN_IN
 
     def emit(batches):
-        totals = shipped.value
         for r in _each(batches):
-            word, per_word = np.frombuffer(r["word"], U64), unpack(r["per_word"], np.uint16).astype(np.int64)
-            context, n = np.frombuffer(r["context"], np.uint8), unpack(r["n"], np.int64)
-            tables, parent_tables = unpack(r["tables"], np.int32).astype(float), unpack(r["parent_tables"], np.int32).astype(float)
-            own = np.frombuffer(r["own"], np.float32).astype(float)
-            above = np.frombuffer(r["above"], np.float32).reshape(-1, len(word)) if len(word) else np.zeros((0, 0), np.float32)
-            owner = np.repeat(np.arange(len(word)), per_word)
-            parent = totals.parent(s - 1, np.bincount(owner, tables, len(word)) - PARENT_DISCOUNT * parent_tables)
-            key = mix(word[owner] ^ mix(context.astype(U64) + U64(1)))
-            tables = seat(n, (STRENGTH + DISCOUNT * totals.tables[s - 1])[context] * parent[owner], DISCOUNT, key, s)
-            customers = np.bincount(owner, tables, len(word))
-            new = np.full(len(word), (PARENT_STRENGTH + PARENT_DISCOUNT * totals.parent_tables[s - 1]) * totals.base())
-            parent_tables = seat(customers, new, PARENT_DISCOUNT, word, 1000 + s)
+            word, context, _ = _read_pairs(r)
+            rows: list = []
+            _told(rows, r["bucket"], grid, word, context, unpack(r["tables"], np.int64).astype(float))
+            yield from _table(rows, told).to_batches()
+
+    def sweep(asked: pa.Table, known: pa.Table) -> pa.Table:
+        totals, rows = shipped.value, []
+        for r in _each(known.to_batches()):
+            word = unpack_sorted(r["word"])
+            eaten, single_dish, single_context = (unpack(r[k], np.int64) for k in ("customers", "single_dish", "single_context"))
+            dish, context, places = single_dish.copy(), single_context.copy(), []
+            for a in _each(asked.to_batches()):
+                at = np.searchsorted(word, unpack_sorted(a["word"]))
+                dish[at] += unpack(a["dish"], np.int64)
+                context[at] += unpack(a["context"], np.int64)
+                places.append((a["bucket"], at))
+            on = np.flatnonzero(dish)  # all but the start
+            customers, key = dish[on], _salted(word[on], 1000 + s)
+            n = len(on)
+            if s:
+                old = Seating(unpack(r["parent"], np.int64), unpack(r["opened"], np.int64))
+                before = unpack(r["dish"], np.int64)[on]
+                weight = (PARENT_STRENGTH + PARENT_DISCOUNT * (totals.tables[s - 1] - old.tables)) * totals.base()
+                slope = np.full(n, PARENT_DISCOUNT * totals.base())
+                old = seat(old.cut(customers), np.minimum(before, customers), customers, weight, slope, PARENT_DISCOUNT, _salted(key, 7))
+                now = seated(old, customers, weight, slope, PARENT_DISCOUNT, key, s == 1)
+            else:
+                now = Seating.least(n)
+            parent = np.zeros(len(word), np.int64)
+            parent[on] = now.tables
+            samples = _samples(r, len(word))
             if keep:
-                own = own + np.maximum(n - DISCOUNT * tables, 0) / (STRENGTH + totals.customers[context]) / SAMPLES
-                above = np.concatenate([above, (customers - PARENT_DISCOUNT * parent_tables)[None].astype(np.float32)])
-            yield _state(r["bucket"], word, per_word, context, n, tables, parent_tables, own, above)
+                samples = np.concatenate([samples, np.stack([dish, parent, context])[None]])
+            steps = np.diff(samples, axis=0, prepend=0) if len(samples) else samples
+            is_word = word != U64(START)
+            sums = [float(eaten[is_word].sum()), float(is_word.sum()), float(customers.sum()), float(now.tables.sum())]
+            rows.append((r["words"], -1, r["word"], r["customers"], r["single_dish"], r["single_context"], pack(dish, np.int64), pack(context, np.int64), pack(now.tables, np.int64), pack(now.opened, np.int64), pack(steps.ravel(), np.int64), sums))
+            for b, at in places:
+                rows.append((r["words"], b, pack_sorted(word[at]), pack(eaten[at], np.int64), b"", b"", pack(dish[at], np.int64), pack(context[at], np.int64), pack(parent[at], np.int64), b"", b"", []))
+        return _table(rows, schema)
+
+    return seats.mapInArrow(emit, TOLD).groupBy("words").cogroup(words.groupBy("words")).applyInArrow(sweep, WORDS)
+
+
+def _first_seats(model: DataFrame) -> DataFrame:
+    """Pairs seen more than once, a table each."""
+    schema = _schema(SEATS)
+
+    def emit(batches):
+        for r in _each(batches):
+            word, context, n = _read_pairs(r)
+            on = n > 1
+            row = _pairs_row(r["bucket"], 0, word[on], context[on], n[on])
+            k = int(on.sum())
+            yield from _table([(*row, pack(np.ones(k), np.int64), b"", pack(np.zeros(k), np.int64))], schema).to_batches()
 
-    return state.mapInArrow(emit, STATES)
+    return model.mapInArrow(emit, SEATS)
 
 
-def sample(model: DataFrame) -> tuple[DataFrame, Totals]:
-    """Seats and averages after all sweeps over a model of _merge's rows, and the totals of every sweep."""
-    totals = None
+def _contexts(seats: DataFrame, answers: DataFrame, totals: Totals, s: int) -> DataFrame:
+    """Sweep s over the restaurants of all contexts."""
+    shipped = seats.sparkSession.sparkContext.broadcast(totals)
+    schema = _schema(SEATS)
+    keep = s > BURN_IN
+
+    def sweep(own: pa.Table, told: pa.Table) -> pa.Table:
+        totals, rows = shipped.value, []
+        known = sorted(((r["words"], unpack_sorted(r["word"]), *(unpack(r[k], np.int64) for k in ("dish", "parent", "context"))) for r in _each(told.to_batches())), key=lambda x: x[0])
+        name, dish, parent, tables_of = (np.concatenate([k[i] for k in known]) if known else np.zeros(0, np.int64) for i in (1, 2, 3, 4))
+        for r in _each(own.to_batches()):
+            word, context, n = _read_pairs(r)
+            old = Seating(unpack(r["tables"], np.int64), unpack(r["opened"], np.int64))
+            w, u = np.searchsorted(name, word), np.searchsorted(name, context)
+            p = totals.parent(s - 1, dish[w], parent[w], old.tables)
+            weight = (STRENGTH + DISCOUNT * (tables_of[u] - old.tables)) * p
+            now = seated(old, n, weight, DISCOUNT * p, DISCOUNT, _salted(pair_key(word, context), s), s == 1)
+            sampled = unpack(r["sampled"], np.int64) + (now.tables if keep else 0)
+            rows.append((r["bucket"], 0, r["word"], r["per_word"], r["context"], r["n"], pack(now.tables, np.int64), pack(now.opened, np.int64), pack(sampled, np.int64)))
+        return _table(rows, schema)
+
+    return seats.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(sweep, SEATS)
+
+
+def sample(model: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame, Totals]:
+    """Seats and words after all sweeps, and the totals of every sweep."""
+    totals = Totals()
+    seats, words = stored(_first_seats(model), "seats"), stored(_first_words(model, grid), "words")
     for s in range(BURN_IN + SAMPLES + 1):
-        before = state if s else model
-        state = stored(_reseat(before, totals, s) if s else _start(before), "seats")
-        discard(state, before)
-        found = np.zeros(2 * CONTEXTS + 3)
-        for r in state.select("sums").mapInArrow(_added, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-            found[r.k] = r.v
-        if totals is None:
-            totals = Totals(found[CONTEXTS + 2 : -1], int(found[-1]))
-        totals.tables.append(found[:CONTEXTS])
-        totals.parent_customers.append(float(found[CONTEXTS]))
-        totals.parent_tables.append(float(found[CONTEXTS + 1]))
-    return state, totals
+        if s:
+            before, seats = seats, stored(_contexts(seats, words.where("bucket >= 0"), totals, s), "seats")
+            discard(seats, before)
+        before, words = words, stored(_parents(seats, words.where("bucket < 0"), totals, s, grid), "words")
+        discard(words, before)
+        sums = words.where("bucket < 0").agg(*(F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)) for i in range(4))).first()
+        totals.tokens, totals.words = int(sums[0]), int(sums[1])
+        totals.customers.append(sums[2])
+        totals.tables.append(sums[3])
+    return seats, words, totals
+
+
+# ---------------------------------------------------------------- scoring
+
+ASKED = "bucket int, salt int, piece bigint, key binary"
+KNOWN = "bucket int, key binary, n binary, sampled binary"
+ANSWER = "piece bigint, kind int, bucket int, n binary, more binary"
+
+
+def _asked_pairs(docs: DataFrame, grid: Grid) -> DataFrame:
+    schema = _schema(ASKED)
+
+    def emit(k, batch, piece):
+        _, bucket, key = piece.asked(grid)
+        return _table([(b, grid.salt(k), k, pack_sorted(key[p:q])) for b, p, q in _ranges(bucket)], schema)
+
+    return _cut(docs, ASKED, emit)
+
+
+def _asked_words(docs: DataFrame, grid: Grid) -> DataFrame:
+    schema = _schema(ASKED)
+
+    def emit(k, batch, piece):
+        known = piece.vocabulary
+        return _table([(b, grid.salt(k), k, pack_sorted(known[p:q])) for b, p, q in _ranges(grid.words(known))], schema)
 
+    return _cut(docs, ASKED, emit)
 
-def _used() -> range:
-    return range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
 
+def _known_pairs(model: DataFrame, seats: DataFrame) -> DataFrame:
+    """By bucket: sorted keys, customers, and tables summed over the samples; one row for pairs seen once, one for the others."""
+    schema = _schema(KNOWN)
 
-REPLIES = "piece bigint, bucket int, c binary, log_p binary"
+    def row(bucket, word, context, n, sampled):
+        key = pair_key(word, context)
+        order = np.argsort(key)
+        return _table([(bucket, pack_sorted(key[order]), pack(n[order], np.int64), pack(sampled[order], np.int64))], schema)
+
+    def once(batches):
+        for r in _each(batches):
+            word, context, n = _read_pairs(r)
+            on = n == 1
+            yield from row(r["bucket"], word[on], context[on], n[on], np.full(int(on.sum()), SAMPLES)).to_batches()
+
+    def often(batches):
+        for r in _each(batches):
+            yield from row(r["bucket"], *_read_pairs(r), unpack(r["sampled"], np.int64)).to_batches()
+
+    return model.mapInArrow(once, KNOWN).unionByName(seats.mapInArrow(often, KNOWN))
+
+
+def _salts(df: DataFrame, salts: int) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def _replies(requests: DataFrame, state: DataFrame, totals: Totals, salts: int) -> DataFrame:
-    """For each request row: training counts of its words, log10 probabilities of its pairs."""
-    shipped = requests.sparkSession.sparkContext.broadcast(totals)
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    names = ["piece", "bucket", "c", "log_p"]
+def _found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which are known, and where."""
+    if not len(known):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return known[at] == wanted, at
+
+
+def _pair_answers(asked: DataFrame, known: DataFrame, salts: int) -> DataFrame:
+    schema = _schema(ANSWER)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        totals = shipped.value
-        opening = np.stack([totals.opening(s) for s in _used()], 1)
-        word, total, code, own, parent = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(_used()), 0))
-        for r in known.to_pylist():
-            word, per_word = np.frombuffer(r["word"], U64), unpack(r["per_word"], np.uint16).astype(np.int64)
-            n, context = unpack(r["n"], np.int64), np.frombuffer(r["context"], np.uint8)
-            owner = np.repeat(np.arange(len(word)), per_word)
-            total = np.bincount(owner, n, len(word)).astype(np.int64)
-            code, own = owner * CONTEXTS + context, np.frombuffer(r["own"], np.float32).astype(float)
-            parent = np.frombuffer(r["above"], np.float32).astype(float).reshape(len(_used()), len(word))
-        parent = np.concatenate([parent, np.zeros((len(_used()), 1))], axis=1)  # the last one: words that weren't seen
-        parent = np.stack([totals.parent(s, parent[i]) for i, s in enumerate(_used())], 1)
-        total = np.append(total, 0)
+        parts = [(unpack_sorted(r["key"]), unpack(r["n"], np.int64), unpack(r["sampled"], np.int64)) for r in _each(known.to_batches())]
         rows = []
-        for r in asked.to_pylist():
-            want, per_word, context, _ = _read(r)
-            at = np.searchsorted(word, want)
-            if len(word):
-                at[word[np.minimum(at, len(word) - 1)] != want] = len(word)
-            pair = np.repeat(at, per_word)
-            p = (opening[context] * parent[pair]).mean(1)
-            if len(code):
-                asked_code = pair * CONTEXTS + context
-                k = np.minimum(np.searchsorted(code, asked_code), len(code) - 1)
-                p += np.where(code[k] == asked_code, own[k], 0)
-            rows.append((r["piece"], r["bucket"], pack(total[at], np.int64), np.log10(p).astype(np.float32).tobytes()))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names)
-
-    copies = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return requests.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(answer, REPLIES)
-
-
-def score(docs: DataFrame, *, doc_id="doc_id", text="text", trains=None) -> DataFrame:
+        for r in _each(asked.to_batches()):
+            wanted = unpack_sorted(r["key"])
+            n, sampled = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+            for key, customers, tables in parts:
+                hit, at = _found(key, wanted)
+                n[hit], sampled[hit] = customers[at[hit]], tables[at[hit]]
+            rows.append((r["piece"], 0, r["bucket"], pack(n, np.int64), pack(sampled, np.int64)))
+        return _table(rows, schema)
+
+    return asked.groupBy("bucket", "salt").cogroup(_salts(known, salts).groupBy("bucket", "salt")).applyInArrow(answer, ANSWER)
+
+
+def _word_answers(asked: DataFrame, words: DataFrame, salts: int) -> DataFrame:
+    """Customers of each word, and what its samples had, sample by sample as differences."""
+    schema = _schema(ANSWER)
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        word, eaten, samples = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros((SAMPLES, 3, 0), np.int64)
+        for r in _each(known.to_batches()):
+            word, eaten = unpack_sorted(r["word"]), unpack(r["customers"], np.int64)
+            samples = _samples(r, len(word))
+        eaten, samples = np.append(eaten, 0), np.concatenate([samples, np.zeros((SAMPLES, 3, 1), np.int64)], axis=2)
+        rows = []
+        for r in _each(asked.to_batches()):
+            hit, at = _found(word, unpack_sorted(r["key"]))
+            at = np.where(hit, at, len(word))
+            rows.append((r["piece"], 1, r["bucket"], pack(eaten[at], np.int64), pack(np.diff(samples[:, :, at], axis=0, prepend=0).ravel(), np.int64)))
+        return _table(rows, schema)
+
+    own = words.where("bucket < 0").select(F.col("words").alias("bucket"), "word", "customers", "samples")
+    return asked.groupBy("bucket", "salt").cogroup(_salts(own, salts).groupBy("bucket", "salt")).applyInArrow(answer, ANSWER)
+
+
+def probabilities(n: np.ndarray, sampled: np.ndarray, eaten: np.ndarray, samples: np.ndarray, word: np.ndarray, context: np.ndarray, totals: Totals) -> np.ndarray:
+    """Of pairs: the mean over the samples of the predictive probability. word, context: places in eaten and in samples."""
+    seats = STRENGTH + eaten[context]
+    p = (SAMPLES * n - DISCOUNT * sampled) / (SAMPLES * seats)
+    for i in range(SAMPLES):
+        dish, parent, tables = samples[i]
+        p += (STRENGTH + DISCOUNT * tables[context]) / seats * totals.parent(BURN_IN + 1 + i, dish, parent)[word] / SAMPLES
+    return p
+
+
+OWN = "piece bigint, word binary, context binary, token binary"
+
+
+def score(docs: DataFrame, *, doc_id="doc_id", text="text", trains=None, scan=False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). trains: a condition on doc_id for
-    the rows to learn from, all by default."""
+    the rows to learn from, all by default. scan: docs is a plain scan of files, which gives the same rows in the same
+    order whenever it runs; anything else is written to the shared folder first."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    rows = rows.withColumn("train", trains(F.col("d")) if trains else F.lit(True))
-    cut = stored(_cut(rows, kind), "pieces")
-    size = cut.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n"), F.coalesce(F.max(F.shiftright("piece", 32)), F.lit(0)).alias("part")).first()
-    bits = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size.n // BUCKET_WORDS, 2).bit_length()
-    salts = size.part // SALT_PARTITIONS + 1
-    requests = _requests(cut, bits)
-    model = requests.groupBy("bucket", "salt").applyInArrow(_merge, REQUESTS).groupBy("bucket").applyInArrow(_merge, REQUESTS)
-    state, totals = sample(stored(model, "restaurants"))
-    replies = stored(_replies(requests, state, totals, salts), "replies")
-    discard(replies, state)
+    docs = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+    docs = docs if scan else stored(docs, "texts")
+    docs = docs.withColumn("train", trains(F.col("d")) if trains else F.lit(True))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    grid = Grid(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES, 2).bit_length(), size // SALT_BYTES + 1)
+    model = stored(restaurants(docs, grid), "restaurants")
+    seats, words, totals = sample(model, grid)
+    of_pairs = stored(_pair_answers(_asked_pairs(docs, grid), _known_pairs(model, seats), grid.salts), "answers")
+    discard(of_pairs, model, seats)
+    of_words = stored(_word_answers(_asked_words(docs, grid), words, grid.salts), "answers")
+    discard(of_words, words)
     shipped = spark.sparkContext.broadcast(totals)
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def emit(k, batch, piece):
+        order = piece.asked(grid)[0]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        train = np.asarray(batch.column("train").to_pylist(), bool)
+        columns = [pa.array([k]), pa.array([batch.column("d").to_pylist()], pa.list_(batch.column("d").type)), pa.array([(~train).tolist()], pa.list_(pa.bool_())), pa.array([piece.first.tolist()], pa.list_(pa.int64()))]
+        columns += [pa.array([pack(x, np.int32)], pa.binary()) for x in (piece.word[order], piece.context[order], place[piece.token])]
+        return pa.table(columns, ["piece", "docs", "held", "first", "word", "context", "token"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        totals = shipped.value
-        found = sorted(right.to_pylist(), key=lambda r: r["bucket"])
-        c = np.concatenate([unpack(r["c"], np.int64) for r in found])
-        log_p = np.frombuffer(b"".join(r["log_p"] for r in found), np.float32)
-        tables = []
-        for r in left.to_pylist():
-            token = unpack(r["token"], np.int32)
-            word = np.repeat(np.arange(len(c)), unpack(r["per_word"], np.uint16))[token]
+        totals, tables = shipped.value, []
+        found = sorted(_each(right.to_batches()), key=lambda r: (r["kind"], r["bucket"]))
+        n, sampled = (np.concatenate([unpack(r[k], np.int64) for r in found if r["kind"] == 0]) for k in ("n", "more"))
+        eaten = np.concatenate([unpack(r["n"], np.int64) for r in found if r["kind"] == 1])
+        samples = np.cumsum(np.concatenate([unpack(r["more"], np.int64).reshape(SAMPLES, 3, -1) for r in found if r["kind"] == 1], axis=2), axis=0)
+        for r in _each(left.to_batches()):
+            word, context, token = (unpack(r[k], np.int32) for k in ("word", "context", "token"))
+            if len(word) != len(n):
+                raise ValueError("the texts came back in another order than before; pass scan=False")
+            log_p = np.log10(probabilities(n, sampled, eaten, samples, word, context, totals))
+            base = np.log10((eaten + 0.1) / (totals.tokens + 0.1 * (totals.words + 1)))[word]
             first = np.array(r["first"])
-            base = np.log10((c + 0.1) / (totals.tokens + 0.1 * (totals.words + 1)))[word]
-            add = lambda x: np.add.reduceat(x, first[:-1])
-            n = np.diff(first)
-            values = [n, add((c > 0)[word].astype(np.int64)), np.full(len(n), totals.tokens), add(base), add(log_p[token].astype(np.float64))]
-            names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-            tables.append(pa.table([pa.array(r["docs"], left.schema.field("docs").type.value_type), pa.array(r["held"], pa.bool_()), *map(pa.array, values)], ["doc_id", "held_out", *names]))
+            add = lambda x: np.add.reduceat(x[token], first[:-1])  # noqa: B023, E731
+            size = np.diff(first)
+            values = [size, add((eaten > 0)[word].astype(np.int64)), np.full(len(size), totals.tokens), add(base), add(log_p)]
+            tables.append(pa.table([pa.array(r["docs"], left.schema.field("docs").type.value_type), pa.array(r["held"], pa.bool_()), *map(pa.array, values)], names))
         return pa.concat_tables(tables)
 
-    own = cut.select("piece", "docs", "held", "first", "per_word", "token")
-    return own.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(finish, schema)
+    own = _cut(docs, f"piece bigint, docs array<{kind}>, held array<boolean>, first array<bigint>, word binary, context binary, token binary", emit, ("d", "t", "train"))
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return own.groupBy("piece").cogroup(of_pairs.unionByName(of_words).groupBy("piece")).applyInArrow(finish, schema)
 
 
 def op9_language_model(spark, sf_dir: str) -> DataFrame:
-    return score(read_table(spark, sf_dir, "documents"), trains=lambda d: fold(d, 10) != 0)
+    return score(read_table(spark, sf_dir, "documents"), trains=lambda d: fold(d, 10) != 0, scan=True)
