@@ -74,9 +74,9 @@ def test_floors_stay_low():
 def test_gates_and_masks_are_bounded():
     m = np.abs(np.random.default_rng(3).normal(size=(20, 33)))
     assert (K.erb_gate(m, -200, SR, 64, 8) <= m + 1e-12).all()
-    mask = K.build_mask(m, m.mean(0), np.arange(20) % 2 == 0)
+    mask = K.build_mask(m, np.arange(20) % 2 == 0, warm=5, separation=np.full((20, 33), 0.9), residual=m, restoration=m)
     assert mask.min() >= 0 and mask.max() <= 1
-    assert (K.enhance_harmonics(m, 3.0) <= 1.5 * m + 1e-12).all()
+    assert (K.enhance_harmonics(m, 3.0, SR, fill=False) <= 1.5 * m + 1e-12).all()
     assert np.allclose(K.shift_formants(m, 0.0), m)
     assert np.isfinite(K.mfcc(m**2, SR)).all()
     assert math.isclose(np.linalg.norm(K.fingerprint(m**2, 16000)), 1.0)
@@ -145,3 +145,110 @@ def test_repair_of_a_run(spark):
     rows = spark.createDataFrame([("a", i, v, i in (2, 3)) for i, v in enumerate(x)], "signal_id string, idx bigint, x double, click boolean")
     y = [r.y for r in S.repair(rows).orderBy("idx").collect()]
     assert y[0:2] == x[0:2] and y[4:] == x[4:] and 1 < y[2] < y[3] < 4
+
+
+def test_subtraction_by_hand():
+    mag, noise = np.array([[1.0, 0.5, 0.2]]), np.array([0.1, 0.4, 0.0])
+    assert K.over_subtract(mag, noise, 2.0, floor=0.1, blend=0.25)[0] == pytest.approx([0.25 + 0.75 * 0.8, 0.125 + 0.75 * 0.05, 0.2])
+    assert K.over_subtract(np.zeros((1, 1)), np.zeros(1), 1.0, blend=0.0)[0, 0] == 1e-7
+
+
+def test_band_wiener_like_a_plain_loop():
+    rng = np.random.default_rng(6)
+    mag, noise, sr, bands = rng.random((5, 40)), rng.random(40) * 0.1, 8000.0, 4
+    mag[3] = 0
+    want, gains = mag.copy(), [1.0] * bands
+    for row in want:
+        for b in range(bands):
+            f0, f1 = (20 * (sr / 2 / 20) ** (t / bands) for t in (b, b + 1))
+            lo = max(0, math.floor(f0 * 40 / (sr / 2)))
+            hi = max(lo, min(39, math.ceil(f1 * 40 / (sr / 2))))
+            heard, hum = sum(v * v for v in row[lo : hi + 1]) / (hi - lo + 1), sum(noise[lo : hi + 1]) / (hi - lo + 1)
+            g = max(0.01, math.sqrt(max(0, heard - hum) / heard)) if heard > 1e-10 else 0.01
+            gains[b] = 0.85 * gains[b] + 0.15 * g
+            row[lo : hi + 1] *= gains[b]
+    assert np.allclose(K.band_wiener(mag, noise, sr, bands), want)
+
+
+def test_live_deesser_like_a_plain_loop():
+    x = np.sin(np.arange(3000) * 1.9) * np.repeat([0.05, 0.9, 0.2], 1000) + 0.1 * np.sin(np.arange(3000) * 0.05)
+    band = R.biquad_design("peaking", 6000, 3, -6, 16000)
+    side, env, on, want = R.biquad(x, band), 0.0, False, []
+    for v, s in zip(x, side):
+        a = abs(s)
+        env = 0.05 * a + 0.95 * env if a > env else 0.0005 * a + 0.9995 * env
+        ratio = min(1, env / (abs(v) + 1e-9))
+        if on and ratio < 0.33:
+            on = False
+        elif not on and ratio > 0.37:
+            on = True
+        want.append(v - s * (max(0, min(0.85, (ratio - 0.35) / 0.65 * 0.7 * 0.85)) if on else 0))
+    assert np.allclose(R.deess_live(x, band, 0.7), want) and not np.allclose(want, x)
+
+
+def test_harmonics_by_hand():
+    """2049 bins at 48 kHz: one peak in the second formant's range, one at 5 kHz, silence above 8 kHz."""
+    mag = np.full((1, 2049), 0.01)
+    mag[0, [200, 427]] = 1.0
+    mag[0, 683:] = 0
+    out = K.enhance_harmonics(mag, 50.0, 48_000.0)
+    assert out[0, 427] == pytest.approx(1.25)
+    flat = min(1, 4 * np.exp(np.mean(np.log(np.where(np.abs(np.arange(7, 257) - 200) <= 2, mag[0, 7:257] * 1.1, mag[0, 7:257]) + 1e-10))) / np.mean(np.where(np.abs(np.arange(7, 257) - 200) <= 2, mag[0, 7:257] * 1.1, mag[0, 7:257]) + 1e-10))
+    assert out[0, 200] == pytest.approx(min(1.5, 1.1 * (1 - 0.2 * flat) * 1.25))
+    assert out[0, 683] == pytest.approx(0.01 * 0.15) and out[0, 683 + 255] == pytest.approx(math.exp(-255 / 342) * 0.15)
+    assert (K.enhance_harmonics(mag, 0.0, 48_000.0) == mag).all()
+
+
+def test_mask_ramp_and_models():
+    mag = np.ones((12, 3))
+    mask = K.build_mask(mag, np.ones(12, bool), warm=10, alpha=1.0)
+    assert mask[0, 0] == pytest.approx(0.05 + 0.95 * 0.01) and mask[9, 0] == pytest.approx(1.0) and mask[11, 0] == pytest.approx(0.5)
+    assert K.build_mask(mag, np.zeros(12, bool), warm=10)[9, 0] == pytest.approx(0.5)
+    bounded = K.build_mask(mag, np.ones(12, bool), warm=1, alpha=1.0, separation=np.full((12, 3), 0.2), residual=np.zeros((12, 3)), restoration=np.full((12, 3), 3.0))
+    assert bounded[5, 0] == pytest.approx(0.2 * 0.01 * 1.5)
+
+
+def test_clicks_overlap_and_follow_the_level(spark):
+    """A click that one block hides behind a loud half is seen by the block that starts half a block later."""
+    x = [0.9] * 9 + [0.01] * 7 + [0.5] + [0.01] * 15
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "signal_id string, idx bigint, x double")
+    flags = [r.click for r in S.clicks(rows, 16, 3.0).orderBy("idx").collect()]
+    level = max(0.005, sum(x) / len(x) * 0.5)
+    want = [False] * len(x)
+    for b in range(0, len(x), 8):
+        block = x[b : b + 16]
+        if len(block) >= 4:
+            m = sorted(map(abs, block))[len(block) // 2]
+            for i, v in enumerate(block):
+                want[b + i] |= abs(v) > max(3 * m, level)
+    assert flags == want and flags[16]
+
+
+def test_places_in_a_total_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(5)
+    assert sorted((r.v, r.place) for r in S.numbered(df, F.desc("v")).collect()) == [(v, 1000 - v) for v in range(1000)]
+    assert S.numbered(df.limit(0), "v").count() == 0
+
+
+def test_profiles_in_blocks_keep_ties_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 2)
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "id bigint, v array<double>")
+    profiles = spark.createDataFrame([(n, [1.0, 0.0]) for n in "fedcb"] + [("z", [0.0, 1.0])], "name string, v array<double>")
+    assert sorted((r.id, r.name) for r in M.best_match(rows, profiles).collect()) == [(1, "b"), (1, "z")]
+
+
+def test_unequal_lengths_and_missing_state(spark):
+    dry = spark.createDataFrame([("a", i, 1.0) for i in range(5)], "signal_id string, idx bigint, x double")
+    wet = dry.where("idx < 3").select("signal_id", "idx", F.lit(0.0).alias("y"))
+    assert dry.join(wet, ["signal_id", "idx"]).count() == 3
+    new, old = spark.createDataFrame([(1, 5), (2, 6)], "u bigint, n bigint"), spark.createDataFrame([(1, 0.5)], "u bigint, volume double")
+    assert {r.u: r.volume for r in stores.carried_over(new, old, "u", {"volume": F.lit(1.0)}).collect()} == {1: 0.5, 2: 1.0}
+
+
+def test_recordings_are_clustered_apart(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, f, [float(v) for v in rng.normal((f // 10) % k * 3, 0.1, 3)]) for s, k in ((1, 2), (2, 3)) for f in range(60)]
+    got = M.clustered_frames(spark.createDataFrame(rows, "signal_id bigint, f bigint, v array<double>"), lambda n: 3, key="signal_id", order="f", vector="v").collect()
+    for s, k in ((1, 2), (2, 3)):
+        of = {r.f: r.label for r in got if r.signal_id == s}
+        assert all(len({of[f] for f in range(a, a + 10)}) == 1 for a in range(0, 60, 10)) or k == 2

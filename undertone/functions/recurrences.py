@@ -174,14 +174,25 @@ def equaliser(bands, sr: float) -> list[tuple[float, ...]]:
     return [biquad_design("peaking", hz, q, level, sr) for hz, level, q in bands if abs(level) >= 0.1]
 
 
-def deess_live(x, ratio_over: float = 0.35, slack: float = 0.02, most: float = 0.85, keep: float = 0.9):
-    """Reduction that starts when differences outweigh the level by a ratio and ends below it, with slack both ways."""
-    out, on, high, level = np.empty(len(x)), False, 0.0, 0.0
-    before = 0.0
+def follow(x, attack: float = 0.05, release: float = 0.0005):
+    """The level of a signal, from 0: it moves by a share of the way, one share up and another down."""
+    out, env = np.empty(len(x)), 0.0
     for i, v in enumerate(x):
-        high, level = keep * high + (1 - keep) * abs(v - before), keep * level + (1 - keep) * abs(v)
-        ratio = high / (high + level + 1e-9)
-        on = ratio > ratio_over + slack or (on and ratio > ratio_over - slack)
-        out[i] = v * (1 - min(most, ratio)) if on else v
-        before = v
+        a = abs(v)
+        env += (attack if a > env else release) * (a - env)
+        out[i] = env
+    return out
+
+
+def deess_live(x, band, amount: float, *, over: float = 0.35, reach: float = 0.65, slack: float = 0.02, most: float = 0.85, attack: float = 0.05, release: float = 0.0005):
+    """Takes a share of a filtered side band out of the signal. It starts when the band's level over the sample's size passes
+    `over` by `slack`, stops `slack` below, and the share grows with the excess over `reach`, `amount` (0 to 1) and `most`."""
+    side = biquad(x, band)
+    share = np.minimum(1.0, follow(side, attack, release) / (np.abs(x) + 1e-9))
+    cut, on = np.clip((share - over) / reach * amount * most, 0.0, most), False
+    out = np.array(x, float)
+    for i, s in enumerate(share):
+        on = s >= over - slack if on else s > over + slack
+        if on:
+            out[i] -= side[i] * cut[i]
     return out

@@ -47,8 +47,12 @@ def erb_bands(count: int, sr: float, bins: int) -> list[tuple[int, int]]:
 
 
 def log_bands(count: int, sr: float, bins: int, low: float = 20.0) -> list[tuple[int, int]]:
-    edges = low * (sr / 2 / low) ** (np.arange(count + 1) / count) / (sr / 2) * (bins - 1)
-    return [(max(0, int(np.floor(a))), max(int(np.floor(a)), min(bins - 1, int(np.ceil(b))))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    """First and last bin of bands evenly spaced in the logarithm of frequency, from `low` up to half the rate, where a
+    bin stands for the rate over twice the number of bins."""
+    edges = low * (sr / 2 / low) ** (np.arange(count + 1) / count) / (sr / 2) * bins
+    first = np.maximum(0, np.floor(edges[:-1])).astype(int)
+    last = np.maximum(first, np.minimum(bins - 1, np.ceil(edges[1:]).astype(int)))
+    return [*zip(first.tolist(), last.tolist(), strict=True)]
 
 
 def erb_gate(mag: np.ndarray, floor_db: float, sr: float, hop: int, bands: int = 32) -> np.ndarray:
@@ -73,16 +77,18 @@ def erb_gate(mag: np.ndarray, floor_db: float, sr: float, hop: int, bands: int =
     return m
 
 
-def band_wiener(mag: np.ndarray, noise: np.ndarray, sr: float, bands: int = 16, keep: float = 0.85, floor: float = 0.01) -> np.ndarray:
-    """Per band the root of a Wiener gain from band powers, smoothed over frames."""
+def band_wiener(mag: np.ndarray, noise: np.ndarray, sr: float, bands: int = 16, strength: float = 1.0, keep: float = 0.85, floor: float = 0.01) -> np.ndarray:
+    """Per band the root of the share of power that is left when the noise's power is taken out, smoothed over frames from 1;
+    noise: power of each bin. A silent band falls to the floor. Bands go one after the other: a bin two bands share is
+    scaled twice, and the later band hears it scaled."""
     m, edges = mag.copy(), log_bands(bands, sr, mag.shape[1])
-    before = np.ones(bands)
+    hum, gains = [strength * noise[lo : hi + 1].mean() for lo, hi in edges], np.ones(bands)
     for row in m:
         for b, (lo, hi) in enumerate(edges):
-            p, n = np.mean(row[lo : hi + 1] ** 2), np.mean(noise[lo : hi + 1] ** 2)
-            g = max(floor, np.sqrt(max(0.0, p - n) / (p + 1e-20)))
-            before[b] = keep * before[b] + (1 - keep) * g
-            row[lo : hi + 1] *= before[b]
+            heard = np.mean(row[lo : hi + 1] ** 2)
+            wanted = max(floor, np.sqrt(max(0.0, heard - hum[b]) / heard)) if heard > 1e-10 else floor
+            gains[b] += (1 - keep) * (wanted - gains[b])
+            row[lo : hi + 1] *= gains[b]
     return m
 
 
@@ -129,11 +135,10 @@ def adaptive_wiener(mag: np.ndarray, confidence: np.ndarray, alpha: float = 1.2,
     return mag * (conf[:, None] + (1 - conf[:, None]) * gain)
 
 
-def over_subtract(mag: np.ndarray, noise: np.ndarray, beta: float, least: float = 1e-7, blend: float = 0.5) -> np.ndarray:
-    """Noise taken out down to a share of itself, then blended with the bin before."""
-    s = np.maximum(np.maximum(mag - noise, beta * noise), least)
-    s[:, 1:] = blend * s[:, :-1] + (1 - blend) * s[:, 1:]
-    return s
+def over_subtract(mag: np.ndarray, noise: np.ndarray, beta: float, floor: float = 0.1, blend: float = 0.5, least: float = 1e-7) -> np.ndarray:
+    """`beta` times the noise is taken out, down to a share of the bin at most, then part of the bin as it was is mixed back."""
+    left = np.maximum(mag - beta * noise, np.maximum(floor * mag, least))
+    return blend * mag + (1 - blend) * left
 
 
 def running_dereverb(mag: np.ndarray, amount: float, keep: float = 0.8) -> np.ndarray:
@@ -186,19 +191,46 @@ def fingerprint(p: np.ndarray, sr: float, size: int = 64) -> np.ndarray:
     return pooled / norm if norm else pooled
 
 
-def enhance_harmonics(mag: np.ndarray, amount: float, most: float = 1.5) -> np.ndarray:
-    """Per frame: formant peaks (1.5 times the local mean) by a tenth, other local peaks by the amount scaled down by
-    flatness, no bin by more than a factor."""
-    out = mag.copy()
-    for f, row in enumerate(mag):
-        mean = np.convolve(row, np.ones(9) / 9, "same")
-        inner = np.zeros(len(row), bool)
-        inner[1:-1] = (row[1:-1] > row[:-2]) & (row[1:-1] > row[2:])
-        flat = np.exp(np.mean(np.log(row + 1e-10))) / (np.mean(row) + 1e-10)
-        gain = np.where(inner, 1 + amount * (1 - flat), 1.0)
-        gain = np.where(inner & (row >= 1.5 * mean), gain * 1.10, gain)
-        out[f] = row * np.minimum(gain, most)
-    return out
+def enhance_harmonics(mag: np.ndarray, amount: float, sr: float, *, breath: float = 0.8, most: float = 1.5, fill: bool = True) -> np.ndarray:
+    """Per frame, amount in percent, all peaks judged on the frame as it came:
+      formants  the strongest bin of 200..1000 Hz and that of the bins above up to 3500 Hz, each only if it stands 1.5 times
+                over its range's mean, go up by a tenth with two bins on either side;
+      breath    80..3000 Hz goes down towards `breath`, the more the flatter that range is;
+      peaks     below 8 kHz, bins 1.3 times over two neighbours on either side go up by half the amount;
+      fill      above 8 kHz the octave below is mirrored over and over, falling off by e per octave, at 0.3 of the amount,
+                where that is more than what is there.
+    Formants and peaks leave no bin at more than `most` times what it was."""
+    if amount <= 0 or not mag.size:
+        return mag
+    bins = mag.shape[1]
+    at = lambda hz: int(np.floor(hz * 2 * (bins - 1) / sr + 0.5))
+    out, cap, top = mag.copy(), mag * most, at(8000)
+
+    def lift(chosen: np.ndarray, gain: float) -> None:
+        out[:] = np.where(chosen, np.minimum(out * gain, cap), out)
+
+    for lo, hi in ((at(200), at(1000)), (at(1000) + 1, at(3500))):
+        part = mag[:, lo : hi + 1]
+        if at(200) < at(1000) and at(1000) + 1 < at(3500) and part.shape[1]:
+            peak = part.argmax(1)
+            clear = part.max(1) > 1.5 * part.mean(1)
+            lift(clear[:, None] & (np.abs(np.arange(bins)[None] - lo - peak[:, None]) <= 2), 1.10)
+    lo, hi = at(80), min(bins - 1, at(3000))
+    if hi > lo + 1:
+        voiced = out[:, lo : hi + 1] + 1e-10
+        flat = np.minimum(1.0, 4 * np.exp(np.log(voiced).mean(1)) / voiced.mean(1))
+        out[:, lo : hi + 1] *= (1 - flat * (1 - breath))[:, None]
+    peaks = np.zeros(mag.shape, bool)
+    end = min(top, bins - 2)
+    if end > 2:
+        peaks[:, 2:end] = np.all([mag[:, 2:end] > 1.3 * mag[:, 2 + j : end + j] for j in (-2, -1, 1, 2)], axis=0)
+    lift(peaks, 1 + amount / 200)
+    if fill and 4 < top < bins - 1:
+        span = top - at(4000)
+        away = np.arange(bins - top)
+        if span > 0:
+            out[:, top:] = np.maximum(out[:, top:], mag[:, top - 1 - away % span] * np.exp(-away / span) * (0.3 * amount / 100))
+    return np.where(np.isfinite(out) & (out >= 0), out, 0.0)
 
 
 def poly_harmonics(mag: np.ndarray, amount: float, orders: int = 4) -> np.ndarray:
@@ -223,12 +255,32 @@ def shift_formants(mag: np.ndarray, semitones: float, reach: int = 20) -> np.nda
     return np.exp(warped + logs - env)
 
 
-def build_mask(mag: np.ndarray, noise: np.ndarray, voice: np.ndarray, floor: float = 0.005, reduce: float = 0.7, non_voice: float = 0.5) -> np.ndarray:
-    """Wiener mask per frame: smoothed over three bins, kept over a floor that is lower where there is no voice."""
-    alpha = min(2.0, 1 + reduce)
-    snr = np.minimum(1e6, mag**2 / np.maximum(1e-12, noise**2 * alpha))
-    g = np.clip(snr / (snr + 1), floor, 1)
-    padded = np.pad(g, ((0, 0), (1, 1)), "edge")
-    smooth = (padded[:, :-2] + padded[:, 1:-1] + padded[:, 2:]) / 3
-    low = np.where(voice, floor, min(1, floor * non_voice))[:, None]
-    return np.clip(smooth, low, 1)
+def build_mask(mag: np.ndarray, voice: np.ndarray, *, warm: int = 90, keep: float = 0.95, alpha: float = 1.7, floor: float = 0.005, quiet: float = 2.0, separation: np.ndarray | None = None, residual: np.ndarray | None = None, restoration: np.ndarray | None = None) -> np.ndarray:
+    """Mask of each frame in order. Frames without voice start from 1 / quiet. For the first `warm` frames a profile of the
+    noise is averaged, and the mask rises from 0.05 with the square of the part that is done. After that a Wiener gain
+    against the profile, smoothed over three bins and kept over a floor, multiplies it. Masks of models, where there are
+    any: separation bounds it, residual (0.01 at least) multiplies it, restoration (up to 2) pulls it by half."""
+    out, profile = np.ones_like(mag), np.zeros(mag.shape[1])
+    for f, row in enumerate(mag):
+        start = 1.0 if voice[f] else 1 / max(1.0, quiet)
+        if f < warm:
+            profile = row.copy() if f == 0 else keep * profile + (1 - keep) * row
+            out[f] = start * (0.05 + 0.95 * ((f + 1) / warm) ** 2)
+            continue
+        snr = np.minimum(1e6, row**2 / np.maximum(1e-12, alpha * profile**2))
+        gain = np.pad(np.clip(snr / (snr + 1), floor, 1), 1, "edge")
+        m = start * np.maximum(floor if voice[f] else floor / max(1.0, quiet), (gain[:-2] + gain[1:-1] + gain[2:]) / 3)
+        if separation is not None:
+            m = np.minimum(m, np.maximum(0, separation[f]))
+        if residual is not None:
+            m = m * np.maximum(0.01, residual[f])
+        if restoration is not None:
+            m = m * (0.5 + 0.5 * np.minimum(2, restoration[f]))
+        out[f] = m
+    return np.where(np.isfinite(out) & (out >= 0), np.minimum(out, 1), 1.0)
+
+
+def log_spectral_distance(a: np.ndarray, b: np.ndarray, least: float = 1e-10) -> np.ndarray:
+    """Per frame, in dB: the root mean square difference of two log power spectra."""
+    d = 10 * np.log10(np.maximum(a, least)) - 10 * np.log10(np.maximum(b, least))
+    return np.sqrt((d**2).mean(1))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undertone.operators.sequences import numbered
+
 #: Profiles in one broadcast block.
 BLOCK = 4096
 
@@ -38,7 +40,8 @@ def best_match(df: DataFrame, profiles: DataFrame, *, id="id", vector="v", name=
     blocks = max(1, -(-n // BLOCK))
     kind = {f.name: f.dataType.simpleString() for f in df.schema}[id]
     name_kind = {f.name: f.dataType.simpleString() for f in profiles.schema}[name]
-    out = None
+    schema = f"id {kind}, v array<double>, name {name_kind}, score double"
+    out = df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast(name_kind).alias("name"), F.lit(None).cast("double").alias("score"))
     for b in range(blocks):
         rows = sorted(profiles.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b).select(name, vector).collect(), key=lambda r: r[0])
         if not rows:
@@ -53,15 +56,13 @@ def best_match(df: DataFrame, profiles: DataFrame, *, id="id", vector="v", name=
                     x = np.array(batch.column("v").to_pylist(), float)
                     s = np.round(_unit(x - x.mean(1, keepdims=True) if centred else x) @ known.T, 12)
                     top = s.argmax(1)
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([names[t] for t in top]), pa.array(s[np.arange(len(top)), top])], ["id", "name", "score"])
+                    best = []  # of the blocks so far, row by row
+                    for t, now, before, score in zip(top, s[np.arange(len(top)), top].tolist(), batch.column("name").to_pylist(), batch.column("score").to_pylist(), strict=True):
+                        best.append((names[t], now) if score is None or now > score or (now == score and names[t] < before) else (before, score))
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array([n for n, _ in best], batch.schema.field("name").type), pa.array([s for _, s in best], pa.float64())], ["id", "v", "name", "score"])
 
-        found = df.select(F.col(id).alias("id"), F.col(vector).alias("v")).mapInArrow(run, f"id {kind}, name {name_kind}, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return df.select(F.col(id).alias("id"), F.lit(None).cast(name_kind).alias("name"), F.lit(None).cast("double").alias("score"))
-    if blocks > 1:
-        out = out.groupBy("id").agg(F.max_by(F.struct("name", "score"), F.struct("score")).alias("m")).select("id", "m.*")
-    return out.withColumn("name", F.when(F.col("score") >= least, F.col("name")))
+        out = out.mapInArrow(run, schema)
+    return out.select("id", F.when(F.col("score") >= least, F.col("name")).alias("name"), "score")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -116,9 +117,8 @@ def kmeans(df: DataFrame, k: int, *, id: str, vector: str, rounds: int = 20) ->
     n = rows.count()
     if not n:
         return rows.select("id", F.lit(None).cast("bigint").alias("label"))
-    marks = [int(i * n / k) for i in range(min(k, n))]
-    cuts = rows.select("id").agg(F.percentile("id", F.array(*[F.lit(m / max(1, n - 1)) for m in marks])).alias("p")).first().p
-    seeds = [rows.where(F.col("id") >= c).orderBy("id").limit(1).first().v for c in cuts]
+    marks = [int(i * n / k) + 1 for i in range(min(k, n))]
+    seeds = [r.v for r in numbered(rows, "id").where(F.col("place").isin(marks)).orderBy("place").collect()]
     centres, before = np.array(seeds, float), None
     spark = df.sparkSession
     kind = df.schema[id].dataType.simpleString()
@@ -144,6 +144,31 @@ def kmeans(df: DataFrame, k: int, *, id: str, vector: str, rounds: int = 20) ->
     return labelled.select("id", "label")
 
 
+def nearest_means(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """Labels by k-means: seeds evenly spaced in the order of rows, ties to the lowest label, an empty cluster keeps its centre."""
+    centres = x[(np.arange(min(k, len(x))) * len(x)) // max(1, min(k, len(x)))]
+    label = np.full(len(x), -1)
+    for _ in range(rounds):
+        now = np.round(((x[:, None] - centres[None]) ** 2).sum(2), 12).argmin(1)
+        if (now == label).all():
+            break
+        label = now
+        centres = np.array([x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(len(centres))])
+    return label
+
+
+def clustered_frames(df: DataFrame, k, *, key: str, order: str, vector: str) -> DataFrame:
+    """Adds label: the frames of each recording clustered by themselves; k(frames) is how many clusters so many frames make."""
+    schema = df.select("*", F.lit(0).cast("bigint").alias("label")).schema
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        x = np.array(group.column(vector).to_pylist(), float)
+        return group.append_column("label", pa.array(nearest_means(x, k(len(x))), pa.int64()))
+
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
 def enrolled(df: DataFrame, *, key: str, order: str, vector: str, least: float) -> DataFrame:
     """Registry of each key after all its rows: cluster, how many rows it took, and its vector (the first one, as enrolled).
     A row that no registered vector resembles is enrolled; order decides, so a key is walked once."""

@@ -75,15 +75,23 @@ def runs(df: DataFrame, flag: Column, *, key=KEY, order=ORDER) -> DataFrame:
     return out.withColumn("run", F.sum("__new").over(at)).drop("__new", "__v")
 
 
-def clicks(df: DataFrame, size: int, factor: float, least: float, *, key=KEY, order=ORDER, x=X) -> DataFrame:
-    """Adds median (the upper one, of absolute values in the row's block) and click, with single gaps between clicks filled."""
-    block = blocks(df, size, order=order)
-    ranked = block.withColumns({"__r": F.row_number().over(Window.partitionBy(key, "b").orderBy(F.abs(F.col(x)), order)), "__n": F.count("*").over(Window.partitionBy(key, "b"))})
-    median = F.max(F.when(F.col("__r") == F.floor(F.col("__n") / 2) + 1, F.abs(F.col(x)))).over(Window.partitionBy(key, "b"))
-    found = ranked.withColumn("median", median).withColumn("__c", F.abs(F.col(x)) > F.greatest(F.col("median") * factor, F.lit(least)))
+def clicks(df: DataFrame, size: int, factor: float, least: float = 0.005, *, share: float = 0.5, key=KEY, order=ORDER, x=X) -> DataFrame:
+    """Adds click. Blocks overlap by half; a sample is a click if in one of its two blocks it is over a factor times the upper
+    median of absolute values, and over a floor that follows the signal's level. Blocks of under four samples judge
+    nothing. Single gaps between clicks are filled."""
+    hop, whole = size // 2, Window.partitionBy(key)
+    size_of = F.abs(F.col(x))
+    level = df.withColumns({"__n": F.count("*").over(whole), "__floor": F.greatest(F.lit(least), F.avg(size_of).over(whole) * share)})
+    own = F.floor(F.col(order) / hop)
+    twice = level.withColumn("__b", F.explode(F.filter(F.array(own, own - 1), lambda b: (b >= 0) & (b * hop + 4 <= F.col("__n")))))
+    block = Window.partitionBy(key, "__b")
+    ranked = twice.withColumns({"__r": F.row_number().over(block.orderBy(size_of, order)), "__m": F.floor(F.count("*").over(block) / 2) + 1})
+    median = F.max(F.when(F.col("__r") == F.col("__m"), size_of)).over(block)
+    judged = ranked.withColumn("__c", size_of > F.greatest(median * factor, F.col("__floor"))).groupBy(key, order).agg(F.max("__c").alias("__c"))
     at = over(key, order)
+    found = df.join(judged, [key, order], "left").withColumn("__c", F.coalesce("__c", F.lit(False)))
     gap = ~F.col("__c") & F.coalesce(F.lag("__c").over(at), F.lit(False)) & F.coalesce(F.lead("__c").over(at), F.lit(False))
-    return found.withColumn("click", F.col("__c") | gap).drop("__r", "__n", "__c")
+    return found.withColumn("click", F.col("__c") | gap).drop("__c")
 
 
 def repair(df: DataFrame, *, key=KEY, order=ORDER, x=X, flag="click") -> DataFrame:
@@ -91,10 +99,10 @@ def repair(df: DataFrame, *, key=KEY, order=ORDER, x=X, flag="click") -> DataFra
     twice at the ends; a run that touches an end takes the value of the other side)."""
     at = Window.partitionBy(key).orderBy(order)
     before = at.rowsBetween(Window.unboundedPreceding, -1)
-    after = at.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     good = F.when(~F.col(flag), F.struct(F.col(order).alias("i"), F.col(x).alias("v"), F.lag(F.when(~F.col(flag), F.col(x))).over(at).alias("p"), F.lead(F.when(~F.col(flag), F.col(x))).over(at).alias("q")))
     out = df.withColumn("__g", good)
-    out = out.withColumns({"__l": F.last("__g", ignorenulls=True).over(before), "__r": F.first("__g", ignorenulls=True).over(after)})
+    out = out.withColumns({"__l": F.last("__g", ignorenulls=True).over(before), "__r": F.last("__g", ignorenulls=True).over(after)})
     t = (F.col(order) - F.col("__l.i")) / (F.col("__r.i") - F.col("__l.i"))
     p1, p2 = F.col("__l.v"), F.col("__r.v")
     p0, p3 = F.coalesce(F.col("__l.p"), p1), F.coalesce(F.col("__r.q"), p2)
@@ -146,10 +154,49 @@ def hangover(df: DataFrame, voiced: Column, frames: int, *, key=KEY, order=ORDER
     return df.withColumn("conf", F.when(voiced, 1.0).when(F.col(order) - last <= frames, 0.5).otherwise(0.0))
 
 
+def gate_ahead(df: DataFrame, threshold: float, closed: float, *, look: int, hold: int, attack: float = 0.05, release: float = 0.0005, key=KEY, order=ORDER, x=X) -> DataFrame:
+    """Adds y: the sample `look` places before, as it was while the level is over a threshold or was at most `hold` samples
+    ago, else times `closed`. The level is a recurrence; the rest are windows."""
+    level = scan(df, lambda v: recurrences.follow(v, attack, release), {"__env": "double"}, key=key, order=order, inputs=(x,))
+    at = over(key, order)
+    loud = F.max(F.when(F.round("__env", 9) > threshold, F.col(order))).over(at)
+    late = F.coalesce(F.lag(x, look).over(at), F.lit(0.0))
+    gain = F.when(F.col(order) - loud <= hold, 1.0).otherwise(closed)
+    return df.join(level, [key, order]).withColumn("y", late * gain).drop("__env")
+
+
 def lagged_correlation(left: DataFrame, right: DataFrame, most: int, *, key=KEY, order=ORDER, x=X) -> DataFrame:
-    """key, lag, score: the lag within +-most that correlates best, the smallest on ties."""
-    r = right.select(key, F.col(order).alias("__i"), F.col(x).alias("__x"))
-    spread = left.select(key, F.col(order), F.col(x), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
-    joined = spread.join(r, (spread[key] == r[key]) & (spread[order] + spread["lag"] == r["__i"])).select(spread[key], "lag", (F.col(x) * F.col("__x")).alias("p"))
-    scored = joined.groupBy(key, "lag").agg(F.sum("p").alias("score"))
-    return scored.groupBy(key).agg(F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("lag")).alias("minus"))).alias("best")).select(key, (-F.col("best.minus")).cast("bigint").alias("lag"), F.col("best.score").alias("score"))
+    """key, lag, score: the lag within +-most that correlates best, the smallest on ties; both signals from order 0 on, without
+    gaps. A signal's two sides meet in one task, which correlates them by Fourier transforms."""
+    kind = left.schema[key].dataType.simpleString()
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        u, v = (t.sort_by(order).column(x).to_numpy().astype(float) for t in (a, b))
+        lags = np.arange(-min(most, len(u) - 1), min(most, len(v) - 1) + 1)
+        names = [key, "lag", "score"]
+        if not len(u) or not len(v) or not len(lags):
+            return pa.table([pa.array([], a.schema.field(key).type), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+        n = 1 << (len(u) + len(v)).bit_length()
+        score = np.round(np.fft.irfft(np.conj(np.fft.rfft(u, n)) * np.fft.rfft(v, n), n)[lags], 6) + 0.0
+        best = int(score.argmax())
+        return pa.table([a.column(key).slice(0, 1), pa.array([int(lags[best])]), pa.array([float(score[best])])], names)
+
+    sides = [t.select(key, order, x).groupBy(key) for t in (left, right)]
+    return sides[0].cogroup(sides[1]).applyInArrow(run, f"{key} {kind}, lag bigint, score double")
+
+
+def numbered(df: DataFrame, *by, name: str = "place") -> DataFrame:
+    """Adds the place of each row in a total order, from 1. Ranges of the order are sorted apart and written once; only the
+    sizes of the ranges meet in the driver."""
+    from undertone.streaming.streams import work_folder
+
+    spark, path = df.sparkSession, work_folder(df.sparkSession)
+    df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    part = F.shiftright("__at", 33)
+    sizes, offsets, total = {r.p: r["count"] for r in rows.groupBy(part.alias("p")).count().collect()}, [F.lit(-1), F.lit(0)], 0
+    for p in sorted(sizes):
+        offsets += [F.lit(p), F.lit(total)]
+        total += sizes[p]
+    place = F.element_at(F.create_map(*offsets), part.cast("int")) + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.withColumn(name, place.cast("bigint")).drop("__at")

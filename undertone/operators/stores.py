@@ -79,7 +79,7 @@ def over_quota(df: DataFrame, key: str, size: Column, most: int) -> DataFrame:
 
 def tier_checks(df: DataFrame, tiers: DataFrame, tier: str, used: str) -> DataFrame:
     """Adds limit (null: none) and ok from a small table of tiers."""
-    return df.join(F.broadcast(tiers.select(tier, "limit").limit(1000)), tier, "left").withColumn("ok", F.col("limit").isNull() | (F.col(used) <= F.col("limit")))
+    return df.join(tiers.select(tier, "limit"), tier, "left").withColumn("ok", F.col("limit").isNull() | (F.col(used) <= F.col("limit")))
 
 
 def highest(df: DataFrame, key: str, rank: dict[str, int], name: str) -> DataFrame:

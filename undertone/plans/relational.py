@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from undertone.functions import pointwise as P
@@ -149,12 +150,10 @@ def grouped_params(spark, d):
     return rows.select("c_nationkey", F.size("members").cast("bigint").alias("n"), F.array_join(F.transform("members", lambda s: s["c_name"]), ",").alias("members"))
 
 
-@query("priority_queue", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P' ORDER BY place LIMIT 100")
+@query("priority_queue", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P'")
 def priority_queue(spark, d):
-    from pyspark.sql import Window
-
-    top = table(spark, d, "orders").where("o_orderstatus = 'P'").orderBy("o_orderpriority", "o_orderkey").limit(100)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy("o_orderpriority", "o_orderkey")).cast("bigint").alias("place"))
+    pending = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderpriority", "o_orderkey")
+    return S.numbered(pending, "o_orderpriority", "o_orderkey").select("o_orderkey", "place")
 
 
 @query("savings_percent", "SELECT p_partkey, least(100, floor(100 * (1 - p_retailprice / (p_retailprice * 1.2 + p_size)) + 0.5))::BIGINT AS saving FROM part")
@@ -266,17 +265,38 @@ def greedy_clusters(spark, d):
     return M.greedy_clusters(_embeddings(spark, d), key="label", order="vec_id", vector="v", least=0.3).select("label", "vec_id", "cluster")
 
 
+_FRAMES = UNIT + """, n AS (SELECT signal_id, count(*) AS n FROM u GROUP BY signal_id),
+f AS (SELECT n.signal_id, unnest(range(((n - 8) // 4 + 1)::BIGINT)) AS f FROM n WHERE n >= 8),
+x AS (SELECT f.signal_id, f.f, u.x, lag(u.x) OVER (PARTITION BY f.signal_id, f.f ORDER BY u.idx) AS p FROM f JOIN u ON u.signal_id = f.signal_id AND u.idx >= f.f * 4 AND u.idx < f.f * 4 + 8),
+a AS (SELECT signal_id, f, sqrt(avg(x * x)) AS rms, sum(CASE WHEN (x >= 0) <> (p >= 0) THEN 1 ELSE 0 END) / 16.0 AS crossings, exp(avg(ln(abs(x) + 1e-9))) / avg(abs(x) + 1e-9) AS flatness FROM x GROUP BY ALL)"""
+
+
+def _features(spark, d):
+    """Frames of 8 samples, each half over the next, with the three features that tell speakers apart."""
+    rows = S.hopping(unit(spark, d), 8, 4)
+    w = Window.partitionBy("signal_id", "f").orderBy("i")
+    flip = ((F.col("x") >= 0) != (F.lag("x").over(w) >= 0)).cast("int")
+    size = F.abs(F.col("x")) + 1e-9
+    return rows.withColumn("flip", flip).groupBy("signal_id", "f").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), (F.coalesce(F.sum("flip"), F.lit(0)) / 16.0).alias("crossings"), (F.exp(F.avg(F.ln(size))) / F.avg(size)).alias("flatness"))
+
+
+@query("frame_features", _FRAMES + " SELECT signal_id, f, round(rms, 6) AS rms, crossings::DOUBLE AS crossings, round(flatness, 6) AS flatness FROM a")
+def frame_features(spark, d):
+    return _features(spark, d).select("signal_id", "f", r("rms", 6).alias("rms"), "crossings", r("flatness", 6).alias("flatness"))
+
+
+def speakers(frames: int) -> int:
+    """More speakers are looked for in longer recordings: under 10 s, under 30 s, and beyond, at half a second a frame's step."""
+    return 2 if frames < 20 else 3 if frames < 60 else 4
+
+
 @query("diarization")
 def diarization(spark, d):
-    """Frame features, scaled, clustered by k-means, and run-length segments of the labels."""
-    from undertone.operators.levels import rms
-
-    part = S.blocks(unit(spark, d), 8).groupBy("signal_id", "b").agg(rms().alias("a"), F.avg("x").alias("m"))
-    scaled = part.select("signal_id", "b", G.scale_to_range("a", key="signal_id").alias("e"), G.scale_to_range("m", key="signal_id").alias("z"))
-    rows = scaled.withColumn("id", F.col("signal_id") * 1_000_000 + F.col("b")).withColumn("v", F.array("e", "z"))
-    labels = M.kmeans(rows, 3, id="id", vector="v")
-    named = rows.join(labels, "id").withColumn("speaker", F.when(F.col("e") > 0.05, F.col("label")))
-    return G.label_runs(named, "speaker", key="signal_id", order="b", seconds=0.2, least=0.3, energy="e").select("signal_id", F.col("label").alias("speaker"), r("start", 3).alias("start"), r("end", 3).alias("end"), r("confidence", 5).alias("confidence"))
+    """Features of overlapping frames, scaled and clustered within each recording, and run-length segments of the labels."""
+    scaled = _features(spark, d).select("signal_id", "f", "rms", *(G.scale_to_range(c, key="signal_id").alias(f"s_{c}") for c in ("rms", "crossings", "flatness")))
+    rows = scaled.withColumn("v", F.array(*(F.round(f"s_{c}", 9) for c in ("rms", "crossings", "flatness"))))
+    named = M.clustered_frames(rows, speakers, key="signal_id", order="f", vector="v").withColumn("speaker", F.when(F.col("rms") >= 0.003, F.col("label")))
+    return G.label_runs(named, "speaker", key="signal_id", order="f", seconds=0.5, least=0.3, energy="s_rms").select("signal_id", F.col("label").alias("speaker"), r("start", 3).alias("start"), r("end", 3).alias("end"), r("confidence", 5).alias("confidence"))
 
 
 @query("scalar_slug", "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '-', 'g') AS slug FROM part")

@@ -17,11 +17,11 @@ from undertone.plans.signals import _RANGE, _RANK, UNIT, _recursive, r, unit
 from undertone.sources.tables import table
 
 
-@query("carry_over_state", "WITH n AS (SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY user_id), p AS (SELECT user_id, max(value) AS volume FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 2 = 0 GROUP BY user_id) SELECT user_id, n, coalesce(volume, 1.0) AS volume FROM n LEFT JOIN p USING (user_id)")
+@query("carry_over_state", "WITH n AS (SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY user_id), p AS (SELECT user_id, max(value) AS volume FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id) SELECT user_id, n, coalesce(volume, 1.0) AS volume FROM n LEFT JOIN p USING (user_id)")
 def carry_over_state(spark, d):
     cut, e = F.lit("2024-01-15").cast("timestamp_ntz"), table(spark, d, "events")
     new = e.where(F.col("ts") >= cut).groupBy("user_id").agg(F.count("*").alias("n"))
-    old = e.where((F.col("ts") < cut) & (F.col("user_id") % 2 == 0)).groupBy("user_id").agg(F.max("value").alias("volume"))
+    old = e.where(F.col("ts") < cut).groupBy("user_id").agg(F.max("value").alias("volume"))
     return O.carried_over(new, old, "user_id", {"volume": F.lit(1.0)}).select("user_id", "n", "volume")
 
 

@@ -149,16 +149,19 @@ def tumble_frames(spark, d):
 
 _CLICK = (
     UNIT
-    + """, k AS (SELECT *, row_number() OVER (PARTITION BY signal_id, idx // 16 ORDER BY abs(x), idx) AS r, count(*) OVER (PARTITION BY signal_id, idx // 16) AS n FROM u),
-m AS (SELECT *, max(CASE WHEN r = n // 2 + 1 THEN abs(x) END) OVER (PARTITION BY signal_id, idx // 16) AS median FROM k),
-c AS (SELECT *, abs(x) > greatest(median * 3.0, 0.2) AS c FROM m),
-g AS (SELECT signal_id, idx, x, median, c OR (coalesce(lag(c) OVER w, false) AND coalesce(lead(c) OVER w, false)) AS click FROM c WINDOW w AS (PARTITION BY signal_id ORDER BY idx))"""
+    + """, z AS (SELECT *, count(*) OVER (PARTITION BY signal_id) AS total, greatest(0.005, avg(abs(x)) OVER (PARTITION BY signal_id) * 0.5) AS least FROM u),
+t AS (SELECT *, idx // 8 AS b FROM z UNION ALL SELECT *, idx // 8 - 1 FROM z WHERE idx >= 8),
+k AS (SELECT *, row_number() OVER (PARTITION BY signal_id, b ORDER BY abs(x), idx) AS r, count(*) OVER (PARTITION BY signal_id, b) AS n FROM t WHERE b * 8 + 4 <= total),
+m AS (SELECT *, max(CASE WHEN r = n // 2 + 1 THEN abs(x) END) OVER (PARTITION BY signal_id, b) AS median FROM k),
+j AS (SELECT signal_id, idx, bool_or(abs(x) > greatest(median * 3.0, least)) AS c FROM m GROUP BY ALL),
+c AS (SELECT u.signal_id, u.idx, u.x, coalesce(c, false) AS c FROM u LEFT JOIN j ON j.signal_id = u.signal_id AND j.idx = u.idx),
+g AS (SELECT signal_id, idx, x, c OR (coalesce(lag(c) OVER w, false) AND coalesce(lead(c) OVER w, false)) AS click FROM c WINDOW w AS (PARTITION BY signal_id ORDER BY idx))"""
 )
 
 
-@query("click_flags", _CLICK + " SELECT signal_id, idx, round(median, 6) AS median, click FROM g")
+@query("click_flags", _CLICK + " SELECT signal_id, idx, click FROM g")
 def click_flags(spark, d):
-    return S.clicks(unit(spark, d), 16, 3.0, 0.2).select("signal_id", "idx", r("median", 6).alias("median"), "click")
+    return S.clicks(unit(spark, d), 16, 3.0).select("signal_id", "idx", "click")
 
 
 @query(
@@ -171,7 +174,7 @@ SELECT signal_id, idx, round(x, 6) + 0.0 AS y FROM g WHERE NOT click UNION ALL
 SELECT signal_id, idx, round(CASE WHEN p1 IS NOT NULL AND p2 IS NOT NULL THEN 0.5 * (2 * p1 + (p2 - p0) * t + (2 * p0 - 5 * p1 + 4 * p2 - p3) * t * t + (3 * p1 - p0 - 3 * p2 + p3) * t * t * t) ELSE coalesce(p1, p2, 0.0) END, 6) FROM p""",
 )
 def click_repair(spark, d):
-    return S.repair(S.clicks(unit(spark, d), 16, 3.0, 0.2)).select("signal_id", "idx", r("y", 6).alias("y"))
+    return S.repair(S.clicks(unit(spark, d), 16, 3.0)).select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 def _recursive(first: str, step: str, columns: str, out: str, source: str = "u") -> str:
@@ -297,9 +300,21 @@ def parametric_eq(spark, d):
     return S.scan(unit(spark, d), lambda x: R.cascade(x, filters), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
 
 
+@query(
+    "live_gate",
+    UNIT
+    + """, r AS (SELECT signal_id, idx, 0.05 * abs(x) AS env FROM u WHERE idx = 0 UNION ALL SELECT s.signal_id, s.idx, r.env + CASE WHEN abs(s.x) > r.env THEN 0.05 ELSE 0.0005 END * (abs(s.x) - r.env) FROM r JOIN u s ON s.signal_id = r.signal_id AND s.idx = r.idx + 1),
+l AS (SELECT u.signal_id, u.idx, coalesce(lag(x, 4) OVER w, 0.0) AS late, max(CASE WHEN round(env, 9) > 0.05 THEN u.idx END) OVER w AS loud FROM u JOIN r ON r.signal_id = u.signal_id AND r.idx = u.idx WINDOW w AS (PARTITION BY u.signal_id ORDER BY u.idx))
+SELECT signal_id, idx, round(CASE WHEN loud IS NOT NULL AND idx - loud <= 6 THEN late ELSE late * 0.1 END, 6) + 0.0 AS y FROM l""",
+)
+def live_gate(spark, d):
+    return S.gate_ahead(unit(spark, d), 0.05, 0.1, look=4, hold=6).select("signal_id", "idx", r("y", 6).alias("y"))
+
+
 @query("live_deesser")
 def live_deesser(spark, d):
-    return S.scan(unit(spark, d), R.deess_live, {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
+    band = R.biquad_design("peaking", 6_000.0, 3.0, -12.0, SR)
+    return S.scan(unit(spark, d), lambda x: R.deess_live(x, band, 0.8), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 _EDGE = "first_value(x) OVER a AS f, last_value(x) OVER a AS l"
@@ -427,10 +442,10 @@ _pair("mid_side", ("(l + rr) / 2 + (l - rr) / 2 * 1.5", "(l + rr) / 2 - (l - rr)
 _pair("crosstalk", ("l - 0.2 * rr", "rr - 0.2 * l"), lambda a, b: P.crosstalk(a, b, 40.0))
 
 
-@query("dry_wet", UNIT + ", w AS (SELECT signal_id, idx, CASE WHEN abs(x) < 0.1 THEN 0.0 ELSE x END AS y FROM u WHERE idx < 50) SELECT u.signal_id, u.idx, round(u.x * 0.3 + w.y * 0.7, 6) + 0.0 AS y FROM u JOIN w ON w.signal_id = u.signal_id AND w.idx = u.idx")
+@query("dry_wet", UNIT + ", w AS (SELECT signal_id, idx, CASE WHEN abs(x) < 0.1 THEN 0.0 ELSE x END AS y FROM u) SELECT u.signal_id, u.idx, round(u.x * 0.3 + w.y * 0.7, 6) + 0.0 AS y FROM u JOIN w ON w.signal_id = u.signal_id AND w.idx = u.idx")
 def dry_wet(spark, d):
     dry = unit(spark, d).select("signal_id", "idx", "x")
-    wet = dry.where("idx < 50").select("signal_id", "idx", F.when(F.abs("x") < 0.1, 0.0).otherwise(F.col("x")).alias("y"))
+    wet = dry.select("signal_id", "idx", F.when(F.abs("x") < 0.1, 0.0).otherwise(F.col("x")).alias("y"))
     return dry.join(wet, ["signal_id", "idx"]).select("signal_id", "idx", r(P.mix("x", "y", 0.7), 6).alias("y"))
 
 

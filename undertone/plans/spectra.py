@@ -257,18 +257,43 @@ def _kernel(name, kernel, source="mag"):
 
 
 _kernel("erb_gate", lambda m: K.erb_gate(m, -10.0, SR, 64, 8))
-_kernel("log_band_wiener", lambda m: K.band_wiener(m, m.mean(0) * 0.5, SR, 6))
+_kernel("log_band_wiener", lambda m: K.band_wiener(m, (m.mean(0) * 0.5) ** 2, SR, 6))
 _kernel("min_stat_floor", lambda m: K.minimum_floor(m, np_level(m) < 8, 10))
 _kernel("adaptive_wiener", lambda m: K.adaptive_wiener(m, (np_level(m) > 8).astype(float)))
-_kernel("over_subtract", lambda m: K.over_subtract(m, m.mean(0) * 0.5, 0.1))
 _kernel("running_dereverb", lambda m: K.running_dereverb(m, 0.6))
-_kernel("harmonic_v2", lambda m: K.enhance_harmonics(m, 0.5))
-_kernel("poly_harmonics", lambda m: K.poly_harmonics(m, 0.3))
+_kernel("harmonic_v2", lambda m: K.enhance_harmonics(m, 50.0, 32_000.0))
 _kernel("formant_shift", lambda m: K.shift_formants(m, 3.0, 4))
-_kernel("wiener_mask_build", lambda m: K.build_mask(m, m.mean(0) * 0.5, np_level(m) > 8))
+_kernel("wiener_mask_build", lambda m: K.build_mask(m, np_level(m) > 8, warm=20))
 _kernel("mfcc", lambda p: K.mfcc(p, SR), "power")
 
 
+_OWN = ", o AS (SELECT signal_id, k, avg(m) * 0.5 AS n FROM m GROUP BY ALL)"
+
+
+def _with_own_noise(spark, d):
+    """Bins with half their mean over the signal's frames; the means are one aggregation, joined back by signal and bin."""
+    m = O.bins(mags(spark, d))
+    return m.join(m.groupBy("signal_id", "k").agg((F.avg("m") * 0.5).alias("n")), ["signal_id", "k"])
+
+
+@query("over_subtract", S + _OWN + " SELECT m.signal_id, f, m.k, round(0.5 * m + 0.5 * greatest(m - 2.5 * n, greatest(0.1 * m, 1e-7)), 5) AS y FROM m JOIN o ON o.signal_id = m.signal_id AND o.k = m.k")
+def over_subtract(spark, d):
+    left = F.greatest(F.col("m") - 2.5 * F.col("n"), F.greatest(0.1 * F.col("m"), F.lit(1e-7)))
+    return _with_own_noise(spark, d).select("signal_id", "f", F.col("k").cast("bigint").alias("k"), r(0.5 * F.col("m") + 0.5 * left, 5).alias("y"))
+
+
+@query("poly_harmonics", S + " SELECT signal_id, f, k, round(CASE WHEN k < 28 THEN least(m + 0.3 * least(m, 1.0) ** 2 + 0.15 * least(m, 1.0) ** 3 + 0.1 * least(m, 1.0) ** 4, 2 * m) ELSE m END, 5) AS y FROM m")
+def poly_harmonics(spark, d):
+    rows = O.per_frame(mags(spark, d), lambda m: K.poly_harmonics(m, 0.3), ("y",), column="mag")
+    return values(rows, "y", 5)
+
+
+@query("log_spectral_distance", S + ", b AS (SELECT p.signal_id, p.f, avg((10 * log10(greatest(p, 1e-10)) - 10 * log10(greatest(p * 0.25 + 0.01, 1e-10))) ** 2) AS d FROM p GROUP BY ALL) SELECT signal_id, f, round(sqrt(d), 5) AS distance FROM b")
+def log_spectral_distance(spark, d):
+    rows = O.per_frame(powers(spark, d), lambda p: K.log_spectral_distance(p, p * 0.25 + 0.01)[:, None], ("d",), column="power")
+    return rows.select("signal_id", "f", r(F.col("d")[0], 5).alias("distance"))
+
+
 def np_level(m):
     import numpy as np
 

@@ -25,7 +25,11 @@ def read_stream(spark: SparkSession, folder: str, name: str, schema, files_at_on
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder for sinks and checkpoints, below the one that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="streams-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="streams-")
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
