@@ -176,3 +176,22 @@ def auto_tune(scene, rms_, peak, dynamic) -> dict[str, Column]:
         "ratio": F.when(d > 40, 4).when(d < 15, 2),
         "threshold": F.when(d > 40, -24).when(d < 15, -18),
     }
+
+
+def recommended(rms_, crossings, centre, flatness_, pitch_, quietest, loudest, frames) -> dict[str, Column]:
+    """Suggested settings from a recording's mean features, its quietest and loudest frame, and how many frames it has."""
+    speech = (F.col(crossings) < 0.15) & (F.col(pitch_) > 80) & (F.col(pitch_) < 400)
+    music, noisy = (F.col(flatness_) < 0.2) & (F.col(centre) > 2000), F.col(flatness_) > 0.6
+    span = F.when(F.col(loudest) > 0, 20 * F.log10(F.col(loudest) / (F.col(quietest) + 1e-10))).otherwise(0.0)
+    return {
+        "noise_reduction": F.when(noisy, 0.75).when(speech, 0.55).otherwise(0.35),
+        "gate_threshold": F.greatest(F.lit(-60.0), -40 - 0.3 * span),
+        "ratio": F.when(span > 20, 4.0).when(span > 12, 3.0).otherwise(2.0),
+        "presence_db": F.when(speech, 3).otherwise(1),
+        "voice_isolation": F.when(speech, 0.8).when(music, 0.4).otherwise(0.6),
+        "de_ess": F.when(F.col(centre) > 5000, 0.6).when(F.col(centre) > 3000, 0.3).otherwise(0.1),
+        "dereverb": F.when(F.col(flatness_) > 0.4, 0.5).otherwise(0.2),
+        "harmonics": F.when(speech, 0.4).otherwise(0.1),
+        "gain_db": F.when(F.col(rms_) > 0, F.least(F.lit(6.0), -20 - 20 * F.log10(F.col(rms_) + 1e-10))).otherwise(0.0),
+        "confidence": F.least(F.lit(0.95), 0.5 + F.col(frames) / 100 * 0.3 + F.when(speech, 0.15).otherwise(0.0)),
+    }

@@ -136,3 +136,19 @@ def trailing(df: DataFrame, at: Column, span: float) -> DataFrame:
     """Rows of the last `span` seconds before the newest one."""
     top = df.agg(F.max(at).alias("t")).first().t
     return df.where(at > F.lit(top) - span) if top is not None else df
+
+
+def usable(registry: DataFrame, stored: DataFrame, model: str, least: str, size: str, version: str, *order: str) -> DataFrame:
+    """Of each registered model: its newest stored version of a size that can be right (null if there is none), how many there
+    are, and whether it is ready."""
+    good = stored.join(registry.select(model, F.col(least).alias("__least")), model).where(F.col(size) >= F.col("__least"))
+    newest = good.groupBy(model).agg(F.max_by(version, F.struct(*order)).alias(version), F.count("*").alias("stored"))
+    return registry.select(model).join(newest, model, "left").select(model, version, F.coalesce("stored", F.lit(0)).cast("bigint").alias("stored"), F.col(version).isNotNull().alias("ready"))
+
+
+def remaining(log: DataFrame, key: str, id: str, act: str, *order: str) -> DataFrame:
+    """key and id whose last act is `add`, after the key's last `clear`."""
+    at = F.struct(*order)
+    last = log.where(F.col(act) != "clear").groupBy(key, id).agg(F.max_by(act, at).alias("__act"), F.max(at).alias("__at"))
+    cleared = log.where(F.col(act) == "clear").groupBy(key).agg(F.max(at).alias("__clear"))
+    return last.where("__act = 'add'").join(cleared, key, "left").where("__clear IS NULL OR __at > __clear").select(key, id)

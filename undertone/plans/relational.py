@@ -382,6 +382,10 @@ def colormap(spark, d):
 @query("wav_round_trip", UNIT + " SELECT signal_id, idx, round(floor(greatest(-1.0, least(1.0, x)) * 32767 + 0.5) / 32768, 8) AS y FROM u")
 def wav_round_trip(spark, d):
     """Signals as 16-bit WAV files and back."""
+    return _through_wav(spark, d)
+
+
+def _through_wav(spark, d, symmetric=True):
     import pyarrow as pa
 
     from undertone.sources.wav import decode, to_wav
@@ -392,5 +396,38 @@ def wav_round_trip(spark, d):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(w)[1][0].tolist() for w in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["signal_id", "x"])
 
-    files = to_wav(packed.withColumn("sr", F.lit(8000)))
+    files = to_wav(packed.withColumn("sr", F.lit(8000)), symmetric=symmetric)
     return files.mapInArrow(back, "signal_id bigint, x array<double>").select("signal_id", F.posexplode("x").alias("idx", "y")).select("signal_id", F.col("idx").cast("bigint").alias("idx"), r("y", 8).alias("y"))
+
+
+@query("wav_asymmetric", UNIT + " SELECT signal_id, idx, round(trunc(greatest(-1.0, least(1.0, x)) * CASE WHEN x < 0 THEN 32768 ELSE 32767 END) / 32768, 8) + 0.0 AS y FROM u")
+def wav_asymmetric(spark, d):
+    """As wav_round_trip, with full scale at -32768 and 32767, and cut towards zero."""
+    return _through_wav(spark, d, symmetric=False)
+
+
+@query("truncated_names", "SELECT p_partkey, substr(p_name, 1, 8) AS name FROM part")
+def truncated_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.truncated("p_name", 8).alias("name"))
+
+
+@query("finite_guard", "SELECT event_id, CASE WHEN value > 90 OR event_id % 3 = 0 THEN 0.0 ELSE value END AS value FROM events")
+def finite_guard(spark, d):
+    """Magnitudes that are not a number, infinite, negative or missing become zero."""
+    odd = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).when(F.col("value") > 200, F.lit(float("inf"))).when(F.col("value") > 120, -F.col("value")).when(F.col("value") > 90, F.lit(None).cast("double")).otherwise(F.col("value"))
+    return events(spark, d).select("event_id", P.finite(odd).alias("value"))
+
+
+@query("model_store", "WITH m AS (SELECT * FROM (VALUES ('signup', 60), ('error', 20), ('purchase', 150), ('absent', 1)) t(model, least)), s AS (SELECT event_type, arg_max(event_id, (ts, event_id)) AS version, count(*) AS stored FROM events JOIN m ON m.model = event_type WHERE value >= least GROUP BY event_type) SELECT model, version, coalesce(stored, 0) AS stored, version IS NOT NULL AS ready FROM m LEFT JOIN s ON s.event_type = m.model")
+def model_store(spark, d):
+    registry = spark.createDataFrame([("signup", 60.0), ("error", 20.0), ("purchase", 150.0), ("absent", 1.0)], "model string, least double")
+    stored = events(spark, d).select(F.col("event_type").alias("model"), F.col("event_id").alias("version"), F.col("value").alias("size"), "ts")
+    return O.usable(registry, stored, "model", "least", "size", "version", "ts", "version")
+
+
+@query("registry_log", "WITH a AS (SELECT user_id, event_id, ts, event_id % 7 AS id, CASE event_type WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'clear' ELSE 'add' END AS act FROM events), c AS (SELECT user_id, max((ts, event_id)) AS at FROM a WHERE act = 'clear' GROUP BY user_id), l AS (SELECT a.user_id, id, arg_max(act, (ts, event_id)) AS act, max((ts, event_id)) AS at FROM a WHERE act <> 'clear' GROUP BY ALL) SELECT l.user_id, l.id FROM l LEFT JOIN c ON c.user_id = l.user_id WHERE l.act = 'add' AND (c.at IS NULL OR l.at > c.at)")
+def registry_log(spark, d):
+    """Who is enrolled after a log of additions, removals and clearings."""
+    act = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "signup", "clear").otherwise("add")
+    log = events(spark, d).select("user_id", (F.col("event_id") % 7).alias("id"), act.alias("act"), "ts", "event_id")
+    return O.remaining(log, "user_id", "id", "act", "ts", "event_id")

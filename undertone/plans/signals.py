@@ -313,7 +313,7 @@ def live_gate(spark, d):
 
 @query("live_deesser")
 def live_deesser(spark, d):
-    band = R.biquad_design("peaking", 6_000.0, 3.0, -12.0, SR)
+    band = R.biquad_design("peaking", 300.0, 3.0, -12.0, SR)
     return S.scan(unit(spark, d), lambda x: R.deess_live(x, band, 0.8), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
 
 

@@ -308,3 +308,43 @@ def mcra_floor(spark, d):
 @query("fingerprint")
 def fingerprint(spark, d):
     return O.summary(powers(spark, d), lambda p: K.fingerprint(p, SR), "v", column="power").select("signal_id", F.posexplode("v").alias("k", "v")).select("signal_id", F.col("k").cast("bigint").alias("k"), r("v", 5).alias("v"))
+
+
+_TUNE_SR = 4000
+
+
+@query(
+    "auto_tune_features",
+    S
+    + """, t AS (SELECT signal_id, f, sqrt(avg(v * v)) AS rms FROM e GROUP BY ALL),
+z AS (SELECT signal_id, f, sum(CASE WHEN (v >= 0) <> (b >= 0) THEN 1 ELSE 0 END) / 64.0 AS crossings FROM (SELECT *, lag(v) OVER (PARTITION BY signal_id, f ORDER BY i) AS b FROM e) GROUP BY ALL),
+c AS (SELECT signal_id, f, CASE WHEN sum(p) > 0 THEN sum(k * 4000.0 / 66 * p) / sum(p) ELSE 0 END AS centre, exp(avg(ln(greatest(p, 1e-10)))) / (avg(p) + 1e-10) AS flat FROM p GROUP BY ALL),
+q AS (SELECT a.signal_id, a.f, b.i - a.i AS lag, round(sum(a.v * b.v), 9) AS s FROM e a JOIN e b ON a.signal_id = b.signal_id AND a.f = b.f AND b.i - a.i BETWEEN 8 AND 32 GROUP BY ALL),
+h AS (SELECT signal_id, f, CASE WHEN max(s) > 0 THEN 4000.0 / arg_min(lag, (-s, lag)) END AS pitch FROM q GROUP BY ALL),
+g AS (SELECT t.signal_id, avg(rms) AS rms, min(rms) AS lo, max(rms) AS hi, avg(crossings) AS crossings, avg(centre) AS centre, avg(flat) AS flat, coalesce(avg(pitch), 0) AS pitch, count(*) AS n FROM t JOIN z USING (signal_id, f) JOIN c USING (signal_id, f) JOIN h USING (signal_id, f) GROUP BY t.signal_id),
+o AS (SELECT *, crossings < 0.15 AND pitch > 80 AND pitch < 400 AS speech, flat < 0.2 AND centre > 2000 AS music, flat > 0.6 AS noisy, CASE WHEN hi > 0 THEN 20 * log10(hi / (lo + 1e-10)) ELSE 0 END AS span FROM g)
+SELECT signal_id, CASE WHEN noisy THEN 0.75 WHEN speech THEN 0.55 ELSE 0.35 END::DOUBLE AS noise_reduction, round(greatest(-60.0, -40 - 0.3 * span), 4)::DOUBLE AS gate_threshold, CASE WHEN span > 20 THEN 4.0 WHEN span > 12 THEN 3.0 ELSE 2.0 END::DOUBLE AS ratio, CASE WHEN speech THEN 3 ELSE 1 END AS presence_db, CASE WHEN speech THEN 0.8 WHEN music THEN 0.4 ELSE 0.6 END::DOUBLE AS voice_isolation, CASE WHEN centre > 5000 THEN 0.6 WHEN centre > 3000 THEN 0.3 ELSE 0.1 END::DOUBLE AS de_ess, CASE WHEN flat > 0.4 THEN 0.5 ELSE 0.2 END::DOUBLE AS dereverb, CASE WHEN speech THEN 0.4 ELSE 0.1 END::DOUBLE AS harmonics, round(least(6.0, -20 - 20 * log10(rms + 1e-10)), 4)::DOUBLE AS gain_db, round(least(0.95, 0.5 + n / 100.0 * 0.3 + CASE WHEN speech THEN 0.15 ELSE 0 END), 4)::DOUBLE AS confidence FROM o""",
+)
+def auto_tune_features(spark, d):
+    """Settings from features of all frames of a recording."""
+    x = F.col("samples")
+    n = F.size(x)
+    flips = F.aggregate(F.zip_with(F.slice(x, F.lit(1), n - 1), F.slice(x, F.lit(2), n - 1), lambda a, b: ((a >= 0) != (b >= 0)).cast("double")), F.lit(0.0), lambda a, v: a + v)
+    rows = powers(spark, d).withColumns({"rms": F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / n), "crossings": flips / n, "centre": O.centroid(_TUNE_SR, silent=0.0), "pitch": O.pitch(_TUNE_SR, 125.0, 500.0)})
+    logs = F.exp(F.aggregate("power", F.lit(0.0), lambda a, v: a + F.ln(F.greatest(v, F.lit(1e-10)))) / F.size("power"))
+    rows = rows.withColumn("flat", logs / (F.aggregate("power", F.lit(0.0), lambda a, v: a + v) / F.size("power") + 1e-10))
+    means = rows.groupBy("signal_id").agg(*(F.avg(c).alias(c) for c in ("rms", "crossings", "centre", "flat")), F.coalesce(F.avg("pitch"), F.lit(0.0)).alias("pitch"), F.min("rms").alias("lo"), F.max("rms").alias("hi"), F.count("*").alias("n"))
+    found = L.recommended("rms", "crossings", "centre", "flat", "pitch", "lo", "hi", "n")
+    return means.select("signal_id", *((r(c) if k in ("gate_threshold", "gain_db", "confidence") else c).alias(k) for k, c in found.items()))
+
+
+@query(
+    "stft_frames",
+    UNIT
+    + """, n AS (SELECT signal_id, count(*) AS n FROM u GROUP BY signal_id), f AS (SELECT signal_id, unnest(range(((n - 16) // 8 + 1)::BIGINT)) AS f FROM n WHERE n >= 16),
+x AS (SELECT f.signal_id, f.f, u.idx - f.f * 8 AS i, u.x * (0.5 - 0.5 * cos(2 * pi() * (u.idx - f.f * 8) / 16)) AS v FROM f JOIN u ON u.signal_id = f.signal_id AND u.idx >= f.f * 8 AND u.idx < f.f * 8 + 16),
+k AS (SELECT range AS k FROM range(9))
+SELECT signal_id, f, k, round(sqrt(sum(v * cos(2 * pi() * k * i / 16)) ** 2 + sum(v * sin(2 * pi() * k * i / 16)) ** 2), 5) AS y FROM x, k GROUP BY ALL""",
+)
+def stft_frames(spark, d):
+    return values(O.stft(unit(spark, d), 16, 8), "mag", 5)

@@ -57,13 +57,14 @@ def decode(data: bytes) -> tuple[int, np.ndarray]:
 
 
 def encode(channels: np.ndarray, rate: int, bits: int = 16, symmetric: bool = True) -> bytes:
-    """symmetric: scale both signs by the same number; else negative samples reach one step further."""
+    """symmetric: scale both signs by the same number and round; else negative samples reach one step further, and
+    what lies between two steps is cut towards zero."""
     x = np.clip(np.atleast_2d(channels), -1, 1).T.ravel()
     if bits == 32:
         body, kind = x.astype("<f4").tobytes(), 3
     else:
         top = 2 ** (bits - 1)
-        scaled = np.floor(np.where((x < 0) & (not symmetric), x * top, x * (top - 1)) + 0.5).astype(np.int32)
+        scaled = (np.floor(x * (top - 1) + 0.5) if symmetric else np.trunc(np.where(x < 0, x * top, x * (top - 1)))).astype(np.int32)
         wide = scaled.astype("<i4").view(np.uint8).reshape(-1, 4)
         body, kind = wide[:, : bits // 8].tobytes(), 1
     n = len(np.atleast_2d(channels))
