@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +16,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one only where
-    none is set (single-machine sessions, tests)."""
+    """The folder that all executors share, as the session names it; a temporary one only where none is set and
+    the session runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="shared-")
+        if held.isDefined():
+            path = held.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            path = "file://" + tempfile.mkdtemp(prefix="shared-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -29,9 +36,10 @@ PIECE_BYTES = 2_000_000
 #: Lets Spark delete a write's shuffle files when the write has ended, not when the driver next
 #: happens to collect garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, a lost
     executor costs no recomputation, and the shuffle files behind it can go."""
     spark = df.sparkSession
@@ -39,7 +47,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
     out = spark.read.schema(df.schema).parquet(path)
@@ -47,6 +55,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000):
+    """Jobs inside hand texts to Python in smaller Arrow batches, so that less of them is held on both sides."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def discard(df: DataFrame, *tables: DataFrame) -> DataFrame:
     """Deletes tables of `stored` that nothing reads any more, and returns df."""
     jvm = df.sparkSession._jvm

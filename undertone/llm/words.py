@@ -43,18 +43,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+#: Bytes whose prefix sums are held at once; longer arrays are summed block by block, with the same results.
+BLOCK_BITS = 21
+
+
 class Rolling:
     """Hashes of spans of one byte array."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        self.up, self.down = _powers(max(21, len(data).bit_length()))
-        values = _byte_values(seed)[data]
-        values *= self.up[: len(data)]
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(values, out=self.sums[1:])
+        self.data, self.seed, self.block = data, seed, 1 << BLOCK_BITS
+        self.up, self.down = _powers(BLOCK_BITS)
+        self.sums = self._summed(data) if len(data) <= self.block else None
+
+    def _summed(self, part: np.ndarray, scale: int = 1) -> np.ndarray:
+        values = _byte_values(self.seed)[part]
+        values *= self.up[: len(part)]
+        out = np.zeros(len(part) + 1, U64)
+        np.cumsum(values, out=out[1:])
+        return out * U64(scale) if scale != 1 else out
+
+    def _at(self, places: np.ndarray) -> np.ndarray:
+        """Prefix sums at these places."""
+        if self.sums is not None:
+            return self.sums[places]
+        order = np.argsort(places, kind="stable")
+        ordered, out, total = places[order], np.zeros(len(places), U64), U64(0)
+        for begin in range(0, len(self.data), self.block):
+            sums = self._summed(self.data[begin : begin + self.block], pow(BASE, begin, 2**64)) + total
+            i, j = np.searchsorted(ordered, [begin, begin + len(sums)])
+            out[order[i:j]] = sums[ordered[i:j] - begin]
+            total = sums[-1]
+        return out
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        high = starts >> BLOCK_BITS
+        back = self.down[starts & (self.block - 1)]
+        if self.sums is None:
+            step = pow(pow(BASE, -1, 2**64), self.block, 2**64)
+            back = back * np.array([pow(step, k, 2**64) for k in range((len(self.data) >> BLOCK_BITS) + 1)], U64)[high]
+        elif len(self.data) == self.block:
+            back = np.where(high > 0, self.down[self.block], back)
+        return mix((self._at(ends) - self._at(starts)) * back)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
