@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from undertone.llm import repeats
@@ -36,10 +37,11 @@ def rows():
     return [(3 * i - 50, t) for i, t in enumerate(made)] + [(None, texts[5])]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("spans_of", [repeats.repeated_spans, repeats.doubled_spans])
+def test_against_brute_force(spark, spans_of):
     data = rows()
     docs = spark.createDataFrame(data, "doc_id bigint, text string").withColumns({"rank": F.lit("clash"), "n": F.lit(1), "doc": F.lit(2)})
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest_repeats(docs).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest_repeats(docs, spans_of=spans_of).collect()}
     assert got == slow(data)
 
 
@@ -66,3 +68,13 @@ def test_edges(spark):
     same = spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id bigint, text string")
     out = repeats.remove_repeats(same).collect()
     assert sorted((r.doc_id, bytes(r.kept).decode()) for r in out) == [(1, t), (1, t), (2, "")]
+
+
+def test_many_texts_share_an_id(spark):
+    """Texts without an id are told apart; equal ones among them don't multiply."""
+    rng = random.Random(9)
+    long = ["".join(rng.choices("abcdefgh ", k=300)) for _ in range(40)]
+    data = [(None, t) for t in long] + [(None, long[0])] * 20 + [(7, long[1] + long[2])]
+    out = repeats.digest_repeats(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert len(out) == len(data)
+    assert all(r.n_removed == (600 if r.doc_id else 0) for r in out)

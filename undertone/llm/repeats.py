@@ -1,4 +1,7 @@
-"""Suffix-array deduplication of long repeats, by distributed prefix doubling on sampled positions.
+"""Suffix-array deduplication of long repeats, by ranks of sampled positions, and by full prefix doubling.
+
+`doubled_spans` is the method as it is named; it holds a row for every byte, and the README has the figures with which it
+was stopped. `repeated_spans`, which the query uses, gives the same spans from sampled positions.
 
 A byte goes if a string of LENGTH bytes covers it that also starts earlier (smaller doc_id, or
 same document and earlier start). Full prefix doubling sorts every position of the corpus in
@@ -26,7 +29,8 @@ split, so a passage that very many documents share costs no single task.
 
 Defined results: null texts are empty; texts under LENGTH bytes keep everything; rows that
 share a doc_id are ordered by start and then by text, and equal ones don't remove each other; a
-null doc_id comes before all others; other columns are ignored.
+null doc_id comes before all others; doc_id is an integer (null stands for the least long, which no other row
+may have); of rows that share an id, texts are told apart by 32 bits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,17 +96,17 @@ def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.nda
 
 
 def _tag(column: pa.Array) -> np.ndarray:
-    """16 bits of each text, to tell rows apart that share an id."""
-    return np.array([int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=2).digest(), "big") for t in column.to_pylist()], np.int64)
+    """32 bits of each text, to tell rows apart that share an id."""
+    return np.array([int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=4).digest(), "big") for t in column.to_pylist()], np.int64)
 
 
-#: doc is the id, null as the least long; place is a start, then the text's tag in the last 16 bits;
+#: doc is the id, null as the least long; place is a start, then the text's tag in the last 32 bits;
 #: n starts from there on; ahead: the sampled position after the start.
 ROWS = "rank bigint, rest bigint, doc bigint, place bigint, n int, ahead int"
 
 
 def _rows(rank, rest, ids: pa.Array, row, start, tag, n, ahead) -> pa.RecordBatch:
-    columns = [pa.array(rank.view(np.int64)), pa.array(rest.view(np.int64)), ids.take(pa.array(row)), pa.array(start << 16 | tag), pa.array(n, pa.int32()), pa.array(ahead, pa.int32())]
+    columns = [pa.array(rank.view(np.int64)), pa.array(rest.view(np.int64)), ids.take(pa.array(row)), pa.array(start << 32 | tag), pa.array(n, pa.int32()), pa.array(ahead, pa.int32())]
     return pa.RecordBatch.from_arrays(columns, ["rank", "rest", "doc", "place", "n", "ahead"])
 
 
@@ -130,7 +135,7 @@ def _run_ranks(docs: DataFrame, length: int) -> DataFrame:
 def _open(docs: DataFrame, chosen: DataFrame, split) -> DataFrame:
     """Rows of chosen ones opened by split(data, rank, first start, n, ahead), which returns the index of
     the row opened, rank, rest, first start, n and ahead of each part."""
-    wanted = chosen.groupBy("doc", F.expr("cast(place & 65535 as int)").alias("tag")).agg(F.collect_list(F.struct("rank", F.expr("shiftright(place, 16)").alias("lo"), "n", "ahead")).alias("runs"))
+    wanted = chosen.groupBy("doc", F.expr("place & 4294967295").alias("tag")).agg(F.collect_set(F.struct("rank", F.expr("shiftright(place, 32)").alias("lo"), "n", "ahead")).alias("runs"))
 
     def emit(batches):
         for piece in pieces(batches, "t"):
@@ -186,9 +191,9 @@ def _starts(length: int):
 def _tagged(docs: DataFrame) -> DataFrame:
     def emit(batches):
         for piece in pieces(batches, "t"):
-            yield pa.RecordBatch.from_arrays([piece.column("d"), piece.column("t"), pa.array(_tag(piece.column("t")), pa.int32())], ["d", "t", "g"])
+            yield pa.RecordBatch.from_arrays([piece.column("d"), piece.column("t"), pa.array(_tag(piece.column("t")), pa.int64())], ["d", "t", "g"])
 
-    return docs.mapInArrow(emit, "d bigint, t string, g int")
+    return docs.mapInArrow(emit, "d bigint, t string, g bigint")
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -226,6 +231,69 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENG
     return discard(stored(found, "found"), left, pairs, single, several)
 
 
+#: Bytes of the first ranks of full doubling.
+FIRST = 4
+
+
+def _positions(docs: DataFrame, length: int) -> DataFrame:
+    """(doc, place, a, b): every position of texts of at least `length` bytes that FIRST bytes follow, a: those bytes as a number."""
+
+    def emit(batches):
+        for piece in pieces(batches, "t"):
+            data, at = flat(piece.column("t"))
+            row, i = _each(np.where(np.diff(at) < length, 0, np.diff(at) - FIRST + 1))
+            start = at[row] + i
+            a = sum((data[start + k].astype(np.int64) << (8 * (FIRST - 1 - k)) for k in range(FIRST)), np.zeros(len(start), np.int64))
+            place = pa.array(i << 32 | _tag(piece.column("t"))[row])
+            yield pa.RecordBatch.from_arrays([piece.column("d").take(pa.array(row)), place, pa.array(a), pa.array(np.zeros(len(a), np.int64))], ["doc", "place", "a", "b"])
+
+    return docs.mapInArrow(emit, "doc bigint, place bigint, a bigint, b bigint")
+
+
+def _reranked(pairs: DataFrame) -> DataFrame:
+    """(doc, place, rank) of positions whose pair of ranks is not their own: pairs are sorted, and equal neighbours numbered."""
+
+    def number(batches):
+        n, last, alone = TaskContext.get().partitionId() << 40, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, doc, place = (batch.column(c).to_numpy() for c in ("a", "b", "doc", "place"))
+            if alone is not None:
+                a, b, doc, place = (np.concatenate([[x], y]) for x, y in zip(alone, (a, b, doc, place), strict=True))
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            new[0] = last is None or (a[0], b[0]) != last
+            rank = n + np.cumsum(new)
+            size = np.bincount(rank - rank[0])[rank - rank[0]]
+            shared = (size > 1) | (rank == n)  # rank n went on from the batch before
+            alone = None
+            if not shared[-1]:
+                alone = a[-1], b[-1], doc[-1], place[-1]
+                a, b, doc, place, rank, shared = (x[:-1] for x in (a, b, doc, place, rank, shared))
+            if len(a):
+                n, last = int(rank[-1]), (a[-1], b[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (doc, place, rank)], ["doc", "place", "rank"])
+
+    return pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(number, "doc bigint, place bigint, rank bigint")
+
+
+def doubled_spans(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENGTH) -> DataFrame:
+    """What `repeated_spans` returns, by prefix doubling over every position: ranks of 4 bytes are paired with those 4, 8, 16 ...
+    bytes on, pairs are sorted and numbered anew, and a position goes as soon as its rank is its own, until ranks stand for
+    `length` bytes. Its first rounds hold a row for every byte of the corpus."""
+    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    ranked, width = stored(_reranked(_positions(own, length)), "doubled"), FIRST
+    while width < length:
+        step = min(width, length - width)
+        ahead = ranked.select("doc", (F.col("place") - (step << 32)).alias("place"), F.col("rank").alias("b"))
+        pairs = ranked.withColumnRenamed("rank", "a").join(ahead, ["doc", "place"])
+        ranked, width = discard(stored(_reranked(pairs), "doubled"), ranked), width + step
+    several = ranked.groupBy("rank").agg(F.min(F.struct("doc", "place")).alias("first"))
+    found = ranked.join(_hashed(several), "rank").where("doc != first.doc OR place != first.place")
+    return discard(stored(found.select("doc", "place", F.lit(1).alias("n")), "found"), ranked)
+
+
 def _merged(lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of bytes from starts and their numbers; none for none."""
     if not len(lo):
@@ -239,9 +307,9 @@ def _merged(lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return lo[at], hi[np.append(at[1:], len(lo)) - 1]
 
 
-def _with_spans(docs: DataFrame, doc_id: str, text: str, length: int, emit, schema: str) -> DataFrame:
-    spans = repeated_spans(docs, doc_id=doc_id, text=text, length=length)
-    by_doc = spans.groupBy("doc", F.expr("cast(place & 65535 as int)").alias("tag")).agg(F.collect_list(F.struct(F.expr("shiftright(place, 16)").alias("lo"), "n")).alias("spans"))
+def _with_spans(docs: DataFrame, doc_id: str, text: str, length: int, emit, schema: str, spans_of=repeated_spans) -> DataFrame:
+    spans = spans_of(docs, doc_id=doc_id, text=text, length=length)
+    by_doc = spans.groupBy("doc", F.expr("place & 4294967295").alias("tag")).agg(F.collect_set(F.struct(F.expr("shiftright(place, 32)").alias("lo"), "n")).alias("spans"))
     own = _tagged(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")))
     by_doc = discard(stored(by_doc, "spans"), spans)
     joined = own.join(_hashed(by_doc), (own.d == by_doc.doc) & (own.g == by_doc.tag), "left").select("d", "t", "spans")
@@ -268,22 +336,22 @@ def _left_over(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
     return b"".join(data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def remove_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENGTH, spans_of=repeated_spans) -> DataFrame:
     """doc_id, kept (what is left, as binary), and the removed byte spans as arrays."""
 
     def emit(data, lo, hi):
         return _left_over(data, lo, hi), lo.tolist(), hi.tolist()
 
-    return _with_spans(docs, doc_id, text, length, emit, "kept binary, starts array<bigint>, ends array<bigint>")
+    return _with_spans(docs, doc_id, text, length, emit, "kept binary, starts array<bigint>, ends array<bigint>", spans_of)
 
 
-def digest_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENGTH) -> DataFrame:
+def digest_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", length=LENGTH, spans_of=repeated_spans) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of what is left."""
 
     def emit(data, lo, hi):
         return len(data), int((hi - lo).sum()), len(lo), hashlib.sha256(_left_over(data, lo, hi)).hexdigest()
 
-    return _with_spans(docs, doc_id, text, length, emit, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return _with_spans(docs, doc_id, text, length, emit, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", spans_of)
 
 
 def op3_repeats(spark, sf_dir: str) -> DataFrame:
