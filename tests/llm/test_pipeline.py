@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of each stage, on a small fixture."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_simhash import slow_components
+from tests.llm.test_near_copies import slow_components
 from undertone.llm import bpe, decontamination, secrets, toxicity
 
 BAD = ("grumblefoo", "snarlbar", "vexquux")
@@ -59,7 +60,7 @@ def test_against_brute_force(spark, run):
     docs, items, folder, rows = run
     kept = [(d[0], d[1]) for d in docs if not any(b in (d[1] or "") for b in BAD)]
     groups = slow_components(kept)
-    kept = [(i, t) for i, t in kept if groups[i][1] == i]
+    kept = [(i, t) for i, t in kept if groups[i] == i]
     kept = [(i, t) for i, t in kept if not any(len(shingles(t) & shingles(s)) >= 0.8 * len(shingles(s)) for _, s in items)]
     pattern = re.compile(secrets.ASSIGN.replace("(?i:", "(?:"), re.I | re.A)
     kept = [(i, pattern.sub(secrets.MARK, t or "")) for i, t in kept]
@@ -110,3 +111,53 @@ def test_decontamination_edges(spark):
     assert decontamination.containment_pairs(docs.limit(0), items).count() == 0
     assert decontamination.containment_pairs(docs, items.limit(0)).count() == 0
     assert decontamination.remove_contaminated(docs, items.limit(0)).count() == 7
+
+
+def slow_nnpu(positive, unlabelled, prior, steps, rate, decay):
+    """The same fit with numbers one by one."""
+    n = len(positive[0]) + 1
+    p, u = [[*x, 1.0] for x in positive], [[*x, 1.0] for x in unlabelled]
+    w, m, v = [0.0] * n, [0.0] * n, [0.0] * n
+    rise = lambda z: 1 / (1 + math.exp(-z))
+    soft = lambda z: math.log(1 + math.exp(z))
+    for t in range(1, steps + 1):
+        gp, gu = ([sum(a * b for a, b in zip(x, w)) for x in side] for side in (p, u))
+        negative = sum(map(soft, gu)) / len(u) - prior * sum(map(soft, gp)) / len(p)
+        for k in range(n):
+            of_negative = sum(x[k] * rise(g) for x, g in zip(u, gu)) / len(u) - prior * sum(x[k] * rise(g) for x, g in zip(p, gp)) / len(p)
+            of_positive = -prior * sum(x[k] * rise(-g) for x, g in zip(p, gp)) / len(p)
+            grad = (of_positive + of_negative if negative >= 0 else -of_negative) + (decay * w[k] if k < n - 1 else 0)
+            m[k], v[k] = 0.9 * m[k] + 0.1 * grad, 0.999 * v[k] + 0.001 * grad * grad
+        for k in range(n):
+            w[k] -= rate * (m[k] / (1 - 0.9**t)) / (math.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    return w[:-1], w[-1]
+
+
+def test_nnpu_against_numbers_one_by_one():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    positive, unlabelled = (rng.random((12, 3)) < 0.6).astype(float), (rng.random((40, 3)) < 0.3).astype(float)
+    for prior in (0.1, 0.6):  # the second one makes the risk on negatives fall below zero
+        w, b = toxicity.fit_nnpu(positive, unlabelled, prior, steps=80)
+        slow_w, slow_b = slow_nnpu(positive.tolist(), unlabelled.tolist(), prior, 80, toxicity.RATE, toxicity.WEIGHT_DECAY)
+        assert list(w) == pytest.approx(slow_w, abs=1e-9) and b == pytest.approx(slow_b, abs=1e-9)
+
+
+def test_scores_against_words_one_by_one(spark, run):
+    """Ties, repeated rows, nulls and a long text: every score is the map of the sum over the text's distinct words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from undertone.llm.words import NOT_LETTER, words_of
+
+    _, _, folder, _ = run
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    scorer = toxicity.fit(table, spark.read.parquet(f"{folder}/labels.parquet"), may_learn=toxicity.may_learn)
+    texts = [None, "", "snarlbar", "SNARLBAR snarlbar", "snarlbar vexquux", "snarlbar vexquux", "plain " * 600_000 + "grumblefoo", "né snarlbar's"]
+    found = toxicity.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), scorer).collect()
+    weight = dict(zip(scorer.keys.tolist(), scorer.weights.tolist(), strict=True))
+    for r in found:
+        words = {w for w in re.split(r"[^A-Za-z\\u0080-\\U0010ffff]+", (texts[r.doc_id] or "").lower()) if w}
+        g = scorer.bias + sum(weight.get(int(words_of(pa.array([w]), breaks=NOT_LETTER).hashes()[0]), 0) for w in words)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(scorer.scale * g + scorer.shift))), rel=1e-5)
