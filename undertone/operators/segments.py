@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertone.operators.sequences import runs
+from undertone.operators.sequences import numbered, runs
 
 
 def label_runs(df: DataFrame, label: str, *, key: str, order: str, seconds: float, least: float = 0.0, energy: str | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def hit(df: DataFrame, t, name: str, *, key: str, start="start", end="end") -> D
 def first_seen(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Distinct names with their rank by first appearance, from 1."""
     first = df.groupBy(name).agg(F.min(F.struct(*order)).alias("__o"))
-    return first.select(name, F.row_number().over(Window.orderBy("__o", name)).cast("bigint").alias("place"))
+    return numbered(first, "__o", name).select(name, "place")
 
 
 def with_volume(df: DataFrame, volumes: DataFrame, name: str) -> DataFrame:
@@ -46,8 +46,8 @@ def with_volume(df: DataFrame, volumes: DataFrame, name: str) -> DataFrame:
     return df.join(volumes, name, "left").withColumn("volume", F.coalesce("volume", F.lit(1.0)))
 
 
-def scale_to_range(x: str, *, key: str | None = None) -> Column:
-    """0..1 between the least and the greatest value, 0 where they are equal."""
-    w = Window.partitionBy(key) if key else Window.partitionBy()
+def scale_to_range(x: str, *, key: str) -> Column:
+    """0..1 between the least and the greatest value of the key, 0 where they are equal."""
+    w = Window.partitionBy(key)
     lo, hi = F.min(x).over(w), F.max(x).over(w)
     return F.when(hi > lo, (F.col(x) - lo) / (hi - lo)).otherwise(0.0)

@@ -256,15 +256,24 @@ def _kernel(name, kernel, source="mag"):
     query(name)(run)
 
 
+def _frame_kernel(name, kernel, source="mag"):
+    """Frames one by one: no frame needs another one, so nothing is shuffled."""
+
+    def run(spark, d):
+        base = powers(spark, d) if source == "power" else mags(spark, d)
+        return values(O.per_frame(base, kernel, ("y",), column=source), "y", 5)
+
+    query(name)(run)
+
+
 _kernel("erb_gate", lambda m: K.erb_gate(m, -10.0, SR, 64, 8))
 _kernel("log_band_wiener", lambda m: K.band_wiener(m, (m.mean(0) * 0.5) ** 2, SR, 6))
 _kernel("min_stat_floor", lambda m: K.minimum_floor(m, np_level(m) < 8, 10))
 _kernel("adaptive_wiener", lambda m: K.adaptive_wiener(m, (np_level(m) > 8).astype(float)))
-_kernel("running_dereverb", lambda m: K.running_dereverb(m, 0.6))
-_kernel("harmonic_v2", lambda m: K.enhance_harmonics(m, 50.0, 32_000.0))
-_kernel("formant_shift", lambda m: K.shift_formants(m, 3.0, 4))
+_frame_kernel("harmonic_v2", lambda m: K.enhance_harmonics(m, 50.0, 32_000.0))
+_frame_kernel("formant_shift", lambda m: K.shift_formants(m, 3.0, 4))
 _kernel("wiener_mask_build", lambda m: K.build_mask(m, np_level(m) > 8, warm=20))
-_kernel("mfcc", lambda p: K.mfcc(p, SR), "power")
+_frame_kernel("mfcc", lambda p: K.mfcc(p, SR), "power")
 
 
 _OWN = ", o AS (SELECT signal_id, k, avg(m) * 0.5 AS n FROM m GROUP BY ALL)"
@@ -294,6 +303,17 @@ def log_spectral_distance(spark, d):
     return rows.select("signal_id", "f", r(F.col("d")[0], 5).alias("distance"))
 
 
+@query(
+    "running_dereverb",
+    S.replace("WITH e", "WITH RECURSIVE e", 1)
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY signal_id, k ORDER BY f) AS j FROM m),
+r AS (SELECT signal_id, k, f, j, m, m AS mean FROM o WHERE j = 1 UNION ALL SELECT o.signal_id, o.k, o.f, o.j, o.m, 0.8 * r.mean + 0.2 * o.m FROM r JOIN o ON o.signal_id = r.signal_id AND o.k = r.k AND o.j = r.j + 1)
+SELECT signal_id, f, k, round(CASE WHEN m < 0.75 * mean THEN m * 0.4 ELSE m END, 5) AS y FROM r""",
+)
+def running_dereverb(spark, d):
+    return values(O.per_signal(mags(spark, d), lambda m: K.running_dereverb(m, 0.6), "y", columns=("mag",)), "y", 5)
+
+
 def np_level(m):
     import numpy as np
 
