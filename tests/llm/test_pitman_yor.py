@@ -179,6 +179,17 @@ def test_very_many_customers_cost_few_steps():
     assert (now.tables >= 1).all() and (now.opened < n).all()
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_dishes_by_themselves_and_together_draw_the_same(few, monkeypatch):
+    rng = np.random.default_rng(4)
+    n, weight, slope, key = rng.integers(2, 3000, 300), rng.random(300) * 20, rng.random(300), rng.integers(0, 2**63, 300).astype(np.uint64)
+    monkeypatch.setattr(py, "FEW", few)
+    now = py.seat(py.Seating.least(300), np.ones(300, np.int64), n, weight, slope, 0.75, key)
+    for i in range(0, 300, 17):
+        assert now.opened[now.owner == i].tolist() == slow_seat(int(n[i]), 1, 1, weight[i], slope[i], 0.75, key[i : i + 1])
+    assert now.tables.max() > 100
+
+
 def test_log_gamma():
     x = np.concatenate([np.linspace(0.01, 12, 500), 10.0 ** np.arange(2, 12)])
     assert py.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-11)

@@ -31,23 +31,25 @@ alone; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertone.llm.shared import discard, fold, pieces, read_table, stored
+from undertone.llm.shared import discard, fold, pieces, read_table, small_batches, stored
 from undertone.llm.words import BASE, U64, mix, words_of
 
 DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 100.0
-BURN_IN, SAMPLES = 2, 3
+BURN_IN, SAMPLES = 1, 2
 END, START = (int(x) for x in mix(np.array([0xE0D, 0x57A], U64)))
 #: Bytes of text for each bucket, about, and bytes of text whose requests to a bucket make one group.
-BUCKET_BYTES, SALT_BYTES = 1 << 23, 1 << 36
+BUCKET_BYTES, SALT_BYTES = 1 << 22, 1 << 36
 
 
 def pack(x: np.ndarray, kind) -> bytes:
@@ -126,6 +128,10 @@ class Seating:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.tables)), self.tables - 1)
 
+    def take(self, on: np.ndarray) -> Seating:
+        """Some of the dishes, by a mask."""
+        return Seating(self.tables[on], self.opened[on[self.owner]])
+
     def cut(self, customers: np.ndarray) -> Seating:
         """Without the customers from these numbers on."""
         owner = self.owner
@@ -133,32 +139,90 @@ class Seating:
         return Seating(1 + np.bincount(owner[keep], minlength=len(self.tables)), self.opened[keep])
 
 
+def all_join(low: np.ndarray, m: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The probability that m customers (1 at least) in a row join, the first with weight `low`, against a new table's weight: a product, or
+    what gamma functions make of it."""
+    out = low / (low + new)
+    at = np.flatnonzero(m > 1)
+    for k in range(1, 4):
+        out[at] *= (low[at] + k) / (low[at] + k + new[at])
+        at = at[m[at] > k + 1]
+    if len(at):
+        low, m, new = low[at], m[at], new[at]
+        out[at] = np.exp(log_gamma(low + m) - log_gamma(low + m + new) - log_gamma(low) + log_gamma(low + new))
+    return out
+
+
+def _one_joins(low: float, m: int, new: float) -> float:
+    if m <= 4:
+        out = 1.0
+        for k in range(m):
+            out *= (low + k) / (low + k + new)
+        return out
+    return math.exp(math.lgamma(low + m) - math.lgamma(low + m + new) - math.lgamma(low) + math.lgamma(low + new))
+
+
+def _seat_one(j: int, n: int, t: int, weight: float, slope: float, discount: float, key: int, step: int) -> list[int]:
+    """The openings of one dish from a step on: what `seat` does, without arrays, for the few dishes with many tables."""
+    opened, draws = [], ()
+    while j < n:
+        if not len(draws):
+            draws = _uniform(mix(U64(key * BASE & 2**64 - 1) + np.arange(step, step + 256, dtype=U64))).tolist()[::-1]
+        u, a, low, step = draws.pop(), weight + slope * t, j - discount * t, step + 1
+        least, most = 1, n - j
+        if _one_joins(low, most, a) > u:
+            break
+        guess = int(min(most, low * math.expm1(min(40.0, -math.log(u) / a))))  # what it would be if gamma functions were powers
+        width = 2
+        while least < most:  # closes in on the guess from both sides, then halves what is left
+            m = guess + width if guess + width < most else guess - width
+            m = m if least <= m < most else (least + most) // 2
+            if _one_joins(low, m, a) <= u:
+                most = m
+            else:
+                least = m + 1
+            width *= 2
+        opened.append(j + least - 1)
+        j, t = j + least, t + 1
+    return opened
+
+
+#: With fewer dishes than this at a step, each is seated by itself; the draws are the same.
+FEW = 400
+
+
 def seat(start: Seating, at: np.ndarray, customers: np.ndarray, weight: np.ndarray, slope: np.ndarray, discount: float, key: np.ndarray) -> Seating:
     """Seats further customers, from number `at` (1 at least) up to `customers`. A new table has weight + slope * tables of the dish."""
     left = np.flatnonzero(at < customers)
     j, n, t = at[left].astype(float), customers[left].astype(float), start.tables[left].astype(float)
     owners, opened = [start.owner], [start.opened]
     step = 0
-    while len(left):
+    while len(left) and len(left) >= FEW:
         a = weight[left] + slope[left] * t
         low = j - discount * t
-        draw = np.log(_uniform(_salted(key[left], step)))
-        begin = log_gamma(low) - log_gamma(low + a)
-        after = lambda m: log_gamma(low + m) - log_gamma(low + m + a) - begin  # noqa: B023, E731  log probability that m more all join
-        on = np.flatnonzero(after(n - j) <= draw)
-        left, j, n, t, low, a, draw, begin = (x[on] for x in (left, j, n, t, low, a, draw, begin))
+        draw = _uniform(_salted(key[left], step))
+        on = np.flatnonzero(all_join(low, n - j, a) <= draw)
+        left, j, n, t, low, a, draw = (x[on] for x in (left, j, n, t, low, a, draw))
         least, most = np.ones(len(left)), n - j  # the opening customer is the least m at which the product falls to the draw
-        while (open_ := least < most).any():
-            half = np.floor((least + most) / 2)
-            found = after(half) <= draw
-            most = np.where(open_ & found, half, most)
-            least = np.where(open_ & ~found, half + 1, least)
+        guess = np.minimum(most, np.floor(low * np.expm1(np.minimum(40.0, -np.log(draw) / a))))  # if gamma functions were powers
+        width, search = 2.0, np.flatnonzero(least < most)
+        while len(search):  # closes in on the guess from both sides, then halves what is left
+            lo, hi, near = least[search], most[search], guess[search]
+            m = np.where(near + width < hi, near + width, near - width)
+            m = np.where((m >= lo) & (m < hi), m, np.floor((lo + hi) / 2))
+            found = all_join(low[search], m, a[search]) <= draw[search]
+            most[search[found]], least[search[~found]] = m[found], m[~found] + 1
+            search, width = search[least[search] < most[search]], 2 * width
         owners.append(left)
         opened.append((j + least - 1).astype(np.int64))
         j, t = j + least, t + 1
         on = np.flatnonzero(j < n)
         left, j, n, t = (x[on] for x in (left, j, n, t))
         step += 1
+    for i, *at_step in zip(left.tolist(), j.astype(np.int64).tolist(), n.astype(np.int64).tolist(), t.astype(np.int64).tolist(), strict=True):
+        found = _seat_one(*at_step, float(weight[i]), float(slope[i]), discount, int(key[i]), step)
+        owners.append(np.full(len(found), i))
+        opened.append(np.array(found, np.int64))
     owner, opened = np.concatenate(owners), np.concatenate(opened)
     order = np.argsort(owner, kind="stable")
     return Seating(1 + np.bincount(owner, minlength=len(customers)), opened[order])
@@ -188,7 +252,10 @@ def seated(old: Seating, customers: np.ndarray, weight: np.ndarray, slope: np.nd
     new = seat(Seating.least(n), np.ones(n, np.int64), customers, weight, slope, discount, key)
     if first:
         return new
-    gain = log_importance(new, customers, weight, slope, discount) - log_importance(old, customers, weight, slope, discount)
+    several = (new.tables > 1) | (old.tables > 1)  # where both have one table, both are the same
+    gain = np.zeros(n)
+    rest = customers[several], weight[several], slope[several], discount
+    gain[several] = log_importance(new.take(several), *rest) - log_importance(old.take(several), *rest)
     take = np.log(_uniform(_salted(key, 1 << 40))) < gain
     keep_old, keep_new = ~take[old.owner], take[new.owner]
     owner, opened = np.concatenate([old.owner[keep_old], new.owner[keep_new]]), np.concatenate([old.opened[keep_old], new.opened[keep_new]])
@@ -241,7 +308,11 @@ class Piece:
         h[np.arange(len(words.row)) + words.row] = words.hashes()
         h[words.first[1:] + texts] = END
         first = words.first + np.arange(len(texts) + 1)
-        vocabulary, at = np.unique(np.append(h, U64(START)), return_inverse=True)
+        codes, vocabulary = pd.factorize(np.append(h, U64(START)))
+        order = np.argsort(vocabulary)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        vocabulary, at = vocabulary[order], rank[codes]
         start, at = at[-1], at[:-1]
         context = np.empty(len(at), np.int64)
         context[1:] = at[:-1]
@@ -482,12 +553,12 @@ def _contexts(seats: DataFrame, answers: DataFrame, totals: Totals, s: int) -> D
 def sample(model: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame, Totals]:
     """Seats and words after all sweeps, and the totals of every sweep."""
     totals = Totals()
-    seats, words = stored(_first_seats(model), "seats"), stored(_first_words(model, grid), "words")
+    seats, words = stored(_first_seats(model), "seats", "zstd"), stored(_first_words(model, grid), "words", "zstd")
     for s in range(BURN_IN + SAMPLES + 1):
         if s:
-            before, seats = seats, stored(_contexts(seats, words.where("bucket >= 0"), totals, s), "seats")
+            before, seats = seats, stored(_contexts(seats, words.where("bucket >= 0"), totals, s), "seats", "zstd")
             discard(seats, before)
-        before, words = words, stored(_parents(seats, words.where("bucket < 0"), totals, s, grid), "words")
+        before, words = words, stored(_parents(seats, words.where("bucket < 0"), totals, s, grid), "words", "zstd")
         discard(words, before)
         sums = words.where("bucket < 0").agg(*(F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)) for i in range(4))).first()
         totals.tokens, totals.words = int(sums[0]), int(sums[1])
@@ -498,39 +569,34 @@ def sample(model: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame, Totals]:
 
 # ---------------------------------------------------------------- scoring
 
-ASKED = "bucket int, salt int, piece bigint, key binary"
-KNOWN = "bucket int, key binary, n binary, sampled binary"
+#: kind 0: pairs by their keys, 1: words by their hashes.
+ASKED = "kind int, bucket int, salt int, piece bigint, key binary"
+KNOWN = "kind int, bucket int, key binary, n binary, more binary"
 ANSWER = "piece bigint, kind int, bucket int, n binary, more binary"
 
 
-def _asked_pairs(docs: DataFrame, grid: Grid) -> DataFrame:
+def _asked(docs: DataFrame, grid: Grid) -> DataFrame:
+    """The distinct pairs and words of each piece, by bucket."""
     schema = _schema(ASKED)
 
     def emit(k, batch, piece):
         _, bucket, key = piece.asked(grid)
-        return _table([(b, grid.salt(k), k, pack_sorted(key[p:q])) for b, p, q in _ranges(bucket)], schema)
-
-    return _cut(docs, ASKED, emit)
-
-
-def _asked_words(docs: DataFrame, grid: Grid) -> DataFrame:
-    schema = _schema(ASKED)
-
-    def emit(k, batch, piece):
-        known = piece.vocabulary
-        return _table([(b, grid.salt(k), k, pack_sorted(known[p:q])) for b, p, q in _ranges(grid.words(known))], schema)
+        rows = [(0, b, grid.salt(k), k, pack_sorted(key[p:q])) for b, p, q in _ranges(bucket)]
+        rows += [(1, b, grid.salt(k), k, pack_sorted(piece.vocabulary[p:q])) for b, p, q in _ranges(grid.words(piece.vocabulary))]
+        return _table(rows, schema)
 
     return _cut(docs, ASKED, emit)
 
 
-def _known_pairs(model: DataFrame, seats: DataFrame) -> DataFrame:
-    """By bucket: sorted keys, customers, and tables summed over the samples; one row for pairs seen once, one for the others."""
+def _known(model: DataFrame, seats: DataFrame, words: DataFrame) -> DataFrame:
+    """By bucket: sorted keys, customers, and tables summed over the samples, one row for pairs seen once and one for the
+    others; and sorted words, customers, and what their samples had, sample by sample as differences."""
     schema = _schema(KNOWN)
 
     def row(bucket, word, context, n, sampled):
         key = pair_key(word, context)
         order = np.argsort(key)
-        return _table([(bucket, pack_sorted(key[order]), pack(n[order], np.int64), pack(sampled[order], np.int64))], schema)
+        return _table([(0, bucket, pack_sorted(key[order]), pack(n[order], np.int64), pack(sampled[order], np.int64))], schema)
 
     def once(batches):
         for r in _each(batches):
@@ -542,7 +608,8 @@ def _known_pairs(model: DataFrame, seats: DataFrame) -> DataFrame:
         for r in _each(batches):
             yield from row(r["bucket"], *_read_pairs(r), unpack(r["sampled"], np.int64)).to_batches()
 
-    return model.mapInArrow(once, KNOWN).unionByName(seats.mapInArrow(often, KNOWN))
+    own = words.where("bucket < 0").select(F.lit(1).alias("kind"), F.col("words").alias("bucket"), F.col("word").alias("key"), F.col("customers").alias("n"), F.col("samples").alias("more"))
+    return model.mapInArrow(once, KNOWN).unionByName(seats.mapInArrow(often, KNOWN)).unionByName(own)
 
 
 def _salts(df: DataFrame, salts: int) -> DataFrame:
@@ -557,43 +624,25 @@ def _found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return known[at] == wanted, at
 
 
-def _pair_answers(asked: DataFrame, known: DataFrame, salts: int) -> DataFrame:
+def _answers(asked: DataFrame, known: DataFrame, salts: int) -> DataFrame:
+    """For each row that asks: customers, and tables (of pairs) or samples (of words); zero for what isn't known."""
     schema = _schema(ANSWER)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        parts = [(unpack_sorted(r["key"]), unpack(r["n"], np.int64), unpack(r["sampled"], np.int64)) for r in _each(known.to_batches())]
+        parts = [(unpack_sorted(r["key"]), unpack(r["n"], np.int64), unpack(r["more"], np.int64)) for r in _each(known.to_batches())]
         rows = []
         for r in _each(asked.to_batches()):
             wanted = unpack_sorted(r["key"])
-            n, sampled = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
-            for key, customers, tables in parts:
+            each = 3 * SAMPLES if r["kind"] else 1
+            n, more = np.zeros(len(wanted), np.int64), np.zeros((each, len(wanted)), np.int64)
+            for key, customers, told in parts:
                 hit, at = _found(key, wanted)
-                n[hit], sampled[hit] = customers[at[hit]], tables[at[hit]]
-            rows.append((r["piece"], 0, r["bucket"], pack(n, np.int64), pack(sampled, np.int64)))
-        return _table(rows, schema)
-
-    return asked.groupBy("bucket", "salt").cogroup(_salts(known, salts).groupBy("bucket", "salt")).applyInArrow(answer, ANSWER)
-
-
-def _word_answers(asked: DataFrame, words: DataFrame, salts: int) -> DataFrame:
-    """Customers of each word, and what its samples had, sample by sample as differences."""
-    schema = _schema(ANSWER)
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        word, eaten, samples = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros((SAMPLES, 3, 0), np.int64)
-        for r in _each(known.to_batches()):
-            word, eaten = unpack_sorted(r["word"]), unpack(r["customers"], np.int64)
-            samples = _samples(r, len(word))
-        eaten, samples = np.append(eaten, 0), np.concatenate([samples, np.zeros((SAMPLES, 3, 1), np.int64)], axis=2)
-        rows = []
-        for r in _each(asked.to_batches()):
-            hit, at = _found(word, unpack_sorted(r["key"]))
-            at = np.where(hit, at, len(word))
-            rows.append((r["piece"], 1, r["bucket"], pack(eaten[at], np.int64), pack(np.diff(samples[:, :, at], axis=0, prepend=0).ravel(), np.int64)))
+                n[hit], more[:, hit] = customers[at[hit]], told.reshape(each, len(key))[:, at[hit]]
+            rows.append((r["piece"], r["kind"], r["bucket"], pack(n, np.int64), pack(more.ravel(), np.int64)))
         return _table(rows, schema)
 
-    own = words.where("bucket < 0").select(F.col("words").alias("bucket"), "word", "customers", "samples")
-    return asked.groupBy("bucket", "salt").cogroup(_salts(own, salts).groupBy("bucket", "salt")).applyInArrow(answer, ANSWER)
+    by = ("kind", "bucket", "salt")
+    return asked.groupBy(*by).cogroup(_salts(known, salts).groupBy(*by)).applyInArrow(answer, ANSWER)
 
 
 def probabilities(n: np.ndarray, sampled: np.ndarray, eaten: np.ndarray, samples: np.ndarray, word: np.ndarray, context: np.ndarray, totals: Totals) -> np.ndarray:
@@ -613,19 +662,23 @@ def score(docs: DataFrame, *, doc_id="doc_id", text="text", trains=None, scan=Fa
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). trains: a condition on doc_id for
     the rows to learn from, all by default. scan: docs is a plain scan of files, which gives the same rows in the same
     order whenever it runs; anything else is written to the shared folder first."""
+    with small_batches(docs.sparkSession):
+        return _scored(docs, docs.schema[doc_id].dataType.simpleString(), doc_id, text, trains, scan)
+
+
+def _scored(docs: DataFrame, kind: str, doc_id: str, text: str, trains, scan: bool) -> DataFrame:
     spark = docs.sparkSession
-    kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     docs = docs if scan else stored(docs, "texts")
     docs = docs.withColumn("train", trains(F.col("d")) if trains else F.lit(True))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     grid = Grid(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES, 2).bit_length(), size // SALT_BYTES + 1)
-    model = stored(restaurants(docs, grid), "restaurants")
+    model = stored(restaurants(docs, grid), "restaurants", "zstd")
     seats, words, totals = sample(model, grid)
-    of_pairs = stored(_pair_answers(_asked_pairs(docs, grid), _known_pairs(model, seats), grid.salts), "answers")
-    discard(of_pairs, model, seats)
-    of_words = stored(_word_answers(_asked_words(docs, grid), words, grid.salts), "answers")
-    discard(of_words, words)
+    known = stored(_known(model, seats, words), "known", "zstd")
+    discard(known, model, seats, words)
+    answers = stored(_answers(_asked(docs, grid), known, grid.salts), "answers", "zstd")
+    discard(answers, known)
     shipped = spark.sparkContext.broadcast(totals)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -659,7 +712,7 @@ def score(docs: DataFrame, *, doc_id="doc_id", text="text", trains=None, scan=Fa
 
     own = _cut(docs, f"piece bigint, docs array<{kind}>, held array<boolean>, first array<bigint>, word binary, context binary, token binary", emit, ("d", "t", "train"))
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return own.groupBy("piece").cogroup(of_pairs.unionByName(of_words).groupBy("piece")).applyInArrow(finish, schema)
+    return discard(stored(own.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(finish, schema), "scores", "zstd"), answers)
 
 
 def op9_language_model(spark, sf_dir: str) -> DataFrame:
