@@ -9,7 +9,8 @@ Index: distinct fingerprints sorted by the rank of their value in the Gray code,
 neighbours share bit patterns. Every node (group of 32, block, super node) keeps the bits on
 which all below it agree. Two nodes whose agreed bits differ in more than `DISTANCE` places
 cannot hold a link, and the whole pair of groups is pruned; what is left descends. Blocks have
-a fixed size, so no task's input depends on how alike the fingerprints are. A pair of blocks
+a fixed size, so no task's input depends on how alike the fingerprints are. Pairs of blocks are taken
+by pairs of tiles of neighbouring blocks, so a block travels once for each tile it meets. A pair of blocks
 returns its links as stars over the fingerprints they connect: as many rows as fingerprints
 at most, and connectivity is kept in full. Components then come from `components`.
 
@@ -34,6 +35,8 @@ SHINGLE_WORDS = 3
 DISTANCE = 2
 #: Fingerprints in a block, in a leaf group, and blocks under a super node.
 BLOCK, GROUP, SUPER = 2048, 32, 1024
+#: Blocks that stand next to each other travel together: 2 to this power make a tile, and a pair of tiles a task's work.
+TILE_BITS = 3
 #: Super nodes that may be broadcast; at 2^21 fingerprints each, this is reached at 10^11 fingerprints.
 MOST_SUPERS = 50_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -178,10 +181,10 @@ def link_stars(prints: DataFrame, most: int = DISTANCE) -> DataFrame:
         raise ValueError(f"more than {MOST_SUPERS} super nodes; raise BLOCK or SUPER")
     tops = supers.select("node", "mask", "value").orderBy("node").collect()
     top = [np.array([r[c] for r in tops], np.int64).view(np.uint64) for c in range(3)]
-    shipped = spark.sparkContext.broadcast(top)
+    tops_sent = spark.sparkContext.broadcast(top)
 
     def super_pairs(batches):
-        node, mask, value = shipped.value
+        node, mask, value = tops_sent.value
         for batch in batches:
             own = [batch.column(c).to_numpy().view(np.uint64) for c in ("node", "mask", "value")]
             a, b = _close_pairs(own[1], own[2], mask, value, most)
@@ -196,22 +199,21 @@ def link_stars(prints: DataFrame, most: int = DISTANCE) -> DataFrame:
                 keep = x[0][a] <= y[0][b]
                 yield pa.RecordBatch.from_arrays([pa.array(x[0][a][keep]), pa.array(y[0][b][keep])], ["x", "y"])
 
-    def links(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                x, y = (np.frombuffer(r[k], np.uint64) for k in ("bx", "by"))
-                a, b = block_links(x, None if r["x"] == r["y"] else y, most)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    def with_payload(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        for k in "xy":
-            pairs = pairs.join(nodes.select(F.col("node").alias(k), F.col("below").alias(f"b{k}")), k)
-        return pairs
+    def links(asked: pa.Table, own: pa.Table) -> pa.Table:
+        held = {n: np.frombuffer(fp, np.uint64) for n, fp in zip(own.column("node").to_pylist(), own.column("below").to_pylist(), strict=True)}
+        out = [(np.zeros(0, np.uint64),) * 2]
+        out += [block_links(held[x], None if x == y else held[y], most) for x, y in zip(asked.column("x").to_pylist(), asked.column("y").to_pylist(), strict=True)]
+        return pa.table([pa.array(np.concatenate(z).view(np.int64)) for z in zip(*out, strict=True)], ["a", "b"])
 
     over = supers.select("node", "mask", "value").mapInArrow(super_pairs, "x bigint, y bigint")
-    under = with_payload(over, supers).mapInArrow(block_pairs, "x bigint, y bigint")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return with_payload(stored(under, "pairs"), blocks).repartition(n, "x", "y").mapInArrow(links, "a bigint, b bigint")
+    for k in "xy":
+        over = over.join(supers.select(F.col("node").alias(k), F.col("below").alias(f"b{k}")), k)
+    tile = lambda c: F.shiftright(c, TILE_BITS)
+    pairs = stored(over.mapInArrow(block_pairs, "x bigint, y bigint").withColumns({"tx": tile("x"), "ty": tile("y")}), "pairs")
+    cells = pairs.groupBy(F.col("tx").alias("cx"), F.col("ty").alias("cy")).count().drop("count")
+    tiles = blocks.select(tile("node").alias("tile"), "node", "below")
+    shipped = cells.join(tiles, F.col("cx") == F.col("tile")).unionByName(cells.where("cx != cy").join(tiles, F.col("cy") == F.col("tile"))).drop("tile")
+    return pairs.groupBy("tx", "ty").cogroup(shipped.groupBy("cx", "cy")).applyInArrow(links, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", n=SHINGLE_WORDS, most=DISTANCE) -> DataFrame:
@@ -226,11 +228,16 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", n=SHINGLE_
     return prints.join(stored(own, "owners"), "fp").select("doc_id", "fp", "component_id")
 
 
+def without_later(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The documents without those that have a lesser doc_id in their component (found: doc_id, component_id)."""
+    name = next(c for c in (f"gone_{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stored(gone, "gone"), docs[doc_id] == F.col(name), "left_anti").select([docs[c] for c in docs.columns])
+
+
 def one_per_group(docs: DataFrame, *, doc_id="doc_id", text="text", n=SHINGLE_WORDS, most=DISTANCE) -> DataFrame:
     """The documents without those that have a lesser doc_id in their component."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, n=n, most=most)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stored(gone, "gone"), docs[doc_id] == F.col("__gone"), "left_anti").select(docs.columns)
+    return without_later(docs, near_duplicates(docs, doc_id=doc_id, text=text, n=n, most=most), doc_id)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
