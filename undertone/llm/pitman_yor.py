@@ -285,8 +285,8 @@ class Grid:
 
 
 def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """56 bits that stand for a pair within its bucket."""
-    return mix(context * U64(BASE) + word) >> U64(8)
+    """48 bits that stand for a pair within its bucket, which holds some 200,000."""
+    return mix(context * U64(BASE) + word) >> U64(16)
 
 
 @dataclass
@@ -380,13 +380,16 @@ def restaurants(docs: DataFrame, grid: Grid) -> DataFrame:
     def merge(group: pa.Table) -> pa.Table:
         parts = [_read_pairs(r) for r in _each(group.to_batches())]
         word, context, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((context, word))
+        order = np.argsort(mix(context * U64(BASE) + word))
         word, context, n = word[order], context[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])]))
-        return _table([_pairs_row(group.column("bucket")[0].as_py(), 0, word[first], context[first], np.add.reduceat(n, first))], schema)
+        word, context, n = word[first], context[first], np.add.reduceat(n, first)
+        order = np.argsort(word, kind="stable")
+        return _table([_pairs_row(group.column("bucket")[0].as_py(), 0, word[order], context[order], n[order])], schema)
 
     rows = _cut(docs, PAIRS, emit, ("t", "train"))
-    return rows.groupBy("bucket", "salt").applyInArrow(merge, PAIRS).groupBy("bucket").applyInArrow(merge, PAIRS)
+    merged = rows.groupBy("bucket", "salt").applyInArrow(merge, PAIRS)
+    return merged.groupBy("bucket").applyInArrow(merge, PAIRS) if grid.salts > 1 else merged
 
 
 # ---------------------------------------------------------------- sweeps
