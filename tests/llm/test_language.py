@@ -73,3 +73,10 @@ def test_strange_texts_are_rejected(spark):
     model = language.fit(docs)
     odd = spark.createDataFrame([(1, "xqzv jwkx qqxz vvkj"), (2, data()[0][1])], "doc_id bigint, text string")
     assert {r.doc_id: r.rejected for r in language.predict(odd, model).collect()} == {1: True, 2: False}
+
+
+def test_a_language_whose_documents_all_calibrate_is_learnt(spark):
+    ids = [r.id for r in spark.range(3000).where(F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(5)) == 0).limit(2).collect()]
+    rows = [(ids[0], "zoqu zoqu xaxa zoqu", "few"), (ids[1], "xaxa zoqu xaxa", "few")] + [(5000 + i, "plain words of the other one", "many") for i in range(30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == ["few", "many"]

@@ -200,6 +200,8 @@ def fit(docs: DataFrame, *, doc_id="doc_id", text="text", lang="lang", may_learn
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, sample_docs / n))]), F.col("l"))
     spot = F.pmod(F.xxhash64(F.lit("language"), "d"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = rows.where(spot < rate).withColumn("check", F.pmod(F.xxhash64(F.lit("calibrate"), "d"), F.lit(5)) == 0)
+    taught = [r.l for r in chosen.where("NOT check").select("l").distinct().collect()]
+    chosen = chosen.withColumn("check", F.col("check") & F.col("l").isin(taught))  # else a language of few documents could be lost
 
     def count(batches):
         for piece in pieces(batches, "t"):
