@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from undertone.llm import bpe, decontamination, language, pitman_yor, quality, repeats, secrets, simhash, tokens, toxicity
+from undertone.llm import bpe, decontamination, interaction, language, merkle, pitman_yor, quality, repeats, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_language_model": pitman_yor.op9_language_model,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_interaction": interaction.op12_interaction,
 }
 
 SQL = {
     "op1_quality": quality.SQL,
     "op6_decontamination": decontamination.SQL,
+    "op11_merkle": merkle.SQL,
+    "op12_interaction": interaction.SQL,
 }
