@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from undertone.llm import bpe, decontamination, interaction, language, merkle, pitman_yor, quality, repeats, secrets, simhash, tokens, toxicity
+from undertone.llm import bpe, decontamination, fingerprints, interaction, language, merkle, pitman_yor, quality, repeats, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_merkle": merkle.op11_merkle,
     "op12_interaction": interaction.op12_interaction,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 
 SQL = {
