@@ -1,5 +1,6 @@
 """Recurrences over one sequence: each takes an array of samples in order and returns arrays of the
-same length. They are inherently serial within a sequence; Spark runs many sequences at once."""
+same length. They are serial within a sequence; Spark runs many sequences at once. Those that are also in `systems` can be
+cut into chunks (operators.chunked)."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ import math
 
 import numpy as np
 
+from undertone.functions import systems
+
 
 def ema(x, keep: float):
     """y = keep * previous y + (1 - keep) * x, from the first sample on."""
@@ -18,25 +21,11 @@ def ema(x, keep: float):
 
 
 def two_speed(x, rise: float, fall: float):
-    """An average that keeps `rise` of itself while the input is above it, `fall` while below."""
-    out, y = np.empty(len(x)), 0.0
-    for i, v in enumerate(x):
-        if i == 0:
-            y = v
-        else:
-            keep = rise if v > y else fall
-            y = keep * y + (1 - keep) * v
-        out[i] = y
-    return out
+    return systems.TwoSpeed(rise, fall).whole(x)
 
 
 def live_floor(x, start: float = 1e-6):
-    """A noise floor that follows slowly and never rises far over the input."""
-    out, y = np.empty(len(x)), start
-    for i, v in enumerate(x):
-        y = max(1e-6, min(0.95 * y + 0.05 * v, 1.05 * v))
-        out[i] = y
-    return out
+    return systems.LiveFloor(start).whole(x)
 
 
 def warm_up(x):
@@ -84,36 +73,11 @@ def peak_hold(x, hold: int, fall: float, floor: float):
 
 
 def gate(x, threshold: float, floor: float, ahead: int, hold: int, attack: float, release: float):
-    """Gain opens when a sample ahead is over the threshold, stays for `hold` samples, then closes to the floor."""
-    out, env, left = np.empty(len(x)), 0.0, 0
-    for i, v in enumerate(x):
-        if abs(x[min(i + ahead, len(x) - 1)]) > threshold:
-            target, left = 1.0, hold
-        elif left > 0:
-            target, left = 1.0, left - 1
-        else:
-            target = floor
-        env += ((1 - attack) if target > env else (1 - release)) * (target - env)
-        out[i] = v * env
-    return out
+    return systems.Gate(threshold, floor, ahead, hold, attack, release).whole(x)
 
 
 def compress(x, threshold: float, ratio: float, knee: float, attack: float, release: float, makeup: float = 0.0):
-    """Level in dB followed at two speeds, reduced above the threshold with a quadratic knee."""
-    out, level = np.empty(len(x)), -96.0
-    for i, v in enumerate(x):
-        now = 20 * math.log10(abs(v)) if v else -96.0
-        keep = attack if now > level else release
-        level = keep * level + (1 - keep) * now
-        over = level - threshold
-        if over > knee / 2:
-            cut = over / ratio - over
-        elif over > -knee / 2:
-            cut = (1 / ratio - 1) * (over + knee / 2) ** 2 / (2 * knee)
-        else:
-            cut = 0.0
-        out[i] = v * 10 ** ((cut + makeup) / 20)
-    return out
+    return systems.Compressor(threshold, ratio, knee, attack, release, makeup).whole(x)
 
 
 def deess(x, side, threshold: float, ratio: float, wet: float, attack: float, release: float):
@@ -175,24 +139,8 @@ def equaliser(bands, sr: float) -> list[tuple[float, ...]]:
 
 
 def follow(x, attack: float = 0.05, release: float = 0.0005):
-    """The level of a signal, from 0: it moves by a share of the way, one share up and another down."""
-    out, env = np.empty(len(x)), 0.0
-    for i, v in enumerate(x):
-        a = abs(v)
-        env += (attack if a > env else release) * (a - env)
-        out[i] = env
-    return out
+    return systems.Follower(attack, release).whole(x)
 
 
-def deess_live(x, band, amount: float, *, over: float = 0.35, reach: float = 0.65, slack: float = 0.02, most: float = 0.85, attack: float = 0.05, release: float = 0.0005):
-    """Takes a share of a filtered side band out of the signal. It starts when the band's level over the sample's size passes
-    `over` by `slack`, stops `slack` below, and the share grows with the excess over `reach`, `amount` (0 to 1) and `most`."""
-    side = biquad(x, band)
-    share = np.minimum(1.0, follow(side, attack, release) / (np.abs(x) + 1e-9))
-    cut, on = np.clip((share - over) / reach * amount * most, 0.0, most), False
-    out = np.array(x, float)
-    for i, s in enumerate(share):
-        on = s >= over - slack if on else s > over + slack
-        if on:
-            out[i] -= side[i] * cut[i]
-    return out
+def deess_live(x, band, amount: float, **at):
+    return systems.LiveDeesser(tuple(band), amount, **at).whole(x)

@@ -1,4 +1,4 @@
-"""Chains of operators over one signal, as one pass each."""
+"""Chains of operators over one signal."""
 
 from __future__ import annotations
 
@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from undertone.functions import pointwise as P
 from undertone.functions import recurrences as R
+from undertone.functions import systems
+from undertone.operators import chunked
 from undertone.operators import frames as O
-from undertone.operators.sequences import KEY, ORDER, X, scan
+from undertone.operators.sequences import KEY, ORDER, X
 
 
-def channel_strip(df: DataFrame, sr: float, *, high: float, low: float, bands=(), threshold: float, ratio: float, knee: float, makeup: float, ceiling: float, gain: float, key=KEY, order=ORDER, x=X) -> DataFrame:
+def channel_strip(df: DataFrame, sr: float, *, high: float, low: float, bands=(), threshold: float, ratio: float, knee: float, makeup: float, ceiling: float, gain: float, chunk: int = chunked.CHUNK, key=KEY, order=ORDER, x=X) -> DataFrame:
     """y: high-pass, low-pass, equaliser of (kind, hz, level, q), compressor with makeup, limiter, gain (dB).
     Filters at or over half the rate are left out."""
     filters = [R.biquad_design("highpass", high, 0.7071, 0.0, sr)]
     filters += [R.biquad_design("lowpass", low, 0.7071, 0.0, sr)] if low < sr / 2 else []
     filters += [R.biquad_design(kind, hz, q, level, sr) for kind, hz, level, q in bands if level and hz < sr / 2]
 
-    def kernel(v):
-        v = R.compress(R.cascade(v, filters), threshold, ratio, knee, 0.9, 0.99, makeup)
-        return R.compress(v, ceiling, 20.0, 0.0, 0.5, 0.99) * 10 ** (gain / 20)
-
-    return scan(df, kernel, {"y": "double"}, key=key, order=order, inputs=(x,))
+    filtered = chunked.linear(df, systems.cascade(filters), chunk=chunk, key=key, order=order, x=x)
+    for stage in (systems.Compressor(threshold, ratio, knee, 0.9, 0.99, makeup), systems.Compressor(ceiling, 20.0, 0.0, 0.5, 0.99)):
+        filtered, _ = chunked.speculative(filtered, stage, chunk=chunk, key=key, order=order, x="y")
+    return filtered.withColumn("y", F.col("y") * 10 ** (gain / 20))
 
 
 def reduce_noise(df: DataFrame, size: int, hop: int, head: int, *, over: float = 2.0, least: float = 0.05, floor: float = 1e-6, voiced: Column | None = None, key=KEY) -> DataFrame:

@@ -1,7 +1,7 @@
 """Sequence operators: windows over ordered samples, blocks, runs, and recurrences by key.
 
 All take long rows (key, idx, x). Windows and blocks stay in built-in functions and need one
-exchange on the key; recurrences run as Arrow kernels, one sequence at a time."""
+exchange on the key; recurrences run as Arrow kernels, by chunks of a sequence (`chunked`) or one sequence at a time (`scan`)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertone.functions import recurrences
+from undertone.functions import systems
+from undertone.operators import chunked
+from undertone.sources.work import stored
 
 KEY, ORDER, X = "signal_id", "idx", "x"
 
@@ -34,7 +36,7 @@ def scan(df: DataFrame, kernel, outputs: dict[str, str], *, key: str = KEY, orde
 
 
 def ema(df: DataFrame, keep: float, **at) -> DataFrame:
-    return scan(df, lambda x: recurrences.ema(x, keep), {"y": "double"}, **at)
+    return chunked.linear(df, systems.average(keep), **at)
 
 
 def ema_last(df: DataFrame, keep: float, *, key=KEY, order=ORDER, x=X) -> DataFrame:
@@ -157,7 +159,7 @@ def hangover(df: DataFrame, voiced: Column, frames: int, *, key=KEY, order=ORDER
 def gate_ahead(df: DataFrame, threshold: float, closed: float, *, look: int, hold: int, attack: float = 0.05, release: float = 0.0005, key=KEY, order=ORDER, x=X) -> DataFrame:
     """Adds y: the sample `look` places before, as it was while the level is over a threshold or was at most `hold` samples
     ago, else times `closed`. The level is a recurrence; the rest are windows."""
-    level = scan(df, lambda v: recurrences.follow(v, attack, release), {"__env": "double"}, key=key, order=order, inputs=(x,))
+    level, _ = chunked.speculative(df, systems.Follower(attack, release), key=key, order=order, x=x, output="__env")
     at = over(key, order)
     loud = F.max(F.when(F.round("__env", 9) > threshold, F.col(order))).over(at)
     late = F.coalesce(F.lag(x, look).over(at), F.lit(0.0))
@@ -188,11 +190,7 @@ def lagged_correlation(left: DataFrame, right: DataFrame, most: int, *, key=KEY,
 def numbered(df: DataFrame, *by, name: str = "place") -> DataFrame:
     """Adds the place of each row in a total order, from 1. Ranges of the order are sorted apart and written once; only the
     sizes of the ranges meet in the driver."""
-    from undertone.streaming.streams import work_folder
-
-    spark, path = df.sparkSession, work_folder(df.sparkSession)
-    df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__at", 33)
     sizes, offsets, total = {r.p: r["count"] for r in rows.groupBy(part.alias("p")).count().collect()}, [F.lit(-1), F.lit(0)], 0
     for p in sorted(sizes):

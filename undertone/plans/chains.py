@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from undertone.functions import recurrences as R
 from undertone.functions import text as T
 from undertone.operators import chains as C
 from undertone.operators import levels as L
@@ -13,19 +14,22 @@ from undertone.operators import segments as G
 from undertone.operators import sequences as S
 from undertone.plans.registry import query
 from undertone.plans.relational import _RUNS, _turns
-from undertone.plans.signals import SR, UNIT, _recursive, r, unit
+from undertone.plans.signals import CUT, SR, UNIT, _cascade_sql, _compress_sql, _recursive, r, unit
 from undertone.sources import files
 from undertone.sources.tables import table
-from undertone.streaming.streams import work_folder
+from undertone.sources.work import work_folder
 
 #: An approach with a constant of 20 ms, for settings that change while a signal runs.
 _KEEP = math.exp(-1 / (0.02 * SR))
 
 
-@query("channel_strip")
+_BANDS = [("lowshelf", 40, 2.0, 0.7071), ("peaking", 100, -3.0, 1.2), ("peaking", 200, 1.5, 1.0), ("highshelf", 400, -2.0, 0.7071)]
+_STRIP = [R.biquad_design("highpass", 20.0, 0.7071, 0.0, SR), R.biquad_design("lowpass", 450.0, 0.7071, 0.0, SR), *(R.biquad_design(kind, hz, q, level, SR) for kind, hz, level, q in _BANDS)]
+
+
+@query("channel_strip", UNIT + _cascade_sql(_STRIP) + _compress_sql("pressed", "filtered", -18.0, 3.0, 6.0, 0.9, 0.99, 2.0) + _compress_sql("limited", "pressed", -1.0, 20.0, 0.0, 0.5, 0.99, 0.0) + f" SELECT signal_id, idx, round(x * {10 ** (-0.5 / 20)!r}::DOUBLE, 6) + 0.0 AS y FROM limited")
 def channel_strip(spark, d):
-    bands = [("lowshelf", 40, 2.0, 0.7071), ("peaking", 100, -3.0, 1.2), ("peaking", 200, 1.5, 1.0), ("highshelf", 400, -2.0, 0.7071)]
-    out = C.channel_strip(unit(spark, d), SR, high=20.0, low=450.0, bands=bands, threshold=-18.0, ratio=3.0, knee=6.0, makeup=2.0, ceiling=-1.0, gain=-0.5)
+    out = C.channel_strip(unit(spark, d), SR, high=20.0, low=450.0, bands=_BANDS, chunk=CUT, threshold=-18.0, ratio=3.0, knee=6.0, makeup=2.0, ceiling=-1.0, gain=-0.5)
     return out.select("signal_id", "idx", r("y", 6).alias("y"))
 
 
@@ -42,7 +46,7 @@ def trailing_features(spark, d):
 
 @query("parameter_smoothing", _recursive("x AS y", f"{_KEEP!r} * r.y + {1 - _KEEP!r} * s.x", "y", "round(y, 6) + 0.0 AS y"))
 def parameter_smoothing(spark, d):
-    return S.ema(unit(spark, d), _KEEP).select("signal_id", "idx", r("y", 6).alias("y"))
+    return S.ema(unit(spark, d), _KEEP, chunk=CUT).select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 @query("segment_at", _RUNS + " SELECT conv_id, min_by(label, a) AS label FROM n WHERE a * 0.5 <= 1.2 AND coalesce(nx, b + 1) * 0.5 >= 1.2 GROUP BY conv_id")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from undertone.functions import pointwise as P
 from undertone.functions import recurrences as R
+from undertone.functions import systems as Y
+from undertone.operators import chunked as C
 from undertone.operators import levels as L
 from undertone.operators import sequences as S
 from undertone.plans.registry import query
@@ -16,6 +18,8 @@ SIG = "WITH RECURSIVE sig AS (SELECT user_id AS signal_id, row_number() OVER (PA
 DB = "CASE WHEN {0} > 0 THEN 20 * log10({0}) ELSE -96.0 END"
 PDB = "CASE WHEN {0} > 0 THEN 10 * log10({0}) ELSE -96.0 END"
 SR = 1000
+#: Samples in a chunk of these short signals, so that most have several.
+CUT = 32
 
 
 def unit(spark, d) -> DataFrame:
@@ -184,17 +188,17 @@ def _recursive(first: str, step: str, columns: str, out: str, source: str = "u")
 
 @query("ema_smooth", _recursive("x AS y", "0.7 * r.y + 0.3 * s.x", "y", "round(y, 6) + 0.0 AS y"))
 def ema_smooth(spark, d):
-    return S.ema(unit(spark, d), 0.7).select("signal_id", "idx", r("y", 6).alias("y"))
+    return S.ema(unit(spark, d), 0.7, chunk=CUT).select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 @query("asym_tracker", _recursive("abs(x) AS y", "CASE WHEN abs(s.x) > r.y THEN 0.9 * r.y + 0.1 * abs(s.x) ELSE 0.998 * r.y + 0.002 * abs(s.x) END", "y", "round(y, 6) + 0.0 AS y"))
 def asym_tracker(spark, d):
-    return S.scan(unit(spark, d).withColumn("x", F.abs("x")), lambda x: R.two_speed(x, 0.9, 0.998), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
+    return C.speculative(unit(spark, d).withColumn("x", F.abs("x")), Y.TwoSpeed(0.9, 0.998))[0].select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 @query("live_noise_floor", _recursive("greatest(1e-6, least(0.95 * 1e-6 + 0.05 * abs(x), 1.05 * abs(x))) AS y", "greatest(1e-6, least(0.95 * r.y + 0.05 * abs(s.x), 1.05 * abs(s.x)))", "y", "round(y, 7) + 0.0 AS y"))
 def live_noise_floor(spark, d):
-    return S.scan(unit(spark, d).withColumn("x", F.abs("x")), R.live_floor, {"y": "double"}).select("signal_id", "idx", r("y", 7).alias("y"))
+    return C.speculative(unit(spark, d).withColumn("x", F.abs("x")), Y.LiveFloor())[0].select("signal_id", "idx", r("y", 7).alias("y"))
 
 
 @query("warm_up_profile", _recursive("0.5 * (1.5 * abs(x) + 1e-6) + 0.5 * x AS y", "CASE WHEN s.idx < 5 THEN 0.5 * r.y + 0.5 * s.x ELSE 0.92 * r.y + 0.08 * s.x END", "y", "round(y, 6) + 0.0 AS profile, round(0.05 + 0.95 * pow(least(1.0, idx / 90.0), 2), 6) AS ramp"))
@@ -234,7 +238,7 @@ r AS (SELECT signal_id, idx, x, CASE WHEN {_GATE_T.format("0")} > 0 THEN 0.4 ELS
 SELECT signal_id, idx, round(x * env, 6) + 0.0 AS y FROM r""",
 )
 def noise_gate(spark, d):
-    return S.scan(unit(spark, d), lambda x: R.gate(x, 0.15, 0.1, 2, 3, 0.6, 0.95), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
+    return C.speculative(unit(spark, d), Y.Gate(0.15, 0.1, 2, 3, 0.6, 0.95), chunk=CUT)[0].select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 _LV = "CASE WHEN s.x <> 0 THEN 20 * log10(abs(s.x)) ELSE -96.0 END"
@@ -250,20 +254,37 @@ _LV = "CASE WHEN s.x <> 0 THEN 20 * log10(abs(s.x)) ELSE -96.0 END"
     ),
 )
 def compressor(spark, d):
-    return S.scan(unit(spark, d), lambda x: R.compress(x, -20.0, 4.0, 6.0, 0.5, 0.9, 2.0), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
+    return C.speculative(unit(spark, d), Y.Compressor(-20.0, 4.0, 6.0, 0.5, 0.9, 2.0), chunk=CUT)[0].select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 _BQ = R.biquad_design("highpass", 80.0, 0.707, 0.0, SR)
 
 
-def _biquad_sql(c, source="u") -> str:
+def _biquad_sql(c, source="u", r="r") -> str:
     b0, b1, b2, a1, a2 = (f"({v!r}::DOUBLE)" for v in c)
-    return f"SELECT signal_id, idx, {b0} * x AS y, {b1} * x - {a1} * ({b0} * x) AS s1, {b2} * x - {a2} * ({b0} * x) AS s2 FROM {source} s WHERE idx = 0 UNION ALL SELECT s.signal_id, s.idx, {b0} * s.x + r.s1, {b1} * s.x - {a1} * ({b0} * s.x + r.s1) + r.s2, {b2} * s.x - {a2} * ({b0} * s.x + r.s1) FROM r JOIN {source} s ON s.signal_id = r.signal_id AND s.idx = r.idx + 1"
+    return f"SELECT signal_id, idx, {b0} * x AS y, {b1} * x - {a1} * ({b0} * x) AS s1, {b2} * x - {a2} * ({b0} * x) AS s2 FROM {source} s WHERE idx = 0 UNION ALL SELECT s.signal_id, s.idx, {b0} * s.x + {r}.s1, {b1} * s.x - {a1} * ({b0} * s.x + {r}.s1) + {r}.s2, {b2} * s.x - {a2} * ({b0} * s.x + {r}.s1) FROM {r} JOIN {source} s ON s.signal_id = {r}.signal_id AND s.idx = {r}.idx + 1"
+
+
+def _cascade_sql(filters) -> str:
+    """Filters one behind the other; the last one's output is x of filtered."""
+    out, source = "", "u"
+    for i, c in enumerate(filters):
+        out += f", r{i} AS ({_biquad_sql(c, source, f'r{i}')}), z{i} AS (SELECT signal_id, idx, y AS x FROM r{i})"
+        source = f"z{i}"
+    return out + f", filtered AS (SELECT * FROM {source})"
+
+
+def _compress_sql(name: str, source: str, threshold: float, ratio: float, knee: float, attack: float, release: float, makeup: float) -> str:
+    level = "CASE WHEN s.x <> 0 THEN 20 * log10(abs(s.x)) ELSE -96.0 END"
+    moved = f"CASE WHEN {level} > {{0}} THEN {attack} * {{0}} + {1 - attack!r}::DOUBLE * {level} ELSE {release} * {{0}} + {1 - release!r}::DOUBLE * {level} END"
+    over = f"(e - ({threshold}))"
+    cut = f"CASE WHEN {over} > {knee / 2} THEN {over} / {ratio} - {over} WHEN {over} > {-knee / 2} THEN (1 / {ratio} - 1) * pow({over} + {knee / 2}, 2) / (2 * {knee or 1.0}) ELSE 0 END"
+    return f", {name}_e AS (SELECT signal_id, idx, x, {moved.format('(-96.0::DOUBLE)')} AS e FROM {source} s WHERE idx = 0 UNION ALL SELECT s.signal_id, s.idx, s.x, {moved.format('p.e')} FROM {name}_e p JOIN {source} s ON s.signal_id = p.signal_id AND s.idx = p.idx + 1), {name} AS (SELECT signal_id, idx, x * pow(10, ({cut} + {makeup}) / 20) AS x FROM {name}_e)"
 
 
 @query("biquad_highpass", UNIT + f", r AS ({_biquad_sql(_BQ)}) SELECT signal_id, idx, round(y, 6) + 0.0 AS y FROM r")
 def biquad_highpass(spark, d):
-    return S.scan(unit(spark, d), lambda x: R.biquad(x, _BQ), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
+    return C.linear(unit(spark, d), Y.biquad(_BQ), chunk=CUT).select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 _SIDE = R.biquad_design("peaking", 200.0, 2.0, 6.0, SR)
@@ -279,25 +300,25 @@ e AS (SELECT signal_id, idx, x, CASE WHEN {_DT} < 1.0 THEN 0.4 + 0.6 * {_DT} ELS
 SELECT signal_id, idx, round(x * (0.5 + 0.5 * g), 6) + 0.0 AS y FROM e""",
 )
 def deesser(spark, d):
-    return S.scan(unit(spark, d), lambda x: R.deess(x, R.biquad(x, _SIDE), 0.3, 3.0, 0.5, 0.4, 0.9), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
+    return C.speculative(unit(spark, d), Y.SideDeesser(_SIDE, 0.3, 3.0, 0.5, 0.4, 0.9), chunk=CUT)[0].select("signal_id", "idx", r("y", 6).alias("y"))
 
 
-@query("hum_notch_cascade")
+@query("hum_notch_cascade", UNIT + _cascade_sql(R.hum_notches(SR)) + " SELECT signal_id, idx, round(x, 6) + 0.0 AS y FROM filtered")
 def hum_notch_cascade(spark, d):
-    filters = R.hum_notches(SR)
-    return S.scan(unit(spark, d), lambda x: R.cascade(x, filters), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
+    return C.linear(unit(spark, d), Y.cascade(R.hum_notches(SR)), chunk=CUT).select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 @query("dc_removal", UNIT + f", r AS ({_biquad_sql(R.biquad_design('highpass', 5.0, 0.7071, 0.0, SR))}) SELECT signal_id, idx, round(y, 6) + 0.0 AS y FROM r")
 def dc_removal(spark, d):
-    c = R.biquad_design("highpass", 5.0, 0.7071, 0.0, SR)
-    return S.scan(unit(spark, d), lambda x: R.biquad(x, c), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
+    return C.linear(unit(spark, d), Y.biquad(R.biquad_design("highpass", 5.0, 0.7071, 0.0, SR)), chunk=CUT).select("signal_id", "idx", r("y", 6).alias("y"))
+
+
+_EQ = R.equaliser([(60, 3.0, 1.0), (120, 0.05, 1.0), (250, -4.0, 1.4)], SR)
 
 
-@query("parametric_eq")
+@query("parametric_eq", UNIT + _cascade_sql(_EQ) + " SELECT signal_id, idx, round(x, 6) + 0.0 AS y FROM filtered")
 def parametric_eq(spark, d):
-    filters = R.equaliser([(60, 3.0, 1.0), (120, 0.05, 1.0), (250, -4.0, 1.4)], SR)
-    return S.scan(unit(spark, d), lambda x: R.cascade(x, filters), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
+    return C.linear(unit(spark, d), Y.cascade(_EQ), chunk=CUT).select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 @query(
@@ -311,10 +332,22 @@ def live_gate(spark, d):
     return S.gate_ahead(unit(spark, d), 0.05, 0.1, look=4, hold=6).select("signal_id", "idx", r("y", 6).alias("y"))
 
 
-@query("live_deesser")
+_BAND = R.biquad_design("peaking", 300.0, 3.0, -12.0, SR)
+
+
+def _live_sql(c) -> str:
+    b0, b1, b2, a1, a2 = (f"({v!r}::DOUBLE)" for v in c)
+    side = f"SELECT s.signal_id, s.idx, s.x, {{env}} AS before, {{on}} AS was, {b0} * s.x + {{s1}} AS side, {{s2}} AS s2_ FROM {{rows}}"
+    env = f"SELECT *, {b1} * x - {a1} * side + s2_ AS s1, {b2} * x - {a2} * side AS s2, before + CASE WHEN abs(side) > before THEN 0.05 ELSE 0.0005 END * (abs(side) - before) AS env FROM ({side})"
+    share = f"SELECT *, least(1.0, env / (abs(x) + 1e-9)) AS share FROM ({env})"
+    row = f"SELECT signal_id, idx, x, side, s1, s2, env, share, CASE WHEN was THEN share >= 0.35 - 0.02 ELSE share > 0.35 + 0.02 END AS open FROM ({share})"
+    first = row.format(env="0.0::DOUBLE", on="false", s1="0.0", s2="0.0::DOUBLE", rows="u s WHERE idx = 0")
+    return first + " UNION ALL " + row.format(env="r.env", on="r.open", s1="r.s1", s2="r.s2", rows="r JOIN u s ON s.signal_id = r.signal_id AND s.idx = r.idx + 1")
+
+
+@query("live_deesser", UNIT + f", r AS ({_live_sql(_BAND)}) SELECT signal_id, idx, round(CASE WHEN open THEN x - side * least(greatest((share - 0.35) / 0.65 * 0.8 * 0.85, 0.0), 0.85) ELSE x END, 6) + 0.0 AS y FROM r")
 def live_deesser(spark, d):
-    band = R.biquad_design("peaking", 300.0, 3.0, -12.0, SR)
-    return S.scan(unit(spark, d), lambda x: R.deess_live(x, band, 0.8), {"y": "double"}).select("signal_id", "idx", r("y", 6).alias("y"))
+    return C.speculative(unit(spark, d), Y.LiveDeesser(_BAND, 0.8), chunk=CUT)[0].select("signal_id", "idx", r("y", 6).alias("y"))
 
 
 _EDGE = "first_value(x) OVER a AS f, last_value(x) OVER a AS l"

@@ -5,15 +5,14 @@ been read, whatever the cut into micro-batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from undertone.sources.work import work_folder
+
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema, files_at_once: int | None = None) -> DataFrame:
     """A table's files in a folder as a stream."""
@@ -23,16 +22,6 @@ def read_stream(spark: SparkSession, folder: str, name: str, schema, files_at_on
     return reader.parquet(folder)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder for sinks and checkpoints, below the one that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="streams-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame) -> DataFrame:
     """Runs an append-only stream over all that is there, and returns its rows."""
     spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
