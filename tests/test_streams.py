@@ -60,14 +60,3 @@ def test_latest_side_over_many_batches(spark, folder):
                 seen = v if v > 1 else seen
                 expected.append(seen)
         assert [g[2] for g in sorted((g for g in got if g[0] == k), key=lambda g: g[1])] == expected
-
-
-def test_overlap_add_over_many_batches(spark, folder):
-    path, rows = folder
-    stream = S.read_stream(spark, path, "*.parquet", spark.read.parquet(path).schema, 1)
-    got = sorted((r.k, r.idx, r.y) for r in S.drained(S.overlap_add(stream, 8, 4, lambda f: f, key="k", order=["ts"], x="x")).collect())
-    for k in range(3):
-        x = [v for a, _, v in rows if a == k]
-        y = [g[2] for g in got if g[0] == k]
-        assert len(y) == (len(x) - 8) // 4 * 4 + 4
-        assert np.allclose(y[1:], x[1 : len(y)]) and y[0] == 0

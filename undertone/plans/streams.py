@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from undertone.functions import sql as SQLF
 from undertone.plans.registry import query
+from undertone.plans.relational import _WALK
 from undertone.plans.signals import UNIT, r
 from undertone.sources.tables import table
+from undertone.streaming import ordered as O
 from undertone.streaming import streams as S
 
 
@@ -16,6 +19,21 @@ def _events(spark, d):
     return rows.withColumns({"ts": F.col("ts").cast("timestamp"), "x": (F.col("value") - 100) / 397.3})
 
 
+def _third(later) -> Column:
+    """The file of three that a row comes in: by day of the month, some files later."""
+    return F.least(F.floor((F.dayofmonth("ts") - 1) / 10) + later, F.lit(2))
+
+
+def _late(spark, d):
+    """The events in three micro-batches; every seventh comes one later than its time says."""
+    rows = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), ((F.col("value") - 100) / 397.3).alias("x"))
+    return O.replayed(rows, 3, _third((F.col("event_id") % 7 == 0).cast("int")))
+
+
+def _ordered(stream, step):
+    return O.run_to_end(stream, lambda s: O.in_order(s, step, key="user_id", at="ts", tie="event_id", late="21 days"), at="ts")
+
+
 @query("stream_ema", UNIT.replace("SELECT signal_id, idx,", "SELECT signal_id, event_id, idx,") + ", r AS (SELECT signal_id, event_id, idx, x AS y FROM u WHERE idx = 0 UNION ALL SELECT u.signal_id, u.event_id, u.idx, 0.7 * r.y + 0.3 * u.x FROM r JOIN u ON u.signal_id = r.signal_id AND u.idx = r.idx + 1) SELECT signal_id AS user_id, event_id, round(y, 6) + 0.0 AS y FROM r")
 def stream_ema(spark, d):
     return S.drained(S.ema(_events(spark, d), 0.7, key="user_id", order=["ts", "event_id"], x="x")).select("user_id", "event_id", r("y", 6).alias("y"))
@@ -47,11 +65,38 @@ _W16 = "(0.5 - 0.5 * cos(2 * pi() * (idx - f * 8) / 16))"
     + f""", n AS (SELECT signal_id, (count(*) - 16) // 8 + 1 AS n FROM u GROUP BY signal_id HAVING count(*) >= 16), f AS (SELECT signal_id, unnest(range(0, n)) AS f FROM n),
 w AS (SELECT u.signal_id, f, idx, x * {_W16} AS v, {_W16} AS w FROM f JOIN u ON u.signal_id = f.signal_id AND idx BETWEEN f * 8 AND f * 8 + 15),
 g AS (SELECT signal_id, f, CASE WHEN avg(v * v) < 0.03 THEN 0.5 ELSE 1.0 END AS g FROM w GROUP BY ALL)
-SELECT w.signal_id AS user_id, idx, round(CASE WHEN sum(w * w) > 1e-8 THEN sum(g * v * w) / sum(w * w) ELSE 0.0 END, 6) + 0.0 AS y FROM w JOIN g USING (signal_id, f) JOIN n ON n.signal_id = w.signal_id WHERE idx < n * 8 GROUP BY ALL""",
+SELECT w.signal_id AS user_id, idx, round(CASE WHEN sum(w * w) > 1e-8 THEN sum(g * v * w) / sum(w * w) ELSE 0.0 END, 6) + 0.0 AS y FROM w JOIN g USING (signal_id, f) JOIN n ON n.signal_id = w.signal_id GROUP BY ALL""",
 )
 def stream_overlap_add(spark, d):
-    rows = S.overlap_add(_events(spark, d), 16, 8, _halved, key="user_id", order=["ts", "event_id"], x="x")
-    return S.drained(rows).select("user_id", "idx", r("y", 6).alias("y"))
+    return _ordered(_late(spark, d), O.OverlapAdd(16, 8, _halved)).select("user_id", "idx", r("y", 6).alias("y"))
+
+
+_BY_TIME = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
+
+
+@query("stream_frames_and_masks", f"SELECT user_id, event_id, value AS x, last_value(CASE WHEN event_type = 'error' THEN value * 2 END IGNORE NULLS) {_BY_TIME}) AS side FROM events")
+def stream_frames_and_masks(spark, d):
+    """Two streams: all events, and masks made of some of them, which come a file later."""
+    rows, none = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), F.lit(None).cast("double")
+    frames = O.replayed(rows.select("user_id", "event_id", "ts", F.col("value").alias("x"), none.alias("side")), 3, _third(0))
+    masks = O.replayed(rows.where("event_type = 'error'").select("user_id", "event_id", "ts", none.alias("x"), (F.col("value") * 2).alias("side")), 3, _third(1))
+    return _ordered(frames.unionByName(masks), O.NewestSide()).select("user_id", F.col("tie").alias("event_id"), "x", "side")
+
+
+@query("stream_trailing", UNIT.replace("SELECT signal_id, idx,", "SELECT signal_id, event_id, idx,") + ", f AS (SELECT *, CASE WHEN (x >= 0) <> lag(x >= 0) OVER (PARTITION BY signal_id ORDER BY idx) THEN 1 ELSE 0 END AS flip FROM u), t AS (SELECT signal_id, event_id, idx, sqrt(avg(x * x) OVER (PARTITION BY signal_id ORDER BY idx ROWS 15 PRECEDING)) AS rms, sum(flip) OVER (PARTITION BY signal_id ORDER BY idx ROWS 14 PRECEDING) / 16 AS zcr FROM f) SELECT signal_id AS user_id, event_id, round(rms, 6) AS rms, round(zcr, 6) AS zcr, round(CASE WHEN rms > 0 THEN 20 * log10(rms) ELSE -100 END, 4) AS level FROM t WHERE idx >= 15")
+def stream_trailing(spark, d):
+    rows = _ordered(_late(spark, d), O.Trailing(16))
+    return rows.select("user_id", F.col("tie").alias("event_id"), r("rms", 6).alias("rms"), r("zcr", 6).alias("zcr"), r("level").alias("level"))
+
+
+@query("stream_dedup_ttl", _WALK + "r AS (SELECT user_id, event_id, i, s AS start, true AS kept FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.s - r.start >= 86400 THEN e.s ELSE r.start END, e.s - r.start >= 86400 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, event_id FROM r WHERE kept")
+def stream_dedup_ttl(spark, d):
+    return _ordered(_late(spark, d), O.FirstSights(86_400_000_000)).select("user_id", F.col("tie").alias("event_id"))
+
+
+@query("stream_rate_limit", _WALK + "r AS (SELECT user_id, event_id, i, s AS start, 1 AS n FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.s - r.start >= 172800 THEN e.s ELSE r.start END, CASE WHEN e.s - r.start >= 172800 THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, event_id, n <= 3 AS allowed FROM r")
+def stream_rate_limit(spark, d):
+    return _ordered(_late(spark, d), O.FixedWindows(172_800_000_000, 3)).select("user_id", F.col("tie").alias("event_id"), "allowed")
 
 
 @query("stream_windows", "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

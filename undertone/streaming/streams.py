@@ -1,7 +1,7 @@
 """Structured Streaming forms: stateful recurrences and frames, windows, sessions and deduplication.
 
-State is one small row for each key. Every form gives what its batch form gives once all input has
-been read, whatever the cut into micro-batches."""
+State is one small row for each key. Every form gives what its batch form gives once all input has been read, as long as
+no row comes in a later micro-batch than a newer one of its key; `ordered` has forms for rows that come late."""
 
 from __future__ import annotations
 
@@ -93,30 +93,6 @@ def latest_side(df: DataFrame, *, key: str, order: list[str], x: str, side: str)
     return _stateful(df.select(key, *order, x, side), key, run, f"{fields}, side double", "side double")
 
 
-def overlap_add(df: DataFrame, size: int, hop: int, shape, *, key: str, order: list[str], x: str) -> DataFrame:
-    """key, idx, y: frames are windowed, reshaped by shape(frame), windowed again and added; a sample goes out when no
-    later frame reaches it. The state is the tail of samples, and the sums under way."""
-    kind = df.schema[key].dataType.simpleString()
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-
-    def run(name, parts, state):
-        done, tail, added, weight = (state.get[0], *(list(s) for s in state.get[1:])) if state.exists else (0, [], [0.0] * size, [0.0] * size)
-        rows = pd.concat(list(parts)).sort_values(order)
-        samples, added, weight = np.array(tail + rows[x].tolist()), np.array(added), np.array(weight)
-        out, first = [], done * hop
-        while len(samples) >= size:
-            added += shape(samples[:size] * window) * window
-            weight += window**2
-            out.append(np.where(weight[:hop] > 1e-8, added[:hop] / np.maximum(weight[:hop], 1e-8), 0.0))
-            added, weight = (np.concatenate([v[hop:], np.zeros(hop)]) for v in (added, weight))
-            samples, done = samples[hop:], done + 1
-        state.update((done, samples.tolist(), added.tolist(), weight.tolist()))
-        y = np.concatenate(out) if out else np.zeros(0)
-        yield pd.DataFrame({key: [name[0]] * len(y), "idx": np.arange(first, first + len(y)), "y": y})
-
-    return _stateful(df.select(key, *order, x), key, run, f"{key} {kind}, idx bigint, y double", "done bigint, tail array<double>, added array<double>, weight array<double>")
-
-
 def throttled(df: DataFrame, every: int, frame: str = "f") -> DataFrame:
     """Every n-th frame."""
     return df.where(F.col(frame) % every == 0)
