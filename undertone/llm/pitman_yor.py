@@ -50,6 +50,8 @@ BURN_IN, SAMPLES = 1, 2
 END, START = (int(x) for x in mix(np.array([0xE0D, 0x57A], U64)))
 #: Bytes of text for each bucket, about, and bytes of text whose requests to a bucket make one group.
 BUCKET_BYTES, SALT_BYTES = 1 << 22, 1 << 36
+#: Bytes of text in a piece, at most; the larger, the fewer rows go to each bucket, and the fewer pairs are asked for twice.
+PIECE = 8_000_000
 
 
 def pack(x: np.ndarray, kind) -> bytes:
@@ -267,21 +269,27 @@ def seated(old: Seating, customers: np.ndarray, weight: np.ndarray, slope: np.nd
 
 @dataclass
 class Grid:
-    """Buckets of pairs (by ranges of the word's and the context's hash) and of words; salts split what is asked of a bucket."""
+    """Buckets of pairs (by ranges of the word's and the context's hash, half of the bits each) and of words; salts split what is
+    asked of a bucket. Words have the two-thirds power of the number of buckets, as vocabularies grow slower than texts, so that
+    a bucket of pairs meets few buckets of words: rows told in a sweep grow as the input to the power 7/6."""
 
     bits: int
     salts: int = 1
 
+    @property
+    def word_bits(self) -> int:
+        return -(-2 * self.bits // 3)
+
     def salt(self, piece: int) -> int:
         return (piece >> 32) % self.salts
 
     def pairs(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        by_context = self.bits // 3
+        by_context = self.bits // 2
         own = (word >> U64(64 - (self.bits - by_context))).astype(np.int64)
         return own << by_context | ((context >> U64(64 - by_context)).astype(np.int64) if by_context else 0)
 
     def words(self, word: np.ndarray) -> np.ndarray:
-        return (word >> U64(64 - self.bits)).astype(np.int64)
+        return (word >> U64(64 - self.word_bits)).astype(np.int64)
 
 
 def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -302,12 +310,16 @@ class Piece:
 
     @classmethod
     def of(cls, column: pa.Array) -> Piece:
-        words = words_of(column)
-        texts = np.arange(len(words.first) - 1)
-        h = np.empty(len(words.row) + len(texts), U64)
-        h[np.arange(len(words.row)) + words.row] = words.hashes()
-        h[words.first[1:] + texts] = END
-        first = words.first + np.arange(len(texts) + 1)
+        h, first = [np.zeros(0, U64)], [0]
+        for part in pieces([pa.RecordBatch.from_arrays([column], ["t"])], "t"):  # hashing takes several times the bytes
+            words = words_of(part.column("t"))
+            texts = np.arange(len(words.first) - 1)
+            own = np.empty(len(words.row) + len(texts), U64)
+            own[np.arange(len(words.row)) + words.row] = words.hashes()
+            own[words.first[1:] + texts] = END
+            first += (first[-1] + words.first[1:] + texts + 1).tolist()
+            h.append(own)
+        h, first = np.concatenate(h), np.array(first)
         codes, vocabulary = pd.factorize(np.append(h, U64(START)))
         order = np.argsort(vocabulary)
         rank = np.empty(len(order), np.int64)
@@ -338,7 +350,7 @@ def _cut(docs: DataFrame, schema: str, emit, columns=("t",)) -> DataFrame:
 
     def run(batches):
         k = TaskContext.get().partitionId() << 32
-        for batch in pieces(batches, "t"):
+        for batch in pieces(batches, "t", PIECE):
             yield from emit(k, batch, Piece.of(batch.column("t"))).to_batches()
             k += 1
 
@@ -584,8 +596,12 @@ def _asked(docs: DataFrame, grid: Grid) -> DataFrame:
 
     def emit(k, batch, piece):
         _, bucket, key = piece.asked(grid)
-        rows = [(0, b, grid.salt(k), k, pack_sorted(key[p:q])) for b, p, q in _ranges(bucket)]
-        rows += [(1, b, grid.salt(k), k, pack_sorted(piece.vocabulary[p:q])) for b, p, q in _ranges(grid.words(piece.vocabulary))]
+        rows = []
+        for kind, bucket, key in ((0, bucket, key), (1, grid.words(piece.vocabulary), piece.vocabulary)):
+            steps = np.diff(key, prepend=U64(0))
+            for b, p, q in _ranges(bucket):
+                steps[p] = key[p]
+                rows.append((kind, b, grid.salt(k), k, pack(steps[p:q], U64)))
         return _table(rows, schema)
 
     return _cut(docs, ASKED, emit)
@@ -632,16 +648,22 @@ def _answers(asked: DataFrame, known: DataFrame, salts: int) -> DataFrame:
     schema = _schema(ANSWER)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        parts = [(unpack_sorted(r["key"]), unpack(r["n"], np.int64), unpack(r["more"], np.int64)) for r in _each(known.to_batches())]
-        rows = []
-        for r in _each(asked.to_batches()):
-            wanted = unpack_sorted(r["key"])
-            each = 3 * SAMPLES if r["kind"] else 1
-            n, more = np.zeros(len(wanted), np.int64), np.zeros((each, len(wanted)), np.int64)
-            for key, customers, told in parts:
-                hit, at = _found(key, wanted)
-                n[hit], more[:, hit] = customers[at[hit]], told.reshape(each, len(key))[:, at[hit]]
-            rows.append((r["piece"], r["kind"], r["bucket"], pack(n, np.int64), pack(more.ravel(), np.int64)))
+        names = [(r["piece"], r["kind"], r["bucket"], unpack_sorted(r["key"])) for r in _each(asked.to_batches())]
+        if not names:
+            return _table([], schema)
+        wanted = np.concatenate([key for *_, key in names])
+        each = 3 * SAMPLES if names[0][1] else 1
+        n, more = np.zeros(len(wanted), np.int64), np.zeros((each, len(wanted)), np.int64)
+        for r in _each(known.to_batches()):
+            key = unpack_sorted(r["key"])
+            hit, at = _found(key, wanted)
+            at = at[hit]
+            n[hit], more[:, hit] = unpack(r["n"], np.int64)[at], unpack(r["more"], np.int64).reshape(each, len(key))[:, at]
+        rows, p = [], 0
+        for *name, key in names:
+            q = p + len(key)
+            rows.append((*name, pack(n[p:q], np.int64), pack(more[:, p:q].ravel(), np.int64)))
+            p = q
         return _table(rows, schema)
 
     by = ("kind", "bucket", "salt")
