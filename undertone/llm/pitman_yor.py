@@ -51,7 +51,7 @@ END, START = (int(x) for x in mix(np.array([0xE0D, 0x57A], U64)))
 #: Bytes of text for each bucket, about, and bytes of text whose requests to a bucket make one group.
 BUCKET_BYTES, SALT_BYTES = 1 << 22, 1 << 36
 #: Bytes of text in a piece, at most; the larger, the fewer rows go to each bucket, and the fewer pairs are asked for twice.
-PIECE = 4_000_000
+PIECE = 2_000_000
 
 
 def pack(x: np.ndarray, kind) -> bytes:
@@ -369,17 +369,60 @@ def _ranges(bucket: np.ndarray):
     return zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True) if len(at) else ()
 
 
-PAIRS = "bucket int, salt int, word binary, per_word binary, context binary, n binary"
+#: Pairs of a bucket, packed. Those that a piece tells have their contexts one by one; merged ones have sorted contexts and each pair's place among them.
+PAIRS = "bucket int, salt int, word binary, per_word binary, context binary, place binary, n binary"
 
 
-def _pairs_row(bucket: int, salt: int, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple:
-    """Pairs sorted by word, packed."""
+def _told_pairs(bucket: int, salt: int, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple:
+    """A row of pairs sorted by word."""
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-    return bucket, salt, pack_sorted(word[first]), pack(np.diff(np.append(first, len(word))), np.int32), pack(context, U64), pack(n, np.int64)
+    return bucket, salt, pack_sorted(word[first]), pack(np.diff(np.append(first, len(word))), np.int32), pack(context, U64), None, pack(n, np.int64)
 
 
-def _read_pairs(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.repeat(unpack_sorted(r["word"]), unpack(r["per_word"], np.int32)), unpack(r["context"], U64), unpack(r["n"], np.int64)
+def _read_told(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    context = unpack(r["context"], U64) if r["place"] is None else unpack_sorted(r["context"])[unpack(r["place"], np.int32)]
+    return np.repeat(unpack_sorted(r["word"]), unpack(r["per_word"], np.int32)), context, unpack(r["n"], np.int64)
+
+
+@dataclass
+class Pairs:
+    """Pairs sorted by word: sorted words and how many pairs each has; sorted contexts and each pair's place among them; how often."""
+
+    words: np.ndarray
+    per_word: np.ndarray
+    contexts: np.ndarray
+    place: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> Pairs:
+        first = np.flatnonzero(np.diff(word, prepend=~word[:1]))
+        return cls(word[first], np.diff(np.append(first, len(word))), *np.unique(context, return_inverse=True), n)
+
+    @classmethod
+    def read(cls, r: dict) -> Pairs:
+        return cls(unpack_sorted(r["word"]), unpack(r["per_word"], np.int32), unpack_sorted(r["context"]), unpack(r["place"], np.int32), unpack(r["n"], np.int64))
+
+    def row(self, bucket: int) -> tuple:
+        return bucket, 0, pack_sorted(self.words), pack(self.per_word, np.int32), pack_sorted(self.contexts), pack(self.place, np.int32), pack(self.n, np.int64)
+
+    @property
+    def word(self) -> np.ndarray:
+        return np.repeat(self.words, self.per_word)
+
+    @property
+    def context(self) -> np.ndarray:
+        return self.contexts[self.place]
+
+    def by_word(self, x: np.ndarray) -> np.ndarray:
+        """Sums over each word's pairs."""
+        return np.add.reduceat(x, np.cumsum(self.per_word) - self.per_word) if len(x) else np.zeros(0, np.int64)
+
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, x, len(self.contexts)).astype(np.int64)
+
+    def take(self, on: np.ndarray) -> Pairs:
+        return Pairs.of(self.word[on], self.context[on], self.n[on])
 
 
 def restaurants(docs: DataFrame, grid: Grid) -> DataFrame:
@@ -393,17 +436,17 @@ def restaurants(docs: DataFrame, grid: Grid) -> DataFrame:
         bucket = grid.pairs(word, context)
         order = by_bucket(bucket)
         word, context, n = word[order], context[order], n[order]
-        return _table([_pairs_row(b, grid.salt(k), word[p:q], context[p:q], n[p:q]) for b, p, q in _ranges(bucket[order])], schema)
+        return _table([_told_pairs(b, grid.salt(k), word[p:q], context[p:q], n[p:q]) for b, p, q in _ranges(bucket[order])], schema)
 
     def merge(group: pa.Table) -> pa.Table:
-        parts = [_read_pairs(r) for r in _each(group.to_batches())]
+        parts = [_read_told(r) for r in _each(group.to_batches())]
         word, context, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(mix(context * U64(BASE) + word))
         word, context, n = word[order], context[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])]))
         word, context, n = word[first], context[first], np.add.reduceat(n, first)
         order = np.argsort(word, kind="stable")
-        return _table([_pairs_row(group.column("bucket")[0].as_py(), 0, word[order], context[order], n[order])], schema)
+        return _table([Pairs.of(word[order], context[order], n[order]).row(group.column("bucket")[0].as_py())], schema)
 
     rows = _cut(docs, PAIRS, emit, ("t", "train"))
     merged = rows.groupBy("bucket", "salt").applyInArrow(merge, PAIRS)
@@ -414,23 +457,19 @@ def restaurants(docs: DataFrame, grid: Grid) -> DataFrame:
 
 #: Of a bucket: pairs seen more than once, their customers, tables, openings, and tables summed over the samples.
 SEATS = PAIRS + ", tables binary, opened binary, sampled binary"
-#: A bucket's tables of each word as a dish and as a context; customers are given in the first round only.
-TOLD = "words int, bucket int, word binary, customers binary, dish binary, context binary"
+#: What a bucket tells of its words as dishes (role 0) and as contexts (role 1): tables, and in the first round customers.
+TOLD = "words int, bucket int, role int, word binary, customers binary, tables binary"
 #: Of a words' bucket: customers (of the start: texts), tables as a dish and as a context, of pairs seen once and of all, the parent's
-#: tables and openings, what all samples had (tables as a dish, in the parent, as a context), and sums. Or, with a bucket, what that one asked for.
-WORDS = "words int, bucket int, word binary, customers binary, single_dish binary, single_context binary, dish binary, context binary, parent binary, opened binary, samples binary, sums array<double>"
+#: tables and openings, what all samples had (tables as a dish, in the parent, as a context), and sums. Or, with a bucket, what that one asked for in a role.
+WORDS = "words int, bucket int, role int, word binary, customers binary, single_dish binary, single_context binary, dish binary, context binary, parent binary, opened binary, samples binary, sums array<double>"
 
 
-def _told(rows: list, bucket: int, grid: Grid, word, context, tables, customers=None, single=None) -> None:
+def _told(rows: list, bucket: int, grid: Grid, pairs: Pairs, tables: np.ndarray, first: bool = False) -> None:
     """Adds rows for the buckets of the words that occur in these pairs."""
-    known, at = np.unique(np.concatenate([word, context]), return_inverse=True)
-    as_word, as_context = at[: len(word)], at[len(word) :]
-    dish, owned = np.bincount(as_word, tables, len(known)), np.bincount(as_context, tables, len(known))
-    eaten = np.zeros(len(known))
-    if customers is not None:
-        eaten = np.bincount(as_word, customers, len(known)) + np.where(known == U64(START), np.bincount(as_context, customers, len(known)), 0)
-    for b, p, q in _ranges(grid.words(known)):
-        rows.append((b, bucket, pack_sorted(known[p:q]), pack(eaten[p:q], np.int64), pack(dish[p:q], np.int64), pack(owned[p:q], np.int64)))
+    guests = pairs.by_word(pairs.n), np.where(pairs.contexts == U64(START), pairs.by_context(pairs.n), 0)
+    for role, (names, own, eaten) in enumerate(((pairs.words, pairs.by_word(tables), guests[0]), (pairs.contexts, pairs.by_context(tables), guests[1]))):
+        for b, p, q in _ranges(grid.words(names)):
+            rows.append((b, bucket, role, pack_sorted(names[p:q]), pack(eaten[p:q], np.int64) if first else b"", pack(own[p:q], np.int64)))
 
 
 def _first_words(model: DataFrame, grid: Grid) -> DataFrame:
@@ -439,17 +478,18 @@ def _first_words(model: DataFrame, grid: Grid) -> DataFrame:
 
     def emit(batches):
         for r in _each(batches):
-            word, context, n = _read_pairs(r)
-            rows: list = []
-            _told(rows, r["bucket"], grid, word, context, (n == 1).astype(float), n)
+            pairs, rows = Pairs.read(r), []
+            _told(rows, r["bucket"], grid, pairs, (pairs.n == 1).astype(np.int64), True)
             yield from _table(rows, told).to_batches()
 
     def gather(group: pa.Table) -> pa.Table:
-        parts = [(unpack_sorted(r["word"]), *(unpack(r[k], np.int64) for k in ("customers", "dish", "context"))) for r in _each(group.to_batches())]
-        word, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([p[i] for p in parts]), len(word)) for i in (1, 2, 3)]
+        parts = [(r["role"], unpack_sorted(r["word"]), unpack(r["customers"], np.int64), unpack(r["tables"], np.int64)) for r in _each(group.to_batches())]
+        word, at = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        role = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        customers, tables = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+        sums = [np.bincount(at, x, len(word)) for x in (customers, tables * (role == 0), tables * (role == 1))]
         empty = pack(np.zeros(0), np.int64)
-        return _table([(group.column("words")[0].as_py(), -1, pack_sorted(word), *(pack(x, np.int64) for x in sums), empty, empty, empty, empty, empty, [])], words)
+        return _table([(group.column("words")[0].as_py(), -1, 0, pack_sorted(word), *(pack(x, np.int64) for x in sums), empty, empty, empty, empty, empty, [])], words)
 
     return model.mapInArrow(emit, TOLD).groupBy("words").applyInArrow(gather, WORDS)
 
@@ -488,9 +528,8 @@ def _parents(seats: DataFrame, words: DataFrame, totals: Totals, s: int, grid: G
 
     def emit(batches):
         for r in _each(batches):
-            word, context, _ = _read_pairs(r)
             rows: list = []
-            _told(rows, r["bucket"], grid, word, context, unpack(r["tables"], np.int64).astype(float))
+            _told(rows, r["bucket"], grid, Pairs.read(r), unpack(r["tables"], np.int64))
             yield from _table(rows, told).to_batches()
 
     def sweep(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -501,9 +540,8 @@ def _parents(seats: DataFrame, words: DataFrame, totals: Totals, s: int, grid: G
             dish, context, places = single_dish.copy(), single_context.copy(), []
             for a in _each(asked.to_batches()):
                 at = np.searchsorted(word, unpack_sorted(a["word"]))
-                dish[at] += unpack(a["dish"], np.int64)
-                context[at] += unpack(a["context"], np.int64)
-                places.append((a["bucket"], at))
+                (context if a["role"] else dish)[at] += unpack(a["tables"], np.int64)
+                places.append((a["bucket"], a["role"], at))
             on = np.flatnonzero(dish)  # all but the start
             customers, key = dish[on], _salted(word[on], 1000 + s)
             n = len(on)
@@ -524,9 +562,10 @@ def _parents(seats: DataFrame, words: DataFrame, totals: Totals, s: int, grid: G
             steps = np.diff(samples, axis=0, prepend=0) if len(samples) else samples
             is_word = word != U64(START)
             sums = [float(eaten[is_word].sum()), float(is_word.sum()), float(customers.sum()), float(now.tables.sum())]
-            rows.append((r["words"], -1, r["word"], r["customers"], r["single_dish"], r["single_context"], pack(dish, np.int64), pack(context, np.int64), pack(now.tables, np.int64), pack(now.opened, np.int64), pack(steps.ravel(), np.int64), sums))
-            for b, at in places:
-                rows.append((r["words"], b, pack_sorted(word[at]), pack(eaten[at], np.int64), b"", b"", pack(dish[at], np.int64), pack(context[at], np.int64), pack(parent[at], np.int64), b"", b"", []))
+            rows.append((r["words"], -1, 0, r["word"], r["customers"], r["single_dish"], r["single_context"], pack(dish, np.int64), pack(context, np.int64), pack(now.tables, np.int64), pack(now.opened, np.int64), pack(steps.ravel(), np.int64), sums))
+            for b, role, at in places:
+                answer = (b"", pack(context[at], np.int64), b"") if role else (pack(dish[at], np.int64), b"", pack(parent[at], np.int64))
+                rows.append((r["words"], b, role, pack_sorted(word[at]), b"", b"", b"", *answer, b"", b"", []))
         return _table(rows, schema)
 
     return seats.mapInArrow(emit, TOLD).groupBy("words").cogroup(words.groupBy("words")).applyInArrow(sweep, WORDS)
@@ -538,11 +577,10 @@ def _first_seats(model: DataFrame) -> DataFrame:
 
     def emit(batches):
         for r in _each(batches):
-            word, context, n = _read_pairs(r)
-            on = n > 1
-            row = _pairs_row(r["bucket"], 0, word[on], context[on], n[on])
-            k = int(on.sum())
-            yield from _table([(*row, pack(np.ones(k), np.int64), b"", pack(np.zeros(k), np.int64))], schema).to_batches()
+            pairs = Pairs.read(r)
+            pairs = pairs.take(pairs.n > 1)
+            k = len(pairs.n)
+            yield from _table([(*pairs.row(r["bucket"]), pack(np.ones(k), np.int64), b"", pack(np.zeros(k), np.int64))], schema).to_batches()
 
     return model.mapInArrow(emit, SEATS)
 
@@ -555,17 +593,18 @@ def _contexts(seats: DataFrame, answers: DataFrame, totals: Totals, s: int) -> D
 
     def sweep(own: pa.Table, told: pa.Table) -> pa.Table:
         totals, rows = shipped.value, []
-        known = sorted(((r["words"], unpack_sorted(r["word"]), *(unpack(r[k], np.int64) for k in ("dish", "parent", "context"))) for r in _each(told.to_batches())), key=lambda x: x[0])
-        name, dish, parent, tables_of = (np.concatenate([k[i] for k in known]) if known else np.zeros(0, np.int64) for i in (1, 2, 3, 4))
+        answers = sorted(((r["role"], r["words"], unpack_sorted(r["word"]), r) for r in _each(told.to_batches())), key=lambda x: x[:2])
+        names = [np.concatenate([np.zeros(0, U64), *(x[2] for x in answers if x[0] == role)]) for role in (0, 1)]
+        dish, parent, tables_of = (np.concatenate([np.zeros(0, np.int64), *(unpack(x[3][k], np.int64) for x in answers if x[0] == role)]) for k, role in (("dish", 0), ("parent", 0), ("context", 1)))
         for r in _each(own.to_batches()):
-            word, context, n = _read_pairs(r)
+            pairs = Pairs.read(r)
             old = Seating(unpack(r["tables"], np.int64), unpack(r["opened"], np.int64))
-            w, u = np.searchsorted(name, word), np.searchsorted(name, context)
-            p = totals.parent(s - 1, dish[w], parent[w], old.tables)
-            weight = (STRENGTH + DISCOUNT * (tables_of[u] - old.tables)) * p
-            now = seated(old, n, weight, DISCOUNT * p, DISCOUNT, _salted(pair_key(word, context), s), s == 1)
+            w, u = np.searchsorted(names[0], pairs.words), np.searchsorted(names[1], pairs.contexts)
+            p = totals.parent(s - 1, np.repeat(dish[w], pairs.per_word), np.repeat(parent[w], pairs.per_word), old.tables)
+            weight = (STRENGTH + DISCOUNT * (tables_of[u][pairs.place] - old.tables)) * p
+            now = seated(old, pairs.n, weight, DISCOUNT * p, DISCOUNT, _salted(pair_key(pairs.word, pairs.context), s), s == 1)
             sampled = unpack(r["sampled"], np.int64) + (now.tables if keep else 0)
-            rows.append((r["bucket"], 0, r["word"], r["per_word"], r["context"], r["n"], pack(now.tables, np.int64), pack(now.opened, np.int64), pack(sampled, np.int64)))
+            rows.append((*(r[f] for f in ("bucket", "salt", "word", "per_word", "context", "place", "n")), pack(now.tables, np.int64), pack(now.opened, np.int64), pack(sampled, np.int64)))
         return _table(rows, schema)
 
     return seats.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(sweep, SEATS)
@@ -625,13 +664,13 @@ def _known(model: DataFrame, seats: DataFrame, words: DataFrame) -> DataFrame:
 
     def once(batches):
         for r in _each(batches):
-            word, context, n = _read_pairs(r)
+            word, context, n = _read_told(r)
             on = n == 1
             yield from row(r["bucket"], word[on], context[on], n[on], np.full(int(on.sum()), SAMPLES)).to_batches()
 
     def often(batches):
         for r in _each(batches):
-            yield from row(r["bucket"], *_read_pairs(r), unpack(r["sampled"], np.int64)).to_batches()
+            yield from row(r["bucket"], *_read_told(r), unpack(r["sampled"], np.int64)).to_batches()
 
     own = words.where("bucket < 0").select(F.lit(1).alias("kind"), F.col("words").alias("bucket"), F.col("word").alias("key"), F.col("customers").alias("n"), F.col("samples").alias("more"))
     return model.mapInArrow(once, KNOWN).unionByName(seats.mapInArrow(often, KNOWN)).unionByName(own)
