@@ -157,6 +157,9 @@ def test_packing():
     for kind in (np.uint16, np.int32, np.uint64):
         x = np.array([0, 5, 300, 65535], kind)
         assert (py.unpack(py.pack(x, kind), kind) == x).all() and len(py.unpack(py.pack(x[:0], kind), kind)) == 0
+    for x in (np.array([0, -1, 1, 2**62, -(2**63), 2**63 - 1]), np.array([-3, 4]), np.zeros(5, np.int64)):
+        assert (py.unpack(py.pack(x, np.int64), np.int64) == x).all()
+    assert len(py.pack(np.array([1, 2, 3]), np.int64)) == 9 + 3 and len(py.unpack(b"", np.uint64)) == 0
 
 
 @pytest.mark.parametrize("weight, slope, d", [(0.3, 0.0, 0.5), (2.0, 0.1, 0.75), (0.05, 0.02, 0.75), (9.0, 0.5, 0.2)])

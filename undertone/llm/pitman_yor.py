@@ -55,14 +55,24 @@ PIECE = 2_000_000
 
 
 def pack(x: np.ndarray, kind) -> bytes:
-    """Numbers by significance of their bytes, so that leading zeros lie together and compress."""
+    """Numbers by significance of their bytes, those that are zero in all left out; signed ones count up from 0 with alternating signs."""
     x = np.ascontiguousarray(x, kind)
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    if x.dtype.kind == "i":
+        x = (x << 1) ^ (x >> (8 * x.itemsize - 1))
+    x = x.view(f"u{x.itemsize}")
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return bytes([width]) + len(x).to_bytes(8, "little") + x.view(np.uint8).reshape(len(x), x.itemsize)[:, :width].T.tobytes()
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    kind = np.dtype(kind)
+    if not data:
+        return np.zeros(0, kind)
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((n, kind.itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(width, n).T
+    out = out.view(f"u{kind.itemsize}").ravel()
+    return ((out >> 1) ^ (0 - (out & 1))).view(kind) if kind.kind == "i" else out
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -732,7 +742,7 @@ def score(docs: DataFrame, *, doc_id="doc_id", text="text", trains=None, scan=Fa
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). trains: a condition on doc_id for
     the rows to learn from, all by default. scan: docs is a plain scan of files, which gives the same rows in the same
     order whenever it runs; anything else is written to the shared folder first."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, columnar=256):  # packed rows are large
         return _scored(docs, docs.schema[doc_id].dataType.simpleString(), doc_id, text, trains, scan)
 
 

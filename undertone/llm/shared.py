@@ -37,6 +37,7 @@ PIECE_BYTES = 2_000_000
 #: happens to collect garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -56,14 +57,18 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2_000):
-    """Jobs inside hand texts to Python in smaller Arrow batches, so that less of them is held on both sides."""
-    before = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = 2_000, columnar: int | None = None):
+    """Jobs inside hand texts to Python in smaller Arrow batches, so that less of them is held on both sides. columnar: rows that
+    are read from Parquet at once, for tables of large rows."""
+    wanted = {BATCH_ROWS: rows} | ({READ_ROWS: columnar} if columnar else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, n in wanted.items():
+        spark.conf.set(k, str(min(n, int(before[k])) if int(before[k]) > 0 else n))
     try:
         yield
     finally:
-        spark.conf.set(BATCH_ROWS, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def discard(df: DataFrame, *tables: DataFrame) -> DataFrame:
