@@ -51,7 +51,7 @@ END, START = (int(x) for x in mix(np.array([0xE0D, 0x57A], U64)))
 #: Bytes of text for each bucket, about, and bytes of text whose requests to a bucket make one group.
 BUCKET_BYTES, SALT_BYTES = 1 << 22, 1 << 36
 #: Bytes of text in a piece, at most; the larger, the fewer rows go to each bucket, and the fewer pairs are asked for twice.
-PIECE = 2_000_000
+PIECE = 4_000_000
 
 
 def pack(x: np.ndarray, kind) -> bytes:
