@@ -46,7 +46,7 @@ from undertone.llm.words import BASE, U64, mix, words_of
 
 DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 100.0
-BURN_IN, SAMPLES = 1, 2
+BURN_IN, SAMPLES = 2, 2
 END, START = (int(x) for x in mix(np.array([0xE0D, 0x57A], U64)))
 #: Bytes of text for each bucket, about, and bytes of text whose requests to a bucket make one group.
 BUCKET_BYTES, SALT_BYTES = 1 << 22, 1 << 36
