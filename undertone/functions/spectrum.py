@@ -255,21 +255,26 @@ def shift_formants(mag: np.ndarray, semitones: float, reach: int = 20) -> np.nda
     return np.exp(warped + logs - env)
 
 
-def build_mask(mag: np.ndarray, voice: np.ndarray, *, warm: int = 90, keep: float = 0.95, alpha: float = 1.7, floor: float = 0.005, quiet: float = 2.0, separation: np.ndarray | None = None, residual: np.ndarray | None = None, restoration: np.ndarray | None = None) -> np.ndarray:
-    """Mask of each frame in order. Frames without voice start from 1 / quiet. For the first `warm` frames a profile of the
+def build_mask(mag: np.ndarray, voice: np.ndarray, *, warm: int = 90, keep: float = 0.95, alpha: float = 1.7, floor: float = 0.005, quiet: float = 2.0, separation: np.ndarray | None = None, residual: np.ndarray | None = None, restoration: np.ndarray | None = None, presence: np.ndarray | None = None) -> np.ndarray:
+    """Mask of each frame in order. Frames without voice start from 1 / quiet. Where a model tells the presence of voice, it decides
+    instead (0.5 at least, in the mean): of each bin, the mask starts from its probability; of the frame, from 2 p - 0.5. For the first `warm` frames a profile of the
     noise is averaged, and the mask rises from 0.05 with the square of the part that is done. After that a Wiener gain
     against the profile, smoothed over three bins and kept over a floor, multiplies it. Masks of models, where there are
     any: separation bounds it, residual (0.01 at least) multiplies it, restoration (up to 2) pulls it by half."""
     out, profile = np.ones_like(mag), np.zeros(mag.shape[1])
+    told, gates = np.ones(len(mag)), voice
+    if presence is not None:
+        p = presence.reshape(len(mag), -1)
+        gates, told = p.mean(1) >= 0.5, np.maximum(0.0, 2 * p - 0.5) if p.shape[1] == 1 else p
     for f, row in enumerate(mag):
-        start = 1.0 if voice[f] else 1 / max(1.0, quiet)
+        start = told[f] * (1.0 if gates[f] else 1 / max(1.0, quiet))
         if f < warm:
             profile = row.copy() if f == 0 else keep * profile + (1 - keep) * row
             out[f] = start * (0.05 + 0.95 * ((f + 1) / warm) ** 2)
             continue
         snr = np.minimum(1e6, row**2 / np.maximum(1e-12, alpha * profile**2))
         gain = np.pad(np.clip(snr / (snr + 1), floor, 1), 1, "edge")
-        m = start * np.maximum(floor if voice[f] else floor / max(1.0, quiet), (gain[:-2] + gain[1:-1] + gain[2:]) / 3)
+        m = start * np.maximum(floor if gates[f] else floor / max(1.0, quiet), (gain[:-2] + gain[1:-1] + gain[2:]) / 3)
         if separation is not None:
             m = np.minimum(m, np.maximum(0, separation[f]))
         if residual is not None:

@@ -145,9 +145,10 @@ def adaptive_mask(df: DataFrame, aggressiveness: float, *, key=KEY, column="powe
     return rows.select(key, "k", F.when(snr > 0, F.pow(F.greatest(F.lit(0.0), 1 - 2 * aggressiveness / snr), F.lit(1.5))).otherwise(0.0).alias("mask"))
 
 
-def pitch(sr: float, low: float, high: float, column="samples") -> Column:
-    """Frequency of the lag with the highest autocorrelation, the shortest on ties; null for lags a frame doesn't hold."""
+def pitch(sr: float, low: float, high: float, column="samples", longest: float = 1.0) -> Column:
+    """Frequency of the lag with the highest autocorrelation, the shortest on ties; null for lags a frame doesn't hold.
+    longest: the share of a frame that a lag may have."""
     first, last = int(sr / high), int(sr / low)
-    lags = F.sequence(F.lit(first), F.least(F.lit(last), F.size(column) - 1))
+    lags = F.sequence(F.lit(first), F.least(F.lit(last), F.size(column) - 1, F.floor(F.size(column) * longest).cast("int")))
     score = F.transform(lags, lambda g: F.struct(F.round(F.aggregate(F.zip_with(F.slice(column, F.lit(1), F.size(column) - g), F.slice(column, g + 1, F.size(column) - g), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v), 9).alias("s"), (-g).alias("minus")))
     return F.lit(float(sr)) / -F.array_max(score)["minus"]

@@ -178,6 +178,25 @@ def auto_tune(scene, rms_, peak, dynamic) -> dict[str, Column]:
     }
 
 
+#: Suggested levels in dB at EQ_HZ.
+EQ_HZ = (40, 80, 200, 500, 1000, 2000, 4000, 8000, 12000, 16000)
+SPEECH_EQ = (-3, -2, 0, 1, 2, 3, 2, 1, 0, -2)
+OTHER_EQ = (0, 2, 1, 0, 0, 1, 0, -1, -2, -2)
+
+
+def log_distance(a: str, b: str, least: float = 1e-10) -> Column:
+    """The root mean square difference of the natural logarithms of two arrays."""
+    steps = F.zip_with(a, b, lambda x, y: F.ln(F.greatest(x, F.lit(least))) - F.ln(F.greatest(y, F.lit(least))))
+    return F.sqrt(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v * v) / F.size(a))
+
+
+def perceptual(snr: Column, distance: Column) -> dict[str, Column]:
+    """Opinion scores from 1 to 5 of the ratio of signal to noise (dB) and of a log-spectral distance, mixed 6 to 4, and the same on a
+    scale from -0.5 to 4.5."""
+    mos = 0.6 * clamp(1 + snr / 10, 1.0, 5.0) + 0.4 * clamp(5 - 2 * distance, 1.0, 5.0)
+    return {"snr_db": snr, "distance": distance, "mos": mos, "pesq_like": (mos - 1) / 4 * 5 - 0.5}
+
+
 def recommended(rms_, crossings, centre, flatness_, pitch_, quietest, loudest, frames) -> dict[str, Column]:
     """Suggested settings from a recording's mean features, its quietest and loudest frame, and how many frames it has."""
     speech = (F.col(crossings) < 0.15) & (F.col(pitch_) > 80) & (F.col(pitch_) < 400)
@@ -187,7 +206,7 @@ def recommended(rms_, crossings, centre, flatness_, pitch_, quietest, loudest, f
         "noise_reduction": F.when(noisy, 0.75).when(speech, 0.55).otherwise(0.35),
         "gate_threshold": F.greatest(F.lit(-60.0), -40 - 0.3 * span),
         "ratio": F.when(span > 20, 4.0).when(span > 12, 3.0).otherwise(2.0),
-        "presence_db": F.when(speech, 3).otherwise(1),
+        "eq": F.when(speech, F.array(*map(F.lit, SPEECH_EQ))).otherwise(F.array(*map(F.lit, OTHER_EQ))),
         "voice_isolation": F.when(speech, 0.8).when(music, 0.4).otherwise(0.6),
         "de_ess": F.when(F.col(centre) > 5000, 0.6).when(F.col(centre) > 3000, 0.3).otherwise(0.1),
         "dereverb": F.when(F.col(flatness_) > 0.4, 0.5).otherwise(0.2),

@@ -93,6 +93,28 @@ def toggled(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg((F.count("*") % 2 == 1).alias("on")).where("on").drop("on")
 
 
+def toggled_bands(clicks: DataFrame, key: str, hz: str, rate: float) -> DataFrame:
+    """key, lo and hi of the bands that were clicked an odd number of times. A click at a frequency means the band around it, a
+    twentieth of the rate wide; bands whose rounded ends agree are one."""
+    half = rate / 40
+    bands = clicks.select(key, F.greatest(F.lit(0.0), F.col(hz) - half).alias("lo"), (F.col(hz) + half).alias("hi"))
+    ends = [F.floor(F.col(c) + 0.5).alias(f"__{c}") for c in ("lo", "hi")]
+    on = bands.groupBy(key, *ends).agg(F.min("lo").alias("lo"), F.min("hi").alias("hi"), (F.count("*") % 2 == 1).alias("__on"))
+    return on.where("__on").select(key, "lo", "hi")
+
+
+def muted_bins(bands: DataFrame, key: str, bins: int, step: float) -> DataFrame:
+    """key, k and how many muted bands bin k, at k * step Hz, lies in (lo included, hi not)."""
+    first, last = F.greatest(F.lit(0), F.ceil(F.col("lo") / step)), F.least(F.lit(bins - 1), F.ceil(F.col("hi") / step) - 1)
+    rows = bands.where(first <= last).select(key, F.explode(F.sequence(first, last)).alias("k"))
+    return rows.groupBy(key, "k").agg(F.count("*").alias("bands"))
+
+
+def cached(df: DataFrame, key: str, size: str, most: float, n: int, *order: str) -> DataFrame:
+    """The n newest entries of each cache, of those that aren't too large to be kept."""
+    return newest(df.where(F.col(size) <= most), n, *order, key=key)
+
+
 def missing(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:
     return wanted.join(there, key, "left_anti")
 

@@ -33,6 +33,17 @@ def channel_strip(spark, d):
     return out.select("signal_id", "idx", r("y", 6).alias("y"))
 
 
+_LIVE = [R.biquad_design(kind, hz, q, level, 4000) for kind, hz, q, level in (("highpass", 80.0, 0.7071, 0.0), ("lowpass", 1900.0, 0.7071, 0.0), ("lowshelf", 40, 0.7071, 2.0), ("peaking", 800, 1.0, -3.0), ("peaking", 1500.0, 3.0, -4.0), ("highshelf", 1000.0, 0.7071, 1.5), ("highpass", 120.0, 0.5, 0.0), ("lowpass", 1700.0, 0.5, 0.0))]
+_KEEPS = [math.exp(-1 / (s * 4000)) for s in (0.003, 0.05, 0.001, 0.02)]
+
+
+@query("live_strip", UNIT + _cascade_sql(_LIVE) + _compress_sql("pressed", "filtered", -24.0, 3.0, 6.0, _KEEPS[0], _KEEPS[1], 4.0) + _compress_sql("limited", "pressed", -1.0, 20.0, 0.0, _KEEPS[2], _KEEPS[3], 0.0) + f" SELECT signal_id, idx, round(x * {10 ** (-2.0 / 20) * 0.8!r}::DOUBLE, 6) + 0.0 AS y FROM limited")
+def live_strip(spark, d):
+    bands = [("lowshelf", 40, 2.0, 0.7071), ("peaking", 800, -3.0, 1.0), ("peaking", 1500, 0.0, 1.2), ("highshelf", 10000, 2.0, 0.7071)]
+    out = C.live_strip(unit(spark, d), 4000, high=80.0, low=1900.0, bands=bands, ess=(1500.0, 40.0), tilt=1.5, voice=(120.0, 1700.0), threshold=-24.0, ratio=3.0, knee=6.0, attack=0.003, release=0.05, makeup=4.0, ceiling=-1.0, limit_release=0.02, gain=-2.0, width=80.0, chunk=CUT)
+    return out.select("signal_id", "idx", r("y", 6).alias("y"))
+
+
 @query("noise_reduction")
 def noise_reduction(spark, d):
     out = C.reduce_noise(unit(spark, d), 16, 4, 3, voiced=F.col("f") % 2 == 0)

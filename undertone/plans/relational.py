@@ -144,6 +144,19 @@ def cache_inventory(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("cache")).agg(F.count("*").alias("entries"), r(F.sum("l_extendedprice") / 1048576).alias("total_mb"))
 
 
+@query("result_cache", "SELECT user_id, event_id FROM events WHERE value <= 120 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def result_cache(spark, d):
+    """The five newest entries of each cache that aren't too large (sizes are values here)."""
+    return O.cached(events(spark, d), "user_id", "value", 120.0, 5, "ts", "event_id").select("user_id", "event_id")
+
+
+@query("muted_bands", "WITH k AS (SELECT l_suppkey AS id, greatest(0.0, l_extendedprice % 8000 - 400) AS lo, l_extendedprice % 8000 + 400 AS hi FROM lineitem WHERE l_linenumber = 1), b AS (SELECT id, floor(lo + 0.5)::BIGINT || '-' || floor(hi + 0.5)::BIGINT AS key, min(lo) AS lo, min(hi) AS hi FROM k GROUP BY ALL HAVING count(*) % 2 = 1), f AS (SELECT range AS k, range * 250.0 AS hz FROM range(33)) SELECT id, k, count(*) AS bands FROM b JOIN f ON hz >= lo AND hz < hi GROUP BY ALL")
+def muted_bands(spark, d):
+    """Which of 33 bins (250 Hz each) are in a band that is muted after clicks at frequencies (prices modulo 8 kHz)."""
+    clicks = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("id"), (F.col("l_extendedprice") % 8000).alias("hz"))
+    return O.muted_bins(O.toggled_bands(clicks, "id", "hz", 16_000.0), "id", 33, 250.0)
+
+
 @query("grouped_params", "SELECT c_nationkey, len(list(c_custkey)) AS n, array_to_string(list(c_name ORDER BY c_name), ',') AS members FROM customer GROUP BY c_nationkey")
 def grouped_params(spark, d):
     rows = O.grouped(table(spark, d, "customer"), "c_nationkey", "c_name")

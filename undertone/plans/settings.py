@@ -57,10 +57,21 @@ def auto_tune(spark, d):
     return rows.select("signal_id", *((r(c) if n in ("gate_threshold", "noise_reduction") else c).alias(n) for n, c in found.items()))
 
 
-@query("json_documents")
+#: Every fourth document is wrapped in so many arrays that its values lie too deep.
+_J = "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN repeat('[', 9) || j || repeat(']', 9) ELSE j END AS j FROM (SELECT event_id, '{\"a\":' || props || ',\"a\":[1]}' AS j FROM events)"
+
+
+@query(
+    "json_documents",
+    f"""WITH j AS ({_J}), c AS (SELECT event_id, j, list_transform(range(1, length(j) + 1), lambda i: length(regexp_replace(j[1 : i], '[^\\[{{]', '', 'g')) - length(regexp_replace(j[1 : i], '[^\\]}}]', '', 'g'))) AS level FROM j),
+k AS (SELECT event_id, j, list_max(level)::INT AS depth, regexp_extract_all(j, '\"([^\"]+)\":', 1) AS names FROM c)
+SELECT event_id, depth, depth > 10 AS deep, CASE WHEN depth <= 10 THEN array_to_string(list_sort(list_distinct(list_filter(names, lambda x: len(list_filter(names, lambda y: y = x)) > 1))), ',') END AS repeated FROM k""",
+)
 def json_documents(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.concat(F.lit('{"a":'), F.col("props"), F.lit(',"a":[1]}')).alias("j"))
-    return rows.select("event_id", D.json_depth("j").alias("depth"), D.repeated_keys("j").alias("repeated"))
+    plain = F.concat(F.lit('{"a":'), F.col("props"), F.lit(',"a":[1]}'))
+    j = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("[" * 9), plain, F.lit("]" * 9))).otherwise(plain)
+    found = table(spark, d, "events").select("event_id", D.checked(j).alias("c"))
+    return found.select("event_id", "c.depth", "c.deep", F.array_join("c.repeated", ",").alias("repeated"))
 
 
 @query("allow_listed", "SELECT event_id, CASE WHEN event_type IN ('error', 'signup') THEN event_type || '=' || event_id END AS kept FROM events")

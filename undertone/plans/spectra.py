@@ -218,14 +218,21 @@ def autocorr_pitch(spark, d):
 @query(
     "perceptual_quality",
     S
-    + ", c AS (SELECT f, i, v, CASE WHEN abs(v) < 0.05 THEN 0.0 ELSE v END AS u, signal_id FROM e), n AS (SELECT signal_id, f, 10 * log10(sum(v * v) / (sum((v - u) * (v - u)) + 1e-10)) AS snr FROM c GROUP BY ALL) SELECT signal_id, f, round(snr, 4) + 0.0 AS snr_db, round(least(5.0, greatest(1.0, 1 + snr / 10)), 4) AS snr_mos FROM n",
+    + """, c AS (SELECT f, i, v, CASE WHEN abs(v) < 0.05 THEN 0.0 ELSE v END AS u, signal_id FROM e), n AS (SELECT signal_id, f, 10 * log10(sum(v * v) / (sum((v - u) * (v - u)) + 1e-10)) AS snr FROM c GROUP BY ALL),
+w2 AS (SELECT signal_id, f, k, sum(u * (0.5 - 0.5 * cos(2 * pi() * i / 63)) * cos(2 * pi() * k * i / 64)) AS re, sum(u * (0.5 - 0.5 * cos(2 * pi() * i / 63)) * sin(2 * pi() * k * i / 64)) AS im FROM c, k GROUP BY ALL),
+t AS (SELECT w2.signal_id, w2.f, sqrt(avg((ln(greatest(p.p, 1e-6)) - ln(greatest(re * re + im * im, 1e-6))) ** 2)) AS distance FROM w2 JOIN p ON p.signal_id = w2.signal_id AND p.f = w2.f AND p.k = w2.k GROUP BY ALL),
+o AS (SELECT signal_id, f, snr, distance, least(5.0, greatest(1.0, 1 + snr / 10)) AS a, least(5.0, greatest(1.0, 5 - 2 * distance)) AS b FROM n JOIN t USING (signal_id, f))
+SELECT signal_id, f, round(snr, 4) + 0.0 AS snr_db, round(distance, 4) AS distance, round(0.6 * a + 0.4 * b, 4) AS mos, round((0.6 * a + 0.4 * b - 1) / 4 * 5 - 0.5, 4) + 0.0 AS pesq_like FROM o""",
 )
 def perceptual_quality(spark, d):
+    """Frames against themselves without their quiet samples; powers under 1e-6 are silence."""
     kept = F.transform("samples", lambda v: F.when(F.abs(v) < 0.05, 0.0).otherwise(v))
     fold = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
     rows = frames(spark, d).withColumn("u", kept).withColumn("e", F.zip_with("samples", "u", lambda a, b: a - b))
+    rows = O.per_frame(O.per_frame(rows, K.power, ("power",)), K.power, ("shaped",), column="u")
     snr = 10 * F.log10(fold("samples") / (fold("e") + 1e-10))
-    return rows.select("signal_id", "f", r(snr).alias("snr_db"), r(P.clamp(1 + snr / 10, 1.0, 5.0)).alias("snr_mos"))
+    found = L.perceptual(snr, L.log_distance("power", "shaped", 1e-6))
+    return rows.select("signal_id", "f", *(r(c).alias(n) for n, c in found.items()))
 
 
 @query("bucket_mean_pool", "WITH e AS (SELECT label::BIGINT AS signal_id, vec_id AS f, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), p AS (SELECT signal_id, f, i // 2 AS b, avg(v) AS m FROM e GROUP BY ALL), n AS (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY signal_id, f)) AS norm FROM p) SELECT signal_id, f, b, round(m / norm, 5) + 0.0 AS y FROM n")
@@ -343,18 +350,19 @@ q AS (SELECT a.signal_id, a.f, b.i - a.i AS lag, round(sum(a.v * b.v), 9) AS s F
 h AS (SELECT signal_id, f, CASE WHEN max(s) > 0 THEN 4000.0 / arg_min(lag, (-s, lag)) END AS pitch FROM q GROUP BY ALL),
 g AS (SELECT t.signal_id, avg(rms) AS rms, min(rms) AS lo, max(rms) AS hi, avg(crossings) AS crossings, avg(centre) AS centre, avg(flat) AS flat, coalesce(avg(pitch), 0) AS pitch, count(*) AS n FROM t JOIN z USING (signal_id, f) JOIN c USING (signal_id, f) JOIN h USING (signal_id, f) GROUP BY t.signal_id),
 o AS (SELECT *, crossings < 0.15 AND pitch > 80 AND pitch < 400 AS speech, flat < 0.2 AND centre > 2000 AS music, flat > 0.6 AS noisy, CASE WHEN hi > 0 THEN 20 * log10(hi / (lo + 1e-10)) ELSE 0 END AS span FROM g)
-SELECT signal_id, CASE WHEN noisy THEN 0.75 WHEN speech THEN 0.55 ELSE 0.35 END::DOUBLE AS noise_reduction, round(greatest(-60.0, -40 - 0.3 * span), 4)::DOUBLE AS gate_threshold, CASE WHEN span > 20 THEN 4.0 WHEN span > 12 THEN 3.0 ELSE 2.0 END::DOUBLE AS ratio, CASE WHEN speech THEN 3 ELSE 1 END AS presence_db, CASE WHEN speech THEN 0.8 WHEN music THEN 0.4 ELSE 0.6 END::DOUBLE AS voice_isolation, CASE WHEN centre > 5000 THEN 0.6 WHEN centre > 3000 THEN 0.3 ELSE 0.1 END::DOUBLE AS de_ess, CASE WHEN flat > 0.4 THEN 0.5 ELSE 0.2 END::DOUBLE AS dereverb, CASE WHEN speech THEN 0.4 ELSE 0.1 END::DOUBLE AS harmonics, round(least(6.0, -20 - 20 * log10(rms + 1e-10)), 4)::DOUBLE AS gain_db, round(least(0.95, 0.5 + n / 100.0 * 0.3 + CASE WHEN speech THEN 0.15 ELSE 0 END), 4)::DOUBLE AS confidence FROM o""",
+SELECT * EXCLUDE (eq), array_to_string(eq, ',') AS eq FROM (SELECT signal_id, CASE WHEN noisy THEN 0.75 WHEN speech THEN 0.55 ELSE 0.35 END::DOUBLE AS noise_reduction, round(greatest(-60.0, -40 - 0.3 * span), 4)::DOUBLE AS gate_threshold, CASE WHEN span > 20 THEN 4.0 WHEN span > 12 THEN 3.0 ELSE 2.0 END::DOUBLE AS ratio, CASE WHEN speech THEN [-3, -2, 0, 1, 2, 3, 2, 1, 0, -2] ELSE [0, 2, 1, 0, 0, 1, 0, -1, -2, -2] END AS eq, CASE WHEN speech THEN 0.8 WHEN music THEN 0.4 ELSE 0.6 END::DOUBLE AS voice_isolation, CASE WHEN centre > 5000 THEN 0.6 WHEN centre > 3000 THEN 0.3 ELSE 0.1 END::DOUBLE AS de_ess, CASE WHEN flat > 0.4 THEN 0.5 ELSE 0.2 END::DOUBLE AS dereverb, CASE WHEN speech THEN 0.4 ELSE 0.1 END::DOUBLE AS harmonics, round(least(6.0, -20 - 20 * log10(rms + 1e-10)), 4)::DOUBLE AS gain_db, round(least(0.95, 0.5 + n / 100.0 * 0.3 + CASE WHEN speech THEN 0.15 ELSE 0 END), 4)::DOUBLE AS confidence FROM o)""",
 )
 def auto_tune_features(spark, d):
     """Settings from features of all frames of a recording."""
     x = F.col("samples")
     n = F.size(x)
     flips = F.aggregate(F.zip_with(F.slice(x, F.lit(1), n - 1), F.slice(x, F.lit(2), n - 1), lambda a, b: ((a >= 0) != (b >= 0)).cast("double")), F.lit(0.0), lambda a, v: a + v)
-    rows = powers(spark, d).withColumns({"rms": F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / n), "crossings": flips / n, "centre": O.centroid(_TUNE_SR, silent=0.0), "pitch": O.pitch(_TUNE_SR, 125.0, 500.0)})
+    rows = powers(spark, d).withColumns({"rms": F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / n), "crossings": flips / n, "centre": O.centroid(_TUNE_SR, silent=0.0), "pitch": O.pitch(_TUNE_SR, 80.0, 500.0, longest=0.5)})
     logs = F.exp(F.aggregate("power", F.lit(0.0), lambda a, v: a + F.ln(F.greatest(v, F.lit(1e-10)))) / F.size("power"))
     rows = rows.withColumn("flat", logs / (F.aggregate("power", F.lit(0.0), lambda a, v: a + v) / F.size("power") + 1e-10))
     means = rows.groupBy("signal_id").agg(*(F.avg(c).alias(c) for c in ("rms", "crossings", "centre", "flat")), F.coalesce(F.avg("pitch"), F.lit(0.0)).alias("pitch"), F.min("rms").alias("lo"), F.max("rms").alias("hi"), F.count("*").alias("n"))
     found = L.recommended("rms", "crossings", "centre", "flat", "pitch", "lo", "hi", "n")
+    found["eq"] = F.array_join(F.transform(found["eq"], lambda v: v.cast("string")), ",")
     return means.select("signal_id", *((r(c) if k in ("gate_threshold", "gain_db", "confidence") else c).alias(k) for k, c in found.items()))
 
 
