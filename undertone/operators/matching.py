@@ -1,7 +1,8 @@
 """Similarity and correlation: nearest profiles, positional and interval joins, clustering.
 
-Profiles are a query set of checked size: they are collected up to a bound and compared in blocks of
-numpy against every row in one narrow pass; beyond the bound they are taken in several blocks."""
+Profiles are a query set of checked size: they are collected in blocks up to a bound, and every row looks its best one up in
+one narrow pass. A block is an index of cells around pivots: the angle between a row and a pivot, less the cell's radius, bounds how
+similar anything in the cell can be, so most cells are skipped, and the answer is the same."""
 
 from __future__ import annotations
 
@@ -32,9 +33,9 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias(vector))
 
 
-def best_match(df: DataFrame, profiles: DataFrame, *, id="id", vector="v", name="name", least: float = -2.0, centred: bool = False) -> DataFrame:
+def best_match(df: DataFrame, profiles: DataFrame, *, id="id", vector="v", name="name", least: float = -2.0, centred: bool = False, count=None) -> DataFrame:
     """id, name, score: the most similar profile (cosine; or correlation of centred vectors), the first by name on ties, null
-    under a threshold."""
+    under a threshold. count: an accumulator of the pairs that were compared, of rows times profiles."""
     spark = df.sparkSession
     n = profiles.count()
     blocks = max(1, -(-n // BLOCK))
@@ -47,17 +48,18 @@ def best_match(df: DataFrame, profiles: DataFrame, *, id="id", vector="v", name=
         if not rows:
             continue
         matrix = np.array([r[1] for r in rows], float)
-        shipped = spark.sparkContext.broadcast(([r[0] for r in rows], _unit(matrix - matrix.mean(1, keepdims=True) if centred else matrix)))
+        shipped = spark.sparkContext.broadcast(([r[0] for r in rows], Cells(_unit(matrix - matrix.mean(1, keepdims=True) if centred else matrix))))
 
         def run(batches, shipped=shipped):
             names, known = shipped.value
             for batch in batches:
                 if batch.num_rows:
                     x = np.array(batch.column("v").to_pylist(), float)
-                    s = np.round(_unit(x - x.mean(1, keepdims=True) if centred else x) @ known.T, 12)
-                    top = s.argmax(1)
+                    top, s, compared = known.nearest(_unit(x - x.mean(1, keepdims=True) if centred else x))
+                    if count is not None:
+                        count.add(compared)
                     best = []  # of the blocks so far, row by row
-                    for t, now, before, score in zip(top, s[np.arange(len(top)), top].tolist(), batch.column("name").to_pylist(), batch.column("score").to_pylist(), strict=True):
+                    for t, now, before, score in zip(top, s.tolist(), batch.column("name").to_pylist(), batch.column("score").to_pylist(), strict=True):
                         best.append((names[t], now) if score is None or now > score or (now == score and names[t] < before) else (before, score))
                     yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array([n for n, _ in best], batch.schema.field("name").type), pa.array([s for _, s in best], pa.float64())], ["id", "v", "name", "score"])
 
@@ -65,6 +67,47 @@ def best_match(df: DataFrame, profiles: DataFrame, *, id="id", vector="v", name=
     return out.select("id", F.when(F.col("score") >= least, F.col("name")).alias("name"), "score")
 
 
+class Cells:
+    """Unit vectors in cells around some of them, and zero vectors, whose similarity to anything is 0, in one more."""
+
+    def __init__(self, known: np.ndarray):
+        zero = np.abs(known).sum(1) == 0
+        units = np.flatnonzero(~zero)
+        n, pivots = max(1, round(len(units) ** 0.5)) if len(units) else 0, [*units[:1]]
+        away = np.where(zero, 3.0, -2.0)  # each vector's similarity to its nearest pivot
+        while len(pivots) < n:  # the next pivot is the vector that is farthest from all
+            away = np.maximum(away, known @ known[pivots[-1]])
+            pivots.append(int(away.argmin()))
+        self.pivots = known[pivots]
+        similar = known[units] @ self.pivots.T
+        own = similar.argmax(1) if n else np.zeros(0, np.int64)
+        angle = np.arccos(np.clip(similar[np.arange(len(units)), own], -1, 1))
+        self.radius = np.array([angle[own == c].max(initial=0.0) for c in range(n)])
+        self.members = [*(units[own == c] for c in range(n)), np.flatnonzero(zero)]
+        self.known = [known[m] for m in self.members]
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The first of the most similar vectors to each row, its similarity (to 12 digits), and how many pairs were compared."""
+        angle = np.arccos(np.clip(x @ self.pivots.T, -1, 1))
+        bound = np.cos(np.maximum(0.0, angle - self.radius)) + 1e-9
+        bound[np.abs(x).sum(1) == 0] = 0.0
+        bound = np.concatenate([bound, np.zeros((len(x), 1))], axis=1)
+        bound[:, [not len(m) for m in self.members]] = -3.0
+        top, score, compared = np.full(len(x), -1), np.full(len(x), -3.0), 0
+        first = bound.argmax(1)
+        for turn in (0, 1):  # each row's most promising cell, then what that leaves open
+            for c, members in enumerate(self.members):
+                rows = np.flatnonzero(first == c if turn == 0 else (first != c) & (bound[:, c] >= score))
+                if len(rows) and len(members):
+                    s = np.round(x[rows] @ self.known[c].T, 12)
+                    at = s.argmax(1)
+                    now, who = s[np.arange(len(rows)), at], members[at]
+                    better = (now > score[rows]) | ((now == score[rows]) & (who < top[rows]))
+                    top[rows[better]], score[rows[better]] = who[better], now[better]
+                    compared += s.size
+        return top, score, compared
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)

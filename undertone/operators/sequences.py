@@ -167,24 +167,29 @@ def gate_ahead(df: DataFrame, threshold: float, closed: float, *, look: int, hol
     return df.join(level, [key, order]).withColumn("y", late * gain).drop("__env")
 
 
-def lagged_correlation(left: DataFrame, right: DataFrame, most: int, *, key=KEY, order=ORDER, x=X) -> DataFrame:
+def lagged_correlation(left: DataFrame, right: DataFrame, most: int, *, chunk: int = chunked.CHUNK, key=KEY, order=ORDER, x=X) -> DataFrame:
     """key, lag, score: the lag within +-most that correlates best, the smallest on ties; both signals from order 0 on, without
-    gaps. A signal's two sides meet in one task, which correlates them by Fourier transforms."""
+    gaps. A chunk of the left side meets the part of the right side that its lags reach, and correlates by Fourier
+    transforms; the chunks' products are added up by lag, so neither signal has to fit in a task."""
     kind = left.schema[key].dataType.simpleString()
+    at = F.col(order)
+    own = left.select(key, order, F.col(x).cast("double").alias("v"), F.floor(at / chunk).alias("chunk"))
+    reach = F.sequence(F.greatest(F.lit(0), F.floor((at - most) / chunk)), F.floor((at + most) / chunk))
+    other = right.select(key, order, F.col(x).cast("double").alias("v"), F.explode(reach).alias("chunk"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        u, v = (t.sort_by(order).column(x).to_numpy().astype(float) for t in (a, b))
-        lags = np.arange(-min(most, len(u) - 1), min(most, len(v) - 1) + 1)
-        names = [key, "lag", "score"]
-        if not len(u) or not len(v) or not len(lags):
-            return pa.table([pa.array([], a.schema.field(key).type), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+        (i, u), (j, v) = ((t.column(order).to_numpy(), t.column("v").to_numpy()) for t in (a.sort_by(order), b.sort_by(order)))
+        lags = np.arange(max(-most, j[0] - i[-1]), min(most, j[-1] - i[0]) + 1) if len(u) and len(v) else np.zeros(0, np.int64)
+        if not len(lags):
+            return pa.table([pa.array([], a.schema.field(key).type), pa.array([], pa.int64()), pa.array([], pa.float64())], [key, "lag", "score"])
         n = 1 << (len(u) + len(v)).bit_length()
-        score = np.round(np.fft.irfft(np.conj(np.fft.rfft(u, n)) * np.fft.rfft(v, n), n)[lags], 6) + 0.0
-        best = int(score.argmax())
-        return pa.table([a.column(key).slice(0, 1), pa.array([int(lags[best])]), pa.array([float(score[best])])], names)
+        score = np.fft.irfft(np.conj(np.fft.rfft(u, n)) * np.fft.rfft(v, n), n)[lags - int(j[0] - i[0])]
+        return pa.table([pa.array([a.column(key)[0].as_py()] * len(lags), a.schema.field(key).type), pa.array(lags.astype(np.int64)), pa.array(score)], [key, "lag", "score"])
 
-    sides = [t.select(key, order, x).groupBy(key) for t in (left, right)]
-    return sides[0].cogroup(sides[1]).applyInArrow(run, f"{key} {kind}, lag bigint, score double")
+    parts = own.groupBy(key, "chunk").cogroup(other.groupBy(key, "chunk")).applyInArrow(run, f"{key} {kind}, lag bigint, score double")
+    scores = parts.groupBy(key, "lag").agg((F.round(F.sum("score"), 6) + 0.0).alias("score"))
+    best = scores.groupBy(key).agg(F.max(F.struct("score", (-F.col("lag")).alias("minus"))).alias("b"))
+    return best.select(key, (-F.col("b.minus")).alias("lag"), F.col("b.score").alias("score"))
 
 
 def numbered(df: DataFrame, *by, name: str = "place") -> DataFrame:

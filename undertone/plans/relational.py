@@ -13,8 +13,10 @@ from undertone.operators import sequences as S
 from undertone.operators import stores as O
 from undertone.plans.registry import query
 from undertone.plans.signals import SIG, UNIT, r, unit
+from undertone.sources import bundles
 from undertone.sources.tables import signals, table
-from undertone.sources.wav import media_kind
+from undertone.sources.wav import media_kind, to_wav
+from undertone.sources.work import work_folder
 
 
 def events(spark, d):
@@ -245,6 +247,25 @@ def noise_profile_match(spark, d):
     return M.best_match(e, M.centroids(e, "label", "v"), id="vec_id", name="label", centred=True).withColumn("score", r("score", 6))
 
 
+@query("nearest_profile", "WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), q AS (SELECT vec_id AS id, 63 - i AS i, v FROM e), n AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM e GROUP BY vec_id), s AS (SELECT q.id, e.vec_id, round(sum(q.v * e.v) / any_value(a.n) / any_value(b.n), 12) AS score FROM q JOIN e USING (i) JOIN n a ON a.vec_id = q.id JOIN n b ON b.vec_id = e.vec_id GROUP BY ALL) SELECT id, arg_min(vec_id, (-score, vec_id)) AS name, round(max(score), 6) AS score FROM s GROUP BY id")
+def nearest_profile(spark, d):
+    """Of all embeddings as a library, the one most similar to each embedding read backwards."""
+    e = _embeddings(spark, d)
+    turned = e.select(F.col("vec_id").alias("id"), F.reverse("v").alias("v"))
+    return M.best_match(turned, e.select(F.col("vec_id").alias("name"), "v")).withColumn("score", r("score", 6))
+
+
+@query("wav_bundles", UNIT + " SELECT signal_id, idx, round(floor(greatest(-1.0, least(1.0, x)) * 32767 + 0.5) / 32768, 8) AS y FROM u")
+def wav_bundles(spark, d):
+    """Signals as WAV files in one archive for each task, read back by ranges of 64 samples."""
+    packed = unit(spark, d).groupBy("signal_id").agg(F.array(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda s: s["x"])).alias("channels"))
+    folder = work_folder(spark)
+    bundles.register(spark)
+    to_wav(packed.withColumn("sr", F.lit(8000))).select(F.col("signal_id").cast("string").alias("name"), "wav").write.format("wav_bundle").mode("append").option("path", folder).save()
+    rows = spark.read.format("wav_ranges").option("path", folder).option("frames", 64).load()
+    return rows.select(F.regexp_extract("file", r"!(\d+)\.wav$", 1).cast("bigint").alias("signal_id"), "idx", r("x", 8).alias("y"))
+
+
 @query("cosine_to_centroid", _CEN + " SELECT s.vec_id, round(s.score, 6) AS cosine FROM s JOIN embeddings m ON m.vec_id = s.vec_id AND m.label = s.label")
 def cosine_to_centroid(spark, d):
     e = _embeddings(spark, d)
@@ -401,7 +422,7 @@ def wav_round_trip(spark, d):
 def _through_wav(spark, d, symmetric=True):
     import pyarrow as pa
 
-    from undertone.sources.wav import decode, to_wav
+    from undertone.sources.wav import decode
 
     packed = unit(spark, d).groupBy("signal_id").agg(F.array(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda s: s["x"])).alias("channels"))
 

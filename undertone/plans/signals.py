@@ -410,7 +410,7 @@ def xcorr_lag(spark, d):
 
     rows = ordered(table(spark, d, "lineitem").withColumnRenamed("l_partkey", "signal_id"), "signal_id", "l_shipdate", "l_orderkey", "l_linenumber")
     a, b = rows.select("signal_id", "idx", F.col("l_quantity").alias("x")), rows.select("signal_id", "idx", (F.col("l_discount") * 100).alias("x"))
-    return S.lagged_correlation(a, b, 3)
+    return S.lagged_correlation(a, b, 3, chunk=CUT)
 
 
 @query("feature_mean_std", UNIT + ", p AS (SELECT signal_id, idx // 8 AS b, sqrt(avg(x * x)) AS r FROM u GROUP BY ALL) SELECT signal_id, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std FROM p GROUP BY signal_id")

@@ -29,30 +29,37 @@ def media_kind(name: Column, mime: Column | None = None) -> Column:
     return F.when(midi, None).when(mime.isin(*VIDEO_TYPES) | ext.isin(*VIDEO_EXTENSIONS), "video").when(mime.isin(*AUDIO_TYPES) | ext.isin(*AUDIO_EXTENSIONS), "audio")
 
 
-def decode(data: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and samples (channels x length) in [-1, 1]."""
+def layout(data: bytes) -> tuple[int, int, int, int, int, int]:
+    """Kind of samples, bits, channels, rate, and where the samples begin and how many bytes they have, from a file's beginning."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
-    at, spec, body = 12, None, None
+    at, spec = 12, None
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if name == b"fmt ":
             spec = struct.unpack_from("<HHIIHH", data, at + 8)
-        elif name == b"data":
-            body = data[at + 8 : at + 8 + size]
+        elif name == b"data" and spec is not None and size:
+            kind, channels, rate, _, _, bits = spec
+            return kind, bits, channels, rate, at + 8, size
         at += 8 + size + size % 2
-    if spec is None or not body:
-        raise ValueError("no audio in file")
-    kind, channels, rate, _, _, bits = spec
+    raise ValueError("no audio in file")
+
+
+def samples(body: bytes, kind: int, bits: int) -> np.ndarray:
     if kind == 3 and bits == 32:
-        x = np.frombuffer(body, "<f4").astype(float)
-    elif bits == 24:
+        return np.frombuffer(body, "<f4").astype(float)
+    if bits == 24:
         raw = np.frombuffer(body[: len(body) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8) / 2**23
-    elif bits in (16, 32):
-        x = np.frombuffer(body, f"<i{bits // 8}") / 2.0 ** (bits - 1)
-    else:
-        raise ValueError(f"{bits} bits of kind {kind} can't be read")
+        return ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8) / 2**23
+    if bits in (16, 32):
+        return np.frombuffer(body, f"<i{bits // 8}") / 2.0 ** (bits - 1)
+    raise ValueError(f"{bits} bits of kind {kind} can't be read")
+
+
+def decode(data: bytes) -> tuple[int, np.ndarray]:
+    """Sample rate and samples (channels x length) in [-1, 1]."""
+    kind, bits, channels, rate, at, size = layout(data)
+    x = samples(data[at : at + size], kind, bits)
     return rate, x[: len(x) // channels * channels].reshape(-1, channels).T
 
 
