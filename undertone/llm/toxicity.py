@@ -36,11 +36,11 @@ from undertone.llm.words import NOT_LETTER, U64, Lookup, words_of
 
 THRESHOLD = 0.7
 MOST_POSITIVE, MOST_UNLABELLED, MOST_CHECKED = 4_000, 8_000, 4_000
-MOST_WORDS = 400
+MOST_WORDS = 2_000
 #: A word must be in this many toxic examples, in this share of them, and stand this many standard
 #: deviations above what its share among the unlabelled leads to expect.
 LEAST_DOCS, LEAST_SHARE, LEAST_DEVIATIONS = 4, 0.004, 5.0
-WEIGHT_DECAY, STEPS, RATE = 1e-3, 300, 0.1
+WEIGHT_DECAY, STEPS, RATE = 1e-3, 600, 0.1
 
 
 @dataclass
