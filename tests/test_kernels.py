@@ -252,3 +252,104 @@ def test_recordings_are_clustered_apart(spark):
     for s, k in ((1, 2), (2, 3)):
         of = {r.f: r.label for r in got if r.signal_id == s}
         assert all(len({of[f] for f in range(a, a + 10)}) == 1 for a in range(0, 60, 10)) or k == 2
+
+
+def _frames(seed, n=14, bins=33):
+    rng = np.random.default_rng(seed)
+    return np.abs(rng.normal(size=(n, bins))) * rng.choice([0.02, 1.0], (n, 1))
+
+
+def test_erb_gate_against_loops():
+    mag, sr, hop = _frames(1), 16_000.0, 64
+    want, floor, keep = mag.tolist(), 10 ** (-6 / 20), math.exp(-hop / (sr * 0.06))
+    bands, before = K.erb_bands(32, sr, 33), [1.0] * 32
+    for row in want:
+        for b, (lo, hi) in enumerate(bands):
+            level = math.sqrt(sum(v * v for v in row[lo : hi + 1]) / (hi - lo + 1))
+            ratio = level / (floor + 1e-10)
+            knee = min(1.0, max(0.0, (math.log2(ratio) + 1) / 2)) if ratio > 0 else 0.0
+            smooth = knee * knee * (3 - 2 * knee)
+            gain = 1.0 if ratio >= 2 else ratio * (1 - smooth) + smooth if ratio > 0.5 else ratio
+            before[b] = keep * before[b] + (1 - keep) * gain
+            for k in range(lo, hi + 1):
+                row[k] *= before[b]
+    assert np.allclose(K.erb_gate(mag, -6, sr, hop), want) and not np.allclose(mag, want)
+
+
+def test_minimum_floor_and_adaptive_wiener_against_loops():
+    mag, quiet = _frames(2, 30, 5), [i % 4 != 1 for i in range(30)]
+    keep, length = math.exp(-1 / 10), 2
+    got = K.minimum_floor(mag, np.array(quiet), 10)
+    for k in range(5):
+        average = low = None
+        held, at, age = [], 0, 0
+        for f in range(30):
+            v = float(mag[f, k])
+            if quiet[f] and average is None:
+                average, low, held = v, v, [v] * 5
+            elif quiet[f]:
+                average = keep * average + (1 - keep) * v
+                low, age = min(low, average), age + 1
+                if age >= length:
+                    held[at % 5], at, low, age = low, at + 1, average, 0
+            assert got[f, k] == pytest.approx(min(held) if held else 0.0)
+    conf = np.array([0.0 if q else 0.9 for q in quiet])
+    out = K.adaptive_wiener(mag, conf, 1.2, 0.02, 10)
+    for f in range(30):
+        for k in range(5):
+            snr = mag[f, k] ** 2 / max(1.2 * got[f, k] ** 2, 1e-12)
+            gain = min(1.0, max(0.02, snr / (snr + 1)))
+            assert out[f, k] == pytest.approx(mag[f, k] * (conf[f] + (1 - conf[f]) * gain))
+
+
+def test_mcra_against_loops():
+    mag = _frames(3, 200, 4)
+    got = K.mcra(mag, window=20)
+    for k in range(4):
+        p = [float(v) ** 2 for v in mag[:, k]]
+        noise = level = p[0]
+        presence, levels = 0.0, []
+        for v in p:
+            level = 0.9 * level + 0.1 * v
+            levels.append(level)
+            presence = 0.9 * presence + 0.1 * (level / (min(levels[-20:]) + 1e-10) > 5.0)
+            k_ = 0.92 + 0.08 * presence
+            noise = k_ * noise + (1 - k_) * v
+        assert got[k] == pytest.approx(math.sqrt(noise))
+
+
+def test_shifted_formants_against_loops():
+    mag = _frames(4, 3, 40) + 0.01
+    got, factor = K.shift_formants(mag, 3.0, 4), 2 ** (3 / 12)
+    for f in range(3):
+        logs = [math.log(v) for v in mag[f]]
+        env = [sum(logs[max(0, k - 4) : k + 5]) / len(logs[max(0, k - 4) : k + 5]) for k in range(40)]
+        for k in range(40):
+            at = k / factor
+            lo = int(at)
+            warped = env[lo] + (at - lo) * (env[min(lo + 1, 39)] - env[lo])
+            assert got[f, k] == pytest.approx(math.exp(warped + logs[k] - env[k]))
+
+
+def test_mfcc_and_fingerprint_against_loops():
+    p, sr = _frames(5, 9, 33) ** 2, 16_000.0
+    mel = lambda hz: 2595 * math.log10(1 + hz / 700)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [math.floor(65 * hz(mel(sr / 2) * i / 41) / sr) for i in range(42)]
+    rows = []
+    for frame in p:
+        energies = []
+        for a, b, c in zip(edges, edges[1:], edges[2:]):
+            total = sum(frame[k] * (k - a) / (b - a) for k in range(a, b)) + sum(frame[k] * (c - k) / (c - b) for k in range(b, c) if k < 33)
+            energies.append(math.log(max(total, 1e-10)))
+        rows.append([sum(e * math.cos(math.pi * n * (j + 0.5) / 40) for j, e in enumerate(energies)) for n in range(13)])
+    assert np.allclose(K.mfcc(p, sr), rows)
+    slope = lambda x: [[sum(n * (x[min(t + n, len(x) - 1)][i] - x[max(t - n, 0)][i]) for n in (1, 2)) / 10 for i in range(13)] for t in range(len(x))]
+    first = slope(rows)
+    joined = [a + b + c for a, b, c in zip(rows, first, slope(first))]
+    mean = [sum(r[i] for r in joined) / 9 for i in range(39)]
+    spread = [math.sqrt(sum((r[i] - mean[i]) ** 2 for r in joined) / 9) for i in range(39)]
+    values = mean + spread
+    pooled = [(values[2 * i] + values[2 * i + 1]) / 2 for i in range(39)] + [0.0] * 25
+    norm = math.sqrt(sum(v * v for v in pooled))
+    assert np.allclose(K.fingerprint(p, sr), [v / norm for v in pooled])
