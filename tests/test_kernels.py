@@ -353,3 +353,22 @@ def test_mfcc_and_fingerprint_against_loops():
     pooled = [(values[2 * i] + values[2 * i + 1]) / 2 for i in range(39)] + [0.0] * 25
     norm = math.sqrt(sum(v * v for v in pooled))
     assert np.allclose(K.fingerprint(p, sr), [v / norm for v in pooled])
+
+
+def test_boosted_peaks_against_a_loop():
+    mag = _frames(6, 20, 33)
+    want = mag.tolist()
+    for row in want:
+        for k in range(2, 31):
+            if all(row[k] > row[k + j] for j in (-2, -1, 1, 2)):
+                row[k] *= 1.3
+    assert np.allclose(K.boost_peaks(mag, 1.3), want) and not np.allclose(mag, want)
+
+
+def test_saved_sessions(spark):
+    from undertone.functions import text as T
+
+    texts = ['{"params":{"a":1,"b":"x","c":2.5},"meta":{"tab":"t"},"savedAt":1}', '{"params":{}}', '{"params":[1]}', '{"params":3}', '{"meta":{}}', "{", "", None, '{"params":{"a":1}'. strip()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, j string").select("i", T.saved_session("j").alias("s")).orderBy("i").collect()
+    assert rows[0].s.params == {"a": 1.0, "b": None, "c": 2.5} and rows[0].s.meta == {"tab": "t"}
+    assert rows[1].s.params == {} and rows[1].s.meta == {} and all(r.s is None for r in rows[2:])

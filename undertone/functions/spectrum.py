@@ -233,6 +233,16 @@ def enhance_harmonics(mag: np.ndarray, amount: float, sr: float, *, breath: floa
     return np.where(np.isfinite(out) & (out >= 0), out, 0.0)
 
 
+def boost_peaks(mag: np.ndarray, boost: float) -> np.ndarray:
+    """Bins over two neighbours on either side are boosted, from the low bins up; those below have been boosted already. The first and
+    the last two bins stay."""
+    out = mag.copy()
+    for k in range(2, mag.shape[1] - 2):
+        top = np.all([out[:, k] > out[:, k + j] for j in (-2, -1, 1, 2)], axis=0)
+        out[:, k] = np.where(top, out[:, k] * boost, out[:, k])
+    return out
+
+
 def poly_harmonics(mag: np.ndarray, amount: float, orders: int = 4) -> np.ndarray:
     """Powers of a bin added to it, to twice the bin at most, below 85 % of the bins."""
     m = np.minimum(mag, 1)

@@ -101,3 +101,14 @@ def canonical(key, aliases=None) -> Column:
 
 def palette_slot(first_seen_rank, colours: int = 8) -> Column:
     return F.pmod(_c(first_seen_rank) - 1, F.lit(colours))
+
+
+def saved_session(column) -> Column:
+    """A saved session as a struct of params (name to number) and meta (name to text, empty if there is none); null for what is
+    malformed or has no object of params. Params that aren't numbers are null."""
+    kind = "struct<params: map<string,string>, meta: map<string,string>>"
+    parsed = F.from_json(column, kind, {"mode": "PERMISSIVE"})
+    shape = F.get_json_object(column, "$.params")
+    params = F.transform_values(parsed["params"], lambda k, v: v.try_cast("double"))
+    meta = F.coalesce(parsed["meta"], F.create_map().cast("map<string,string>"))
+    return F.when(F.get_json_object(column, "$").isNotNull() & shape.startswith("{") & parsed["params"].isNotNull(), F.struct(params.alias("params"), meta.alias("meta")))

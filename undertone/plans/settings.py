@@ -74,6 +74,18 @@ def json_documents(spark, d):
     return found.select("event_id", "c.depth", "c.deep", F.array_join("c.repeated", ",").alias("repeated"))
 
 
+#: Saved sessions made of events: every fifth is cut off, every seventh has a number for its settings, every eleventh no meta.
+_SAVED = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN left(j, length(j) - 1) ELSE j END AS j FROM (SELECT event_id, '{\"params\":' || CASE WHEN event_id % 7 = 0 THEN '3' ELSE '{\"gain\":' || event_id % 40 || ',\"mode\":' || user_id || '}' END || CASE WHEN event_id % 11 = 0 THEN '' ELSE ',\"meta\":{\"tab\":\"' || event_type || '\"}' END || ',\"savedAt\":' || event_id || '}' AS j FROM events)"
+
+
+@query("saved_sessions", "SELECT event_id, CASE WHEN event_id % 5 > 0 AND event_id % 7 > 0 THEN (event_id % 40)::DOUBLE END AS gain, CASE WHEN event_id % 5 > 0 AND event_id % 7 > 0 AND event_id % 11 > 0 THEN event_type END AS tab, event_id % 5 > 0 AND event_id % 7 > 0 AS loaded FROM events")
+def saved_sessions(spark, d):
+    table(spark, d, "events").createOrReplaceTempView("undertone_saved")
+    rows = spark.sql(_SAVED.replace("FROM events", "FROM undertone_saved"))
+    found = rows.select("event_id", T.saved_session("j").alias("s"))
+    return found.select("event_id", F.col("s.params")["gain"].alias("gain"), F.col("s.meta")["tab"].alias("tab"), F.col("s").isNotNull().alias("loaded"))
+
+
 @query("allow_listed", "SELECT event_id, CASE WHEN event_type IN ('error', 'signup') THEN event_type || '=' || event_id END AS kept FROM events")
 def allow_listed(spark, d):
     m = T.allowed(F.create_map("event_type", F.concat_ws("=", "event_type", F.col("event_id").cast("string"))), ["error", "signup"])

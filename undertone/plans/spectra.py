@@ -183,14 +183,9 @@ def vad_attenuation(spark, d):
     return rows.select("signal_id", "f", F.col("k").cast("bigint").alias("k"), r(F.col("m") * P.vad_attenuation("c", 0.7), 5).alias("y"))
 
 
-@query("harmonic_peaks", S + ", n AS (SELECT *, lag(m) OVER w AS a, lag(m, 2) OVER w AS b, lead(m) OVER w AS c, lead(m, 2) OVER w AS d FROM m WINDOW w AS (PARTITION BY signal_id, f ORDER BY k)) SELECT signal_id, f, k, round(CASE WHEN m > a AND m > b AND m > c AND m > d THEN m * 1.3 ELSE m END, 5) AS y FROM n")
+@query("harmonic_peaks", S.replace("WITH e", "WITH RECURSIVE e", 1) + ", n AS (SELECT *, lag(m) OVER w AS a, lead(m) OVER w AS c, lead(m, 2) OVER w AS d FROM m WINDOW w AS (PARTITION BY signal_id, f ORDER BY k)), r AS (SELECT signal_id, f, k, m AS y, a AS before FROM n WHERE k = 1 UNION ALL SELECT n.signal_id, n.f, n.k, CASE WHEN n.m > r.y AND n.m > r.before AND n.m > n.c AND n.m > n.d THEN n.m * 1.3 ELSE n.m END, r.y FROM r JOIN n ON n.signal_id = r.signal_id AND n.f = r.f AND n.k = r.k + 1) SELECT signal_id, f, k, round(y, 5) AS y FROM r UNION ALL SELECT signal_id, f, k, round(m, 5) FROM m WHERE k = 0")
 def harmonic_peaks(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("signal_id", "f").orderBy("k")
-    rows = O.bins(mags(spark, d)).withColumns({f"n{j}": F.lag("m", j).over(w) if j > 0 else F.lead("m", -j).over(w) for j in (-2, -1, 1, 2)})
-    top = F.coalesce((F.col("m") > F.col("n-2")) & (F.col("m") > F.col("n-1")) & (F.col("m") > F.col("n1")) & (F.col("m") > F.col("n2")), F.lit(False))
-    return rows.select("signal_id", "f", F.col("k").cast("bigint").alias("k"), r(F.when(top, F.col("m") * 1.3).otherwise(F.col("m")), 5).alias("y"))
+    return values(O.per_frame(mags(spark, d), lambda m: K.boost_peaks(m, 1.3), ("y",), column="mag"), "y", 5)
 
 
 @query(
@@ -274,7 +269,16 @@ def _frame_kernel(name, kernel, source="mag"):
 
 
 _kernel("erb_gate", lambda m: K.erb_gate(m, -10.0, SR, 64, 8))
-_kernel("log_band_wiener", lambda m: K.band_wiener(m, (m.mean(0) * 0.5) ** 2, SR, 6))
+
+
+@query("log_band_wiener")
+def log_band_wiener(spark, d):
+    """The noise is a quarter of the power of the mean magnitudes, which are aggregated apart and joined back, one array for each signal."""
+    m = mags(spark, d)
+    means = O.mean_spectrum(m).groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "mean"))), lambda s: F.pow(s["mean"] * 0.5, F.lit(2.0))).alias("noise"))
+    return values(O.per_signal(m.join(means, "signal_id"), lambda m, n: K.band_wiener(m, n[0], SR, 6), "y", columns=("mag", "noise")), "y", 5)
+
+
 _kernel("min_stat_floor", lambda m: K.minimum_floor(m, np_level(m) < 8, 10))
 _kernel("adaptive_wiener", lambda m: K.adaptive_wiener(m, (np_level(m) > 8).astype(float)))
 _frame_kernel("harmonic_v2", lambda m: K.enhance_harmonics(m, 50.0, 32_000.0))
