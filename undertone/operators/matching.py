@@ -154,14 +154,15 @@ def greedy_clusters(df: DataFrame, *, key: str, order: str, vector: str, least:
 
 def kmeans(df: DataFrame, k: int, *, id: str, vector: str, rounds: int = 20) -> DataFrame:
     """id and label. Seeds are rows evenly spaced in order of id; ties go to the lowest label; an empty cluster keeps its
-    centre; rounds end when no label changes. A round is one narrow pass and one aggregation of k rows a task; only centres
-    meet in the driver."""
+    centre; rounds end when the centres stay where they are, and with them the labels. Rows are written once, in order of id. A round is
+    one narrow pass over them and one aggregation of k rows a task; only centres meet in the driver."""
     rows = df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     n = rows.count()
     if not n:
         return rows.select("id", F.lit(None).cast("bigint").alias("label"))
     marks = [int(i * n / k) + 1 for i in range(min(k, n))]
-    seeds = [r.v for r in numbered(rows, "id").where(F.col("place").isin(marks)).orderBy("place").collect()]
+    placed = numbered(rows, "id")
+    seeds, rows = [r.v for r in placed.where(F.col("place").isin(marks)).orderBy("place").collect()], placed.select("id", "v")
     centres, before = np.array(seeds, float), None
     spark = df.sparkSession
     kind = df.schema[id].dataType.simpleString()
