@@ -18,8 +18,8 @@ SIG = "WITH RECURSIVE sig AS (SELECT user_id AS signal_id, row_number() OVER (PA
 DB = "CASE WHEN {0} > 0 THEN 20 * log10({0}) ELSE -96.0 END"
 PDB = "CASE WHEN {0} > 0 THEN 10 * log10({0}) ELSE -96.0 END"
 SR = 1000
-#: Samples in a chunk of these short signals, so that most have several.
-CUT = 32
+#: Samples in a chunk of these short signals, so that many have several.
+CUT = 64
 
 
 def unit(spark, d) -> DataFrame:
