@@ -78,3 +78,11 @@ def test_long_white_space_in_a_table(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = tokens.count_tokens(docs, tokens.Tokenizer()).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("d"), F.max("end").alias("e")).collect()
     assert len(got) == 3 and all(r.n == r.d for r in got) and {r.doc_id: r.e for r in got} == dict(enumerate(map(len, texts)))
+
+
+def test_the_sampled_look_misses_no_long_run():
+    for n in (255, 256, 257, 300, 1000):
+        for before in range(70):
+            text = "x" * before + " \t\n　" * (n // 4) + " " * (n % 4) + "y z"
+            assert not tokens.LONG_RUN.search(text) or tokens.SAMPLED_RUN.search(text[:: tokens.EVERY])
+    assert not tokens.SAMPLED_RUN.search(("word " * 5000)[:: tokens.EVERY])

@@ -34,6 +34,9 @@ from undertone.llm.words import flat
 RULES = ("start", "most", "split")
 #: White space from this length on is encoded apart: the library's splitter runs out of stack on very long runs.
 LONG_RUN = regex.compile(f"[{WHITE}]{{256,}}")
+#: Every 32nd character of such a run is white too, eight in a row: where this finds none there, the text holds no such run.
+EVERY = 32
+SAMPLED_RUN = regex.compile(f"[{WHITE}]{{8}}")
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -53,7 +56,7 @@ class Encoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         text, parts, at = text or "", [], 0
-        for m in LONG_RUN.finditer(text) if self.run else ():
+        for m in LONG_RUN.finditer(text) if self.run and SAMPLED_RUN.search(text[::EVERY]) else ():
             end = m.end() - (m.end() < len(text))
             parts += [self.whole.encode_to_numpy(text[at : m.start()], disallowed_special=()), self.run.encode_to_numpy(text[m.start() : end], disallowed_special=())]
             at = end
