@@ -51,3 +51,34 @@ def test_clean_and_edges(spark):
     out = quality.clean(docs).collect()
     assert [(r.doc_id, r.text, r.kept) for r in out] == [(i, "A real line of text that goes on for a while, to its end.", 1) for i in (6, None)] or not out
     assert quality.judge(docs.limit(0)).count() == 0 and quality.clean(docs.limit(0)).count() == 0
+
+
+def test_stock_lines(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    line = lambda n: " ".join(rng.choices(words, k=n)) + "."
+    stock, copied, rare = "Todos los  derechos RESERVADOS.", line(9), line(8)
+    base = [line(12) for _ in range(30)]
+    texts = ["\n".join([line(12), line(14), stock, line(10)]) for _ in range(25)]
+    for _ in range(200):  # near copies: one line in thirty is another one
+        own = [*base, copied]
+        own[rng.randrange(30)] = line(12)
+        texts.append("\n".join(own))
+    texts += ["\n".join([line(12), line(12), rare]) for _ in range(9)] + ["\n".join([line(20), line(31)[:-1] + " " + stock])] + [None, "", "\n \n", texts[0], texts[0]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").withColumns({"line": F.lit(1), "low": F.lit("clash")})
+    found = quality.stock_lines(docs)
+    assert found == {quality.digest(stock.lower().encode().split())}
+    got = {r.doc_id: r for r in quality.judge(docs, stock=found).collect()}
+    assert [got[i].n_failed_lines for i in range(25)] == [1] * 25 and all(got[i].kept for i in range(25))
+    assert stock not in quality.clean(docs.where("doc_id = 0"), stock=found).first().text
+    assert quality.stock_lines(docs.limit(0)) == frozenset() == quality.stock_lines(docs.where("text is null"))
+
+
+def test_extremes_in_blocks():
+    words = [str(i * i % 101).encode() for i in range(1000)]
+    assert quality.extremes(words) == quality.extremes(words, block=7)
+    import hashlib
+
+    ends = sorted(hashlib.md5(b" ".join(words[i : i + 5])).digest() for i in range(996))
+    assert quality.extremes(words) == tuple(int.from_bytes(e[:8], signed=True) for e in (ends[0], ends[-1]))
+    assert quality.extremes([b"a", b"b"])[0] == quality.extremes([b"a", b"b"])[1] == quality.digest([b"a", b"b"])
