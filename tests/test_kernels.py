@@ -140,6 +140,23 @@ def test_stores(spark):
     assert stores.progress(spark.createDataFrame([], "state string, share double"), "state", "share").first().percent == 100
 
 
+def test_pages_of_groups(spark):
+    rows = [("hot", i % 40, "x") for i in range(100)] + [("b", 1, None), (None, 7, "y"), (None, None, "z")]
+    df = spark.createDataFrame(rows, "g string, page int, members string").repartition(5)
+    found = stores.grouped_pages(df, "g", "page", "members", size=16).orderBy("page").collect()
+    assert sum(r.n for r in found) == len(rows) and all(r.n == len(r.members) <= 16 for r in found)
+    key = lambda r: tuple((v is not None, v) for v in r)
+    for g in ("hot", "b", None):
+        own = [r for r in found if r.g == g]
+        assert [tuple(m) for r in own for m in r.members] == sorted((r[1:] for r in rows if r[0] == g), key=key)
+        assert [r.page for r in own] == list(range(own[0].page, own[0].page + len(own)))
+        assert all(r.n == 16 for r in own[1:-1])
+    assert len([r for r in found if r.g == "hot"]) >= 7
+    assert stores.grouped_pages(df.limit(0), "g", "page").count() == 0
+    with pytest.raises(ValueError):
+        stores.grouped_pages(df, "g", "page", size=0)
+
+
 def test_repair_of_a_run(spark):
     x = [0.0, 1.0, 9.0, 9.0, 4.0, 5.0]
     rows = spark.createDataFrame([("a", i, v, i in (2, 3)) for i, v in enumerate(x)], "signal_id string, idx bigint, x double, click boolean")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undertone.operators.sequences import numbered
+
 
 def newest(df: DataFrame, n: int, *order: str, key: str | None = None) -> DataFrame:
     """The n newest rows by the order's columns (overall: a top-n; by key: ranked within it)."""
@@ -142,6 +144,18 @@ def grouped(df: DataFrame, group: str, *fields: str) -> DataFrame:
     return df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("members"))
 
 
+def grouped_pages(df: DataFrame, group: str, *fields: str, size: int = 1000) -> DataFrame:
+    """`grouped` for groups of any size: group, page, n and at most size members in order of the fields. Rows are numbered in order
+    of group and fields, and a page is a run of size numbers, so a group that holds most rows is many pages in many tasks. A
+    group's pages follow each other without gaps, from any number on; its first and last may hold fewer members. Nulls are a
+    group like any other and come first, equal rows all stay, and no rows give no pages."""
+    if size < 1:
+        raise ValueError("size must be 1 or more")
+    placed = numbered(df.select(F.col(group).alias("__group"), F.struct(*fields).alias("__member")), "__group", "__member", name="__place")
+    pages = placed.groupBy("__group", F.floor((F.col("__place") - 1) / size).alias("page")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("__member")).alias("members"))
+    return pages.withColumnRenamed("__group", group)
+
+
 def carried_over(new: DataFrame, previous: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """New rows with fields of the previous state of their key, or a default."""
     old = previous.select(key, *fields)

@@ -165,6 +165,13 @@ def grouped_params(spark, d):
     return rows.select("c_nationkey", F.size("members").cast("bigint").alias("n"), F.array_join(F.transform("members", lambda s: s["c_name"]), ",").alias("members"))
 
 
+@query("grouped_pages", "WITH p AS (SELECT *, (row_number() OVER (ORDER BY l_returnflag, l_orderkey, l_linenumber) - 1) // 500 AS page FROM lineitem) SELECT l_returnflag, page, count(*) AS n, string_agg(l_orderkey || '-' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber) AS members FROM p GROUP BY ALL")
+def grouped_pages(spark, d):
+    """Order lines of three groups, in pages of 500."""
+    rows = O.grouped_pages(table(spark, d, "lineitem"), "l_returnflag", "l_orderkey", "l_linenumber", size=500)
+    return rows.withColumn("members", F.array_join(F.transform("members", lambda s: F.concat_ws("-", s["l_orderkey"], s["l_linenumber"])), ","))
+
+
 @query("priority_queue", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P'")
 def priority_queue(spark, d):
     pending = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderpriority", "o_orderkey")
