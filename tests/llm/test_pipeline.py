@@ -113,6 +113,16 @@ def test_decontamination_edges(spark):
     assert decontamination.remove_contaminated(docs, items.limit(0)).count() == 7
 
 
+def test_decontamination_of_very_long_and_repeated_rows(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    filler = "plain " * 500_000
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(1, filler + item), (1, filler + item), (2, filler), (3, item + " " + filler), (4, filler + item.replace("six", "6"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter((r.doc_id, r.item_id) for r in decontamination.containment_pairs(docs, items).collect()) == Counter([(1, 1), (1, 1), (3, 1)])
+    assert sorted(r.doc_id for r in decontamination.remove_contaminated(docs, items).collect()) == [2, 4]
+
+
 def slow_nnpu(positive, unlabelled, prior, steps, rate, decay):
     """The same fit with numbers one by one."""
     n = len(positive[0]) + 1

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from undertone.llm import simhash
+from undertone.llm.shared import PIECE_BYTES
 
 
 def slow_print(text):
@@ -64,6 +65,18 @@ def test_empty_table_repeated_and_null_ids(spark):
     assert sorted([(r.doc_id or -1, r.component_id) for r in got], key=str) == sorted([(5, 5), (5, 5), (-1, 5), (-1, None)], key=str)
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    for k in (0, 1, 2, 3, 4, 50):
+        text = " \n".join(rng.choice(["Ab", "c", "é", "x" * 90]) for _ in range(k)) + " \t"
+        assert {simhash.fingerprint(text, size=size) for size in (1, 2, 7, 64, 1 << 20)} == {slow_print(text)}
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(400_000))
+    assert len(long) > max(2 * simhash.TEXT_BLOCK, PIECE_BYTES)
+    rows = [(1, long), (2, long + " and a few more"), (3, "x" * 3_000_000), (4, " " * 3_000_000), (5, None)]
+    got, _ = run(spark, rows)
+    assert got == slow_components(rows) and got[2][1] == 1 and got[5][1] == 4
+
+
 def test_block_links_find_every_link():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**64, 40, dtype=np.uint64)

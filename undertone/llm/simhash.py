@@ -21,6 +21,9 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +36,9 @@ from undertone.llm.shared import pieces, read_table, stored
 
 SHINGLE_WORDS = 3
 DISTANCE = 2
+#: Bytes of a text whose words are held at once.
+TEXT_BLOCK = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Fingerprints in a block, in a leaf group, and blocks under a super node.
 BLOCK, GROUP, SUPER = 2048, 32, 1024
 #: Blocks that stand next to each other travel together: 2 to this power make a tile, and a pair of tiles a task's work.
@@ -42,26 +48,47 @@ MOST_SUPERS = 50_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= n:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
+def _word_blocks(data: bytes, size: int) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of about size bytes of it; a longer word stays whole."""
+    begin = 0
+    while begin < len(data):
+        space = _SPACE.search(data, begin + size)
+        end = space.start() if space else len(data)
+        yield data[begin:end].split()
+        begin = end
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit set."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return total
+
+
+def fingerprint(text: str | None, n: int = SHINGLE_WORDS, size: int = TEXT_BLOCK) -> int:
+    """The fingerprint of a text, whose words are held in blocks of about size bytes; shingles cross from block to block."""
+    digest, total, shingles, carried = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for block in _word_blocks((text or "").encode().lower(), size):
+        words = carried + block
+        carried = words[max(0, len(words) - n + 1) :]
+        if len(words) < n:
+            continue
+        joined = b" ".join(words)
         ends, starts, at = [], [], 0
         for w in words:
             starts.append(at)
             at += len(w)
             ends.append(at)
             at += 1
-        digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[n - 1 :], strict=False)), np.uint64, len(words) - n + 1)
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        total += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+        total += _bits(hashes)
+        shingles += len(hashes)
+    if not shingles:
+        if not carried:
+            return 0
+        total, shingles = _bits(np.array([digest(b" ".join(carried), 42)], np.uint64)), 1
+    return int(np.packbits(2 * total > shingles, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS) -> DataFrame:
