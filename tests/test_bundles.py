@@ -43,6 +43,22 @@ def test_a_bundle_for_each_task(spark, tmp_path):
     assert got == {f"s{i}.wav": (40 + i, i / 100, i / 100) for i in range(30)}
 
 
+def test_tasks_do_not_grow_with_members_or_ranges(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    files(spark, 300, 2).write.format("wav_bundle").mode("append").option("path", path).save()
+    df = spark.read.format("wav_ranges").option("path", path).option("frames", 16).load()
+    assert df.rdd.getNumPartitions() == 2 and df.count() == sum(40 + i for i in range(300))
+    # spans that cut members anywhere hold each range once
+    reader = bundles.WavReader({"path": path, "frames": "16"})
+    whole = sorted(r for p in reader.partitions() for b in reader.read(p) for r in zip(*b.to_pydict().values(), strict=True))
+    monkeypatch.setattr(bundles, "SPAN", 333)
+    parts = reader.partitions()
+    assert len(parts) > 200 and sorted(r for p in parts for b in reader.read(p) for r in zip(*b.to_pydict().values(), strict=True)) == whole
+    (tmp_path / "long.wav").write_bytes(wav.encode(np.zeros((1, 500_000)), 8000))
+    long = bundles.WavReader({"path": str(tmp_path / "long.wav"), "frames": "16"})
+    assert len(long.partitions()) <= bundles.TASKS and sum(b.num_rows for p in long.partitions() for b in long.read(p)) == 500_000
+
+
 def test_a_failed_task_leaves_no_archive(spark, tmp_path):
     path = str(tmp_path / "out")
     broken = files(spark, 12, 4).withColumn("wav", F.when(F.col("name") == "s7", F.raise_error(F.lit("broken")).cast("binary")).otherwise(F.col("wav")))
