@@ -113,3 +113,31 @@ def test_expiring_state(spark, rows, table, kind):
     held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
     assert max(held) <= 8  # of 20 keys, those that still matter
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_state_is_a_row_for_each_shard(spark, monkeypatch):
+    """Many keys, null among them: state has at most as many rows as shards, and all is as key by key."""
+    monkeypatch.setattr(O, "SHARDS", 3)
+    n = 400
+    many = pd.DataFrame({"k": [None if i % 41 == 0 else i % 41 for i in range(n)], "i": np.arange(n), "s": 20 + np.arange(n) * 20, "x": np.sin(np.arange(n))}).astype({"k": "Int64"})
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else v for v in r) for r in many.astype(object).itertuples(index=False)], "k bigint, i bigint, s bigint, x double").withColumn("ts", F.timestamp_seconds("s"))
+    progress = []
+    got = run(df, O.Trailing(4), per=150, progress=progress).set_index("tie")
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 3 and progress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+    want = {}
+    for k, part in many.groupby("k", dropna=False):
+        for j in range(3, len(part)):
+            want[part.i.iloc[j]] = k, np.sqrt(np.mean(part.x.iloc[j - 3 : j + 1] ** 2))
+    assert len(got) == len(want)
+    for i, (k, rms) in want.items():
+        assert (pd.isna(got.k[i]) if pd.isna(k) else got.k[i] == k) and abs(got.rms[i] - rms) < 1e-9
+
+
+def test_batches_of_several_files(spark, monkeypatch):
+    monkeypatch.setattr(O, "FILE_ROWS", 100)
+    df = spark.range(1000)
+    stream = O.replayed(df, 2, F.when(F.col("id") < 400, 0).otherwise(1))
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda rows, n: seen.append((rows.count(), rows.agg(F.max("id")).first()[0]))).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert seen == [(400, 399), (600, 999)]
