@@ -167,26 +167,75 @@ def gate_ahead(df: DataFrame, threshold: float, closed: float, *, look: int, hol
     return df.join(level, [key, order]).withColumn("y", late * gain).drop("__env")
 
 
+#: Lags up to which products are added one by one; beyond, Fourier transforms are cheaper.
+FEW_LAGS = 64
+
+
 def lagged_correlation(left: DataFrame, right: DataFrame, most: int, *, chunk: int = chunked.CHUNK, key=KEY, order=ORDER, x=X) -> DataFrame:
     """key, lag, score: the lag within +-most that correlates best, the smallest on ties; both signals from order 0 on, without
-    gaps. A chunk of the left side meets the part of the right side that its lags reach, and correlates by Fourier
-    transforms; the chunks' products are added up by lag, so neither signal has to fit in a task."""
-    kind = left.schema[key].dataType.simpleString()
-    at = F.col(order)
-    own = left.select(key, order, F.col(x).cast("double").alias("v"), F.floor(at / chunk).alias("chunk"))
+    gaps. A chunk of the left side meets the part of the right side that its lags reach; the chunks' products are added up by
+    lag, so neither signal has to fit in a task. Chunks lie one after another in a task, so many short ones cost no more than a long one."""
+    kind, at = left.schema[key].dataType.simpleString(), F.col(order)
+    own = left.select(key, F.floor(at / chunk).alias("chunk"), F.lit(False).alias("other"), order, F.col(x).cast("double").alias("v"))
     reach = F.sequence(F.greatest(F.lit(0), F.floor((at - most) / chunk)), F.floor((at + most) / chunk))
-    other = right.select(key, order, F.col(x).cast("double").alias("v"), F.explode(reach).alias("chunk"))
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        (i, u), (j, v) = ((t.column(order).to_numpy(), t.column("v").to_numpy()) for t in (a.sort_by(order), b.sort_by(order)))
-        lags = np.arange(max(-most, j[0] - i[-1]), min(most, j[-1] - i[0]) + 1) if len(u) and len(v) else np.zeros(0, np.int64)
-        if not len(lags):
-            return pa.table([pa.array([], a.schema.field(key).type), pa.array([], pa.int64()), pa.array([], pa.float64())], [key, "lag", "score"])
-        n = 1 << (len(u) + len(v)).bit_length()
-        score = np.fft.irfft(np.conj(np.fft.rfft(u, n)) * np.fft.rfft(v, n), n)[lags - int(j[0] - i[0])]
-        return pa.table([pa.array([a.column(key)[0].as_py()] * len(lags), a.schema.field(key).type), pa.array(lags.astype(np.int64)), pa.array(score)], [key, "lag", "score"])
-
-    parts = own.groupBy(key, "chunk").cogroup(other.groupBy(key, "chunk")).applyInArrow(run, f"{key} {kind}, lag bigint, score double")
+    other = right.select(key, F.explode(reach).alias("chunk"), F.lit(True).alias("other"), order, F.col(x).cast("double").alias("v"))
+
+    def whole(batches):
+        """Runs of rows in which no chunk is cut, and where each of their chunks begins."""
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            if not t.num_rows:
+                continue
+            new = np.zeros(t.num_rows, bool)
+            new[0] = True
+            for c in (key, "chunk"):
+                v = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+                v = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).indices.to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            first = np.flatnonzero(new)
+            if len(first) > 1:
+                yield t.slice(0, first[-1]), first[:-1]
+            rest = t.slice(first[-1])
+        if rest is not None:
+            yield rest, np.zeros(1, np.int64)
+
+    def run(batches):
+        for t, first in whole(batches):
+            place, v = t.column(order).to_numpy(), t.column("v").to_numpy()
+            end = np.append(first[1:], t.num_rows)
+            middle = first + np.add.reduceat((~np.asarray(t.column("other"))).astype(np.int64), first)  # where a chunk's right side begins
+            both = (middle > first) & (end > middle)
+            a, m, b = first[both], middle[both], end[both]
+            low, high = np.maximum(-most, place[m] - place[m - 1]), np.minimum(most, place[b - 1] - place[a])
+            of, lags, scores = [], [], []
+            if 2 * most < FEW_LAGS:
+                n = m - a
+                chunk_of = np.repeat(np.arange(len(a)), n)
+                i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + a[chunk_of]
+                beside, u = m[chunk_of] + place[i] - place[m][chunk_of], v[i]  # the right sample at lag 0
+                for lag in range(-most, most + 1):
+                    j = beside + lag
+                    there = (j >= m[chunk_of]) & (j < b[chunk_of])
+                    score = np.bincount(chunk_of[there], u[there] * v[j[there]], len(a))
+                    c = np.flatnonzero((low <= lag) & (lag <= high))
+                    of.append(c)
+                    lags.append(np.full(len(c), lag))
+                    scores.append(score[c])
+            else:
+                for c in range(len(a)):
+                    u, w = v[a[c] : m[c]], v[m[c] : b[c]]
+                    g = np.arange(low[c], high[c] + 1)
+                    size = 1 << (len(u) + len(w)).bit_length()
+                    of.append(np.full(len(g), c))
+                    lags.append(g)
+                    scores.append(np.fft.irfft(np.conj(np.fft.rfft(u, size)) * np.fft.rfft(w, size), size)[g - int(place[m[c]] - place[a[c]])])
+            if of:
+                keys = t.column(key).take(pa.array(a[np.concatenate(of)])).combine_chunks()
+                yield pa.RecordBatch.from_arrays([keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys, pa.array(np.concatenate(lags).astype(np.int64)), pa.array(np.concatenate(scores).astype(float))], [key, "lag", "score"])
+
+    rows = own.unionByName(other).repartition(key, "chunk").sortWithinPartitions(key, "chunk", "other", order)
+    parts = rows.mapInArrow(run, f"{key} {kind}, lag bigint, score double")
     scores = parts.groupBy(key, "lag").agg((F.round(F.sum("score"), 6) + 0.0).alias("score"))
     best = scores.groupBy(key).agg(F.max(F.struct("score", (-F.col("lag")).alias("minus"))).alias("b"))
     return best.select(key, (-F.col("b.minus")).alias("lag"), F.col("b.score").alias("score"))
