@@ -105,3 +105,21 @@ def test_cells_give_what_comparing_all_gives(spark):
         assert got[i][0] == int(s[i].argmax()) or abs(s[i][got[i][0]] - s[i].max()) < 2e-12
     skipped = 1 - count.value / s.size
     assert skipped > 0.4, skipped
+
+
+def test_a_library_of_many_blocks_is_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 20)
+    rng = np.random.default_rng(8)
+    library = np.concatenate([rng.normal(size=(210, 8)), np.zeros((1, 8))])
+    library = np.concatenate([library, library[:30]])
+    asked = np.concatenate([rng.normal(size=(90, 8)), library[:9]])
+    s = np.round(M._unit(asked) @ M._unit(library).T, 12)
+    profiles = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(library)], "name int, v array<double>")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "id int, v array<double>")
+    out = M.best_match(rows, profiles)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.id: (r.name, r.score) for r in out.collect()}
+    assert len(got) == len(asked)
+    for i in range(len(asked)):
+        assert got[i][1] == pytest.approx(s[i].max(), abs=1e-12)
+        assert got[i][0] == int(s[i].argmax()) or abs(s[i][got[i][0]] - s[i].max()) < 2e-12

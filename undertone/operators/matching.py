@@ -1,19 +1,25 @@
 """Similarity and correlation: nearest profiles, positional and interval joins, clustering.
 
-Profiles are a query set of checked size: they are collected in blocks up to a bound, and every row looks its best one up in
-one narrow pass. A block is an index of cells around pivots: the angle between a row and a pivot, less the cell's radius, bounds how
+Profiles are written in blocks of bounded size by tasks, and every row looks its best one up in one narrow pass, in which a task holds
+one block at a time. The work is rows times profiles where nothing can be skipped; memory doesn't grow with either. A block is an index of cells around pivots: the angle between a row and a pivot, less the cell's radius, bounds how
 similar anything in the cell can be, so most cells are skipped, and the answer is the same."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from undertone.operators.sequences import numbered
+from undertone.sources.work import stored, work_folder
 
-#: Profiles in one broadcast block.
+#: Profiles in one block of the library.
 BLOCK = 4096
 
 
@@ -36,37 +42,59 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
 def best_match(df: DataFrame, profiles: DataFrame, *, id="id", vector="v", name="name", least: float = -2.0, centred: bool = False, count=None) -> DataFrame:
     """id, name, score: the most similar profile (cosine; or correlation of centred vectors), the first by name on ties, null
     under a threshold. count: an accumulator of the pairs that were compared, of rows times profiles."""
-    spark = df.sparkSession
-    n = profiles.count()
-    blocks = max(1, -(-n // BLOCK))
     kind = {f.name: f.dataType.simpleString() for f in df.schema}[id]
-    name_kind = {f.name: f.dataType.simpleString() for f in profiles.schema}[name]
-    schema = f"id {kind}, v array<double>, name {name_kind}, score double"
-    out = df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast(name_kind).alias("name"), F.lit(None).cast("double").alias("score"))
-    for b in range(blocks):
-        rows = sorted(profiles.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b).select(name, vector).collect(), key=lambda r: r[0])
-        if not rows:
-            continue
-        matrix = np.array([r[1] for r in rows], float)
-        shipped = spark.sparkContext.broadcast(([r[0] for r in rows], Cells(_unit(matrix - matrix.mean(1, keepdims=True) if centred else matrix))))
-
-        def run(batches, shipped=shipped):
-            names, known = shipped.value
-            for batch in batches:
-                if batch.num_rows:
-                    x = np.array(batch.column("v").to_pylist(), float)
-                    top, s, compared = known.nearest(_unit(x - x.mean(1, keepdims=True) if centred else x))
+    name_type = {f.name: f.dataType for f in profiles.schema}[name]
+    rows = df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    # equal vectors are one, with their first name
+    library = stored(profiles.select(F.col(name).alias("name"), F.col(vector).cast("array<double>").alias("v")).groupBy("v").agg(F.min("name").alias("name")), "library")
+    n = library.count()
+    blocks, unit = -(-n // BLOCK), lambda x: _unit(x - x.mean(1, keepdims=True) if centred else x)
+    packed = f"{work_folder(df.sparkSession)}/cells"
+
+    def index(batches):
+        held = pa.Table.from_batches([*batches]) if blocks else None  # a partition is a block
+        for t in [held] if held is not None and held.num_rows else []:
+            t = t.sort_by("name")
+            cells = Cells(unit(np.array(t.column("v").to_pylist(), float)))
+            yield pa.RecordBatch.from_arrays([pa.array([t.column("name").to_pylist()], pa.list_(t.schema.field("name").type)), pa.array([pickle.dumps(cells)], pa.binary())], ["names", "cells"])
+
+    if blocks:
+        library.repartition(blocks).mapInArrow(index, f"names array<{name_type.simpleString()}>, cells binary").write.parquet(packed)
+        rows = rows.repartition(max(1, min(4 * blocks, 2_048)))
+
+    def run(batches):
+        system, folder = pafs.FileSystem.from_uri(packed) if ":" in packed.split("/")[0] else (pafs.LocalFileSystem(), packed)
+        files = sorted(f.path for f in system.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".parquet")) if blocks else []
+        kept = None  # of a single block
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit(np.array(batch.column("v").to_pylist(), float))
+            best = [(None, None)] * batch.num_rows  # of the blocks so far, row by row
+            for path in files:
+                loaded = kept if kept is not None else _loaded(system, path)
+                kept = loaded if len(files) == 1 else None
+                for names, known in loaded:
+                    top, s, compared = known.nearest(x)
                     if count is not None:
                         count.add(compared)
-                    best = []  # of the blocks so far, row by row
-                    for t, now, before, score in zip(top, s.tolist(), batch.column("name").to_pylist(), batch.column("score").to_pylist(), strict=True):
-                        best.append((names[t], now) if score is None or now > score or (now == score and names[t] < before) else (before, score))
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array([n for n, _ in best], batch.schema.field("name").type), pa.array([s for _, s in best], pa.float64())], ["id", "v", "name", "score"])
+                    for i, (t, now) in enumerate(zip(top.tolist(), s.tolist(), strict=True)):
+                        before, score = best[i]
+                        if score is None or now > score or (now == score and names[t] < before):
+                            best[i] = names[t], now
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in best], to_arrow_type(name_type)), pa.array([s for _, s in best], pa.float64())], ["id", "name", "score"])
 
-        out = out.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, f"id {kind}, name {name_type.simpleString()}, score double")
     return out.select("id", F.when(F.col("score") >= least, F.col("name")).alias("name"), "score")
 
 
+def _loaded(system: pafs.FileSystem, path: str) -> list:
+    """(names, cells) of a file of the packed library: one block."""
+    with system.open_input_file(path) as file:
+        t = pq.read_table(file)
+    return [(names, pickle.loads(cells)) for names, cells in zip(t.column("names").to_pylist(), t.column("cells").to_pylist(), strict=True)]
+
+
 class Cells:
     """Unit vectors in cells around some of them, and zero vectors, whose similarity to anything is 0, in one more."""
 
